@@ -1,0 +1,13 @@
+"""Link staging with sampled negatives."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.links import links
+from ..registry import query
+
+
+@query("n1_random_negatives_staged", "SELECT 1 AS placeholder")
+def staged(spark, sf_dir):
+    return links(spark, sf_dir).groupBy().agg(F.count(F.lit(1)).alias("placeholder"))
