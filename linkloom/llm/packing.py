@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shuffle_partitions, written
-from .subwords import CachedEncoder
+from .subwords import worker_encoder
 
 DIMS, BITS = 4, 8
 
@@ -92,7 +92,7 @@ def _encoder(vocabulary: str, end_id: int, seed: int):
     end = end_id.to_bytes(2, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = CachedEncoder(vocabulary, lower=False), projection(seed)
+        encoder, table = worker_encoder(vocabulary, lower=False), projection(seed)
         for batch in batches:
             ids = [encoder.encode(t.as_py()) + end for t in batch.column(1)]
             keys = [curve_key(np.frombuffer(i, "<u2"), table) for i in ids]

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from functools import lru_cache
 
 # Unicode categories L and N up to U+017F, ASCII white space, and the two
 # public splitting patterns over them.
@@ -43,7 +44,7 @@ def library_tokenizer(name: str):
 class CachedEncoder:
     """Ids as little-endian unsigned 16-bit bytes (vocabularies here have under 65,536 ids)."""
 
-    def __init__(self, name: str, lower: bool, max_entries: int = 400_000):
+    def __init__(self, name: str, lower: bool, max_entries: int = 300_000):
         self.library = library_tokenizer(name)
         assert self.library.get_vocab_size() <= 1 << 16
         self.lower, self.find = lower, (WORD_PATTERN if lower else BYTE_PATTERN).findall
@@ -73,3 +74,9 @@ class CachedEncoder:
             self.cache.update(found)
             parts = [found[w] if p is None else p for w, p in zip(words, parts)]
         return b"".join(parts)
+
+
+@lru_cache(2)
+def worker_encoder(name: str, lower: bool) -> CachedEncoder:
+    """The encoder of a Python worker, which keeps its cache for the tasks that follow."""
+    return CachedEncoder(name, lower)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, shuffle_partitions, written
-from .subwords import CachedEncoder
+from .subwords import worker_encoder
 
 PRECISION = 18
 LANES = 1024
@@ -161,7 +161,7 @@ def _writer(vocabulary: str, end_id: int, segment_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), CachedEncoder(vocabulary, lower=True)
+        part, encoder = TaskContext.get().partitionId(), worker_encoder(vocabulary, lower=True)
         ids: list = []
         parts: list[bytes] = []
         size = segment = before = 0

@@ -19,6 +19,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -199,9 +200,15 @@ class Transducer:
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
+@lru_cache(2)
+def worker_transducer(name: str) -> Transducer:
+    """The transducer of a Python worker, which keeps its paths for the tasks that follow."""
+    return Transducer(name)
+
+
 def _coder(name: str):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = Transducer(name)
+        fst = worker_transducer(name)
         for b in batches:
             rows = []
             for t in b.column(1).to_pylist():
