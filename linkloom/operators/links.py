@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import table
@@ -14,3 +14,45 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(F.col("o_custkey").alias("pid"), F.col("l_partkey").alias("rid")).distinct()
+
+
+def explode_labels(df: DataFrame, entity: str, labels: str, separator: str = ";", out: str = "label") -> DataFrame:
+    """(entity, label) rows of a separator-joined list column."""
+    return df.select(entity, F.explode(F.split(F.col(labels), F.lit(separator))).alias(out)).filter(F.col(out) != "")
+
+
+def implode_labels(df: DataFrame, entity: str, label: str, separator: str = ";", out: str = "labels") -> DataFrame:
+    """One row an entity with its labels, distinct and sorted."""
+    return df.groupBy(entity).agg(F.array_join(F.sort_array(F.collect_set(F.col(label).cast("string"))), separator).alias(out))
+
+
+def dictionary_encode(df: DataFrame, column: str, out: str) -> DataFrame:
+    """(column, out): distinct values numbered from 0 in their order.
+
+    Numbers are dense over a range partitioning: a count a partition, then places inside it.
+    """
+    ids = df.select(column).distinct().sort(column).withColumn("__p", F.spark_partition_id())
+    from ..storage import written
+
+    placed = written(ids.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1), "dictionary")
+    sizes = placed.groupBy("__p").count()
+    before = sizes.withColumn("__b", F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = placed.join(F.broadcast(before.select("__p", F.coalesce("__b", F.lit(0)).alias("__b"))), "__p")
+    return numbered.select(column, (F.col("__b") + F.col("__k")).cast("long").alias(out))
+
+
+def extend_index(known: DataFrame, new: DataFrame, column: str, index: str) -> DataFrame:
+    """``known`` (column, index) and, for unknown values of ``new``, the numbers after its largest."""
+    unknown = new.select(column).distinct().join(known, column, "left_anti")
+    top = known.agg(F.coalesce(F.max(index), F.lit(-1)).alias("__top"))
+    added = dictionary_encode(unknown, column, "__k").crossJoin(F.broadcast(top))
+    return known.select(column, index).unionByName(added.select(column, (F.col("__top") + 1 + F.col("__k")).alias(index)))
+
+
+def degrees(link: DataFrame, entity: str, out: str = "degree") -> DataFrame:
+    return link.groupBy(entity).agg(F.count(F.lit(1)).alias(out))
+
+
+def assemble(pairs: DataFrame, left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
+    """Pairs with the attributes of both their entities; attributes are joined last, once an entity."""
+    return pairs.join(left, left_key).join(right, right_key)
