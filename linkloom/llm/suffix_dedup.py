@@ -9,6 +9,8 @@ A byte goes if a window of `WINDOW` bytes over it also starts in a document with
    task once with all their places. Equal windows of different documents meet in one shard.
 3. A shard sorts all suffixes of its regions by external induction (`induced_sort`). Suffixes that
    share `WINDOW` bytes with their neighbours are one group; its smallest id decides each window.
+   A region that alone has its key in the whole corpus can share a window with no other content:
+   its places are equal throughout, and it needs no sorting.
 4. Removed intervals return to the documents, which are cut and digested.
 
 Documents are equal to themselves only: copies of a text within one task are judged by its
@@ -201,7 +203,7 @@ def shared_key_filter(rows: DataFrame, n_bits: int) -> np.ndarray:
     return bitmap
 
 
-_SHARD = "shard long, regions binary, sizes binary, places binary, keys binary, ids binary, starts binary, wholes binary"
+_SHARD = "shard long, regions binary, sizes binary, marks binary, places binary, keys binary, ids binary, starts binary, wholes binary"
 _SHARD_NAMES = [c.split()[0] for c in _SHARD.split(", ")]
 _CUT = "bucket long, keys binary, starts binary, ends binary"
 
@@ -215,7 +217,7 @@ def _whole_rows(chunk: dict, shards: int) -> Iterator[pa.RecordBatch]:
         keys += later
         sizes += [len(data)] * len(later)
     if keys:
-        values = [np.random.default_rng(keys[0] & 0xFFFF).integers(shards).item(), b"", b"", b"", _squeeze(np.array(keys, "<i8")), b"", b"", _squeeze(np.array(sizes, "<i8"))]
+        values = [np.random.default_rng(keys[0] & 0xFFFF).integers(shards).item(), b"", b"", b"", b"", _squeeze(np.array(keys, "<i8")), b"", b"", _squeeze(np.array(sizes, "<i8"))]
         yield pa.RecordBatch.from_arrays([pa.array([values[0]], pa.int64()), *[pa.array([v], pa.binary()) for v in values[1:]]], names=_SHARD_NAMES)
 
 
@@ -263,7 +265,8 @@ def _region_writer(bitmap, n_bits: int, shards: int):
             many = per_text[text]
             nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             region, owner, start = np.repeat(region, many), np.repeat(first_owner[text], many) + nth, np.repeat(start, many)
-            shard = _shards_of(np.concatenate(region_keys), shards)
+            all_keys = np.concatenate(region_keys)
+            shard = _shards_of(all_keys, shards)
             contents = list(number)
             del number, occ_region
             by_shard = np.argsort(shard, kind="stable")
@@ -278,7 +281,7 @@ def _region_writer(bitmap, n_bits: int, shards: int):
                 own = [contents[i] for i in by_shard[a:e].tolist()]
                 x, y = occ_end[a] - counts[a], occ_end[e - 1]
                 values = [
-                    zstandard.compress(b"".join(own), 1), _squeeze(np.array([len(o) for o in own], "<u2")), _squeeze(counts[a:e].astype("<u4")),
+                    zstandard.compress(b"".join(own), 1), _squeeze(np.array([len(o) for o in own], "<u2")), all_keys[by_shard[a:e]].astype("<u4").tobytes(), _squeeze(counts[a:e].astype("<u4")),
                     _squeeze(owner_keys[owner[x:y]]), _squeeze(owner_ids[owner[x:y]]), _squeeze(start[x:y].astype("<u4")), b"",
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([int(shard[by_shard[a]])], pa.int64()), *[pa.array([v], pa.binary()) for v in values]], names=_SHARD_NAMES)
@@ -323,23 +326,29 @@ def least_ids(contents: np.ndarray, sizes: np.ndarray, ids: np.ndarray, budget:
     return np.where(window, least, NO_ID)
 
 
-def shard_cuts(sizes: np.ndarray, contents: bytes, counts: np.ndarray, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row key, start, end) of removed bytes among the regions of one shard."""
-    sizes = sizes.astype(np.int64)
-    ends = np.cumsum(sizes)
-    joined = np.full(len(contents) + len(sizes), SEPARATOR[0], np.uint8)
-    if len(sizes):
-        at = np.repeat(np.arange(len(sizes)), sizes) + np.arange(len(contents))
-        joined[at] = np.frombuffer(contents, np.uint8)
+def shard_cuts(
+    regions: list[bytes], marks: np.ndarray, counts: np.ndarray, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, budget: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row key, start, end) of removed bytes among the distinct ``regions`` of one shard.
+
+    ``marks`` are equal for regions with equal keys. ``counts`` places of each region follow one
+    another in ``keys``, ``ids`` and ``starts``.
+    """
+    sizes = np.array([len(r) for r in regions], np.int64)
     region = np.repeat(np.arange(len(sizes)), counts)
     low = np.minimum.reduceat(ids, np.cumsum(counts) - counts) if len(sizes) else ids
-    least = least_ids(joined, sizes, low, budget)
+    _, group, members = np.unique(marks, return_inverse=True, return_counts=True)
+    judged = np.flatnonzero(members[group] > 1) if len(sizes) else np.zeros(0, np.int64)
+    joined = np.frombuffer(SEPARATOR.join([*[regions[i] for i in judged.tolist()], b""]), np.uint8)
+    least = least_ids(joined, sizes[judged], low[judged], budget)
+    at = np.full(len(sizes), -1, np.int64)
+    at[judged] = np.cumsum(sizes[judged] + 1) - sizes[judged] - 1
     later = ids > low[region]
     whole = np.flatnonzero(later)
     out_key, out_start, out_end = [keys[whole]], [starts[whole]], [starts[whole] + sizes[region[whole]]]
-    first = np.flatnonzero(~later)
+    first = np.flatnonzero(~later & (at[region] >= 0))
     windows = sizes[region[first]] - WINDOW + 1
-    base = (ends + np.arange(len(sizes)) - sizes)[region[first]]
+    base = at[region[first]]
     nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     gone = least[np.repeat(base, windows) + nth] < np.repeat(ids[first], windows)
     hit = np.flatnonzero(gone)
@@ -372,13 +381,12 @@ def _shard_sorter(buckets: int, budget: int):
             part = lambda name, kind: np.concatenate([_spread(r[name], kind) for r in bodies])
             sizes, counts = part("sizes", "<u2"), part("places", "<u4").astype(np.int64)
             number, distinct = same_regions(b"".join([zstandard.decompress(r["regions"]) for r in bodies]), sizes)
+            marks = np.zeros(len(distinct), "<u4")
+            marks[number] = np.concatenate([np.frombuffer(r["marks"], "<u4") for r in bodies])
             # places in the order of the distinct regions
             order = np.argsort(np.repeat(number, counts), kind="stable")
-            contents = list(distinct)
-            k, s, e = shard_cuts(
-                np.array([len(c) for c in contents], np.int64), b"".join(contents), np.bincount(number, counts, len(contents)).astype(np.int64),
-                part("keys", "<i8")[order], part("ids", "<i8")[order], part("starts", "<u4").astype(np.int64)[order], budget,
-            )
+            places = np.bincount(number, counts, len(distinct)).astype(np.int64)
+            k, s, e = shard_cuts(list(distinct), marks, places, part("keys", "<i8")[order], part("ids", "<i8")[order], part("starts", "<u4").astype(np.int64)[order], budget)
             keys.append(k)
             starts.append(s)
             ends.append(e)
