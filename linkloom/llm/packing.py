@@ -30,39 +30,41 @@ def projection(seed: int, n_ids: int = 1 << 16) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((n_ids, DIMS)).astype(np.float32)
 
 
-def hilbert_key(point: list[int], bits: int = BITS) -> int:
-    """Place of an integer point on the Hilbert curve, by Skilling's transposition (2004)."""
-    x, n = list(point), len(point)
+def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Place of integer points (rows) on the Hilbert curve, by Skilling's transposition (2004)."""
+    x = points.astype(np.int64).T.copy()
+    n = len(x)
     q = 1 << (bits - 1)
     while q > 1:
         for i in range(n):
-            if x[i] & q:
-                x[0] ^= q - 1
-            else:
-                t = (x[0] ^ x[i]) & (q - 1)
-                x[0] ^= t
-                x[i] ^= t
+            high = (x[i] & q) != 0
+            swap = np.where(high, 0, (x[0] ^ x[i]) & (q - 1))
+            x[0] = np.where(high, x[0] ^ (q - 1), x[0] ^ swap)
+            x[i] = x[i] ^ swap if i else x[0]
         q >>= 1
     for i in range(1, n):
         x[i] ^= x[i - 1]
-    t, q = 0, 1 << (bits - 1)
+    t, q = np.zeros(x.shape[1], np.int64), 1 << (bits - 1)
     while q > 1:
-        if x[n - 1] & q:
-            t ^= q - 1
+        t = np.where(x[n - 1] & q, t ^ (q - 1), t)
         q >>= 1
-    key = 0
+    key = np.zeros(x.shape[1], np.int64)
     for b in range(bits - 1, -1, -1):
         for v in x:
             key = key << 1 | ((v ^ t) >> b & 1)
     return key
 
 
-def curve_key(ids: np.ndarray, table: np.ndarray) -> int:
-    """Sums of n Gaussian rows have deviation sqrt(n), or n in a direction the text prefers: the
-    direction of the sum, not its length, is quantised."""
-    v = table[ids].sum(axis=0, dtype=np.float64)
-    v /= np.linalg.norm(v) or 1.0
-    return hilbert_key([min((1 << BITS) - 1, int((c + 1) / 2 * (1 << BITS))) for c in v])
+def curve_keys(ids: list[bytes], table: np.ndarray) -> np.ndarray:
+    """Keys of documents of at least one id each. The direction of a document's summed rows is
+    quantised, not its length, which only says how long the document is."""
+    if not ids:
+        return np.zeros(0, np.int64)
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 1
+    v = np.add.reduceat(table[np.frombuffer(b"".join(ids), "<u2")], np.cumsum(size) - size, axis=0).astype(np.float64)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    v /= np.where(norm == 0, 1, norm)
+    return hilbert_keys(np.minimum((1 << BITS) - 1, ((v + 1) / 2 * (1 << BITS)).astype(np.int64)))
 
 
 def pieces(lengths: list[int], capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -95,7 +97,7 @@ def _encoder(vocabulary: str, end_id: int, seed: int):
         encoder, table = worker_encoder(vocabulary, lower=False), projection(seed)
         for batch in batches:
             ids = [encoder.encode(t.as_py()) + end for t in batch.column(1)]
-            keys = [curve_key(np.frombuffer(i, "<u2"), table) for i in ids]
+            keys = curve_keys(ids, table)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "curve", "ids"])
 
     return encode

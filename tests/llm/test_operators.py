@@ -269,7 +269,7 @@ def test_token_store(docs, rows):
 
 def test_token_blocks_round_trip_and_show_damage():
     rng = np.random.default_rng(0)
-    for n in (1, 2, 1023, 1024, 1025, 300_000):
+    for n in (1, 2, 4095, 4096, 4097, 1_300_000):
         ids = (rng.zipf(1.3, n) % 49_000).astype("<u2")
         row = token_store.pack_segment(0, 0, 0, [1], [ids.tobytes()])
         assert (token_store.unpack_segment(row) == ids).all()
@@ -281,7 +281,7 @@ def test_token_blocks_round_trip_and_show_damage():
 
 
 def test_token_block_decodes_from_a_checkpoint():
-    ids = (np.random.default_rng(1).zipf(1.3, 200_000) % 30_000).astype("<u2")
+    ids = (np.random.default_rng(1).zipf(1.3, 600_000) % 30_000).astype("<u2")
     row = token_store.pack_segment(0, 0, 0, [1], [ids.tobytes()])
     block = row["blocks"][0]
     coder = token_store.Coder(np.frombuffer(row["symbols"], "<u2"), np.frombuffer(row["freqs"], "<u4"))
@@ -332,7 +332,8 @@ def test_packing(docs, rows):
 
 
 def test_hilbert_curve_visits_neighbours():
-    points = {packing.hilbert_key([x, y], 3): (x, y) for x in range(8) for y in range(8)}
+    grid = [(x, y) for x in range(8) for y in range(8)]
+    points = dict(zip(packing.hilbert_keys(np.array(grid), 3).tolist(), grid))
     assert sorted(points) == list(range(64))
     assert all(abs(points[k][0] - points[k + 1][0]) + abs(points[k][1] - points[k + 1][1]) == 1 for k in range(63))
 
