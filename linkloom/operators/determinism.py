@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def hash_order(seed: int | str, *keys: str | Column) -> Column:
     """md5 of seed and keys; sorting by it is a seeded shuffle."""
@@ -16,9 +18,44 @@ def hash_number(seed: int | str, *keys: str | Column) -> Column:
     return F.conv(F.substring(hash_order(seed, *keys), 1, 8), 16, 10).cast("long")
 
 
+#: Up to here a sample is one top-k of bounded size.
+TOP_K = 10_000
+
+
 def take_hashed(df: DataFrame, k: int, seed: int, *keys: str) -> DataFrame:
-    """Exactly ``k`` rows (or all) without replacement. A top-k: no global sort."""
-    return df.orderBy(hash_order(seed, *keys), *keys).limit(k)
+    """Exactly the first ``k`` rows (or all) in hash order of ``keys``, without replacement.
+
+    A large sample is not gathered in one place: counts of the leading hash digits (at most 65,536)
+    say which digits go whole, and only rows with the digits at the border are ordered.
+    """
+    h = hash_order(seed, *keys)
+    if k <= TOP_K:
+        return df.orderBy(h, *keys).limit(max(0, k))
+    lead = F.substring(h, 1, 4)
+    counts = sorted(tuple(r) for r in df.groupBy(lead.alias("lead")).count().collect())
+    before = 0
+    for digits, n in counts:
+        if before + n > k:
+            border = df.filter(lead == digits).orderBy(h, *keys).limit(k - before)
+            return df.filter(lead < digits).unionByName(border)
+        before += n
+    return df
+
+
+def ranked(df: DataFrame, out: str, *order: str | Column) -> DataFrame:
+    """``df`` with its place from 0 in a total order.
+
+    Rows are range-sorted and written with their place in their partition; the rows before a
+    partition are a sum over partitions. No task sees all rows.
+    """
+    placed = written(df.sort(*order).withColumn("__m", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__m", 33)
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__b"))
+    met = placed.withColumn("__p", part).join(F.broadcast(before), "__p")
+    place = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__b")
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], place.cast("long").alias(out))
 
 
 def downsample_negatives(df: DataFrame, label: str, neg_multiple: int, seed: int, *keys: str) -> DataFrame:
@@ -30,6 +67,6 @@ def downsample_negatives(df: DataFrame, label: str, neg_multiple: int, seed: int
 
 def permute_column(df: DataFrame, column: str, seed: int, key: str) -> DataFrame:
     """``column`` dealt to other rows: the row of rank i in key order gets the value of hash rank i."""
-    own = df.withColumn("__r", F.row_number().over(Window.orderBy(key)))
-    dealt = df.select(F.row_number().over(Window.orderBy(hash_order(seed, key), key)).alias("__r"), F.col(column).alias("__v"))
+    own = ranked(df, "__r", key)
+    dealt = ranked(df.select(key, F.col(column).alias("__v")), "__r", hash_order(seed, key), key).select("__r", "__v")
     return own.join(dealt, "__r").withColumn(column, F.col("__v")).drop("__r", "__v")

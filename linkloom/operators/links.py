@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import table
+from .determinism import ranked
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,18 +28,8 @@ def implode_labels(df: DataFrame, entity: str, label: str, separator: str = ";",
 
 
 def dictionary_encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """(column, out): distinct values numbered from 0 in their order.
-
-    Numbers are dense over a range partitioning: a count a partition, then places inside it.
-    """
-    ids = df.select(column).distinct().sort(column).withColumn("__p", F.spark_partition_id())
-    from ..storage import written
-
-    placed = written(ids.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(column)) - 1), "dictionary")
-    sizes = placed.groupBy("__p").count()
-    before = sizes.withColumn("__b", F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = placed.join(F.broadcast(before.select("__p", F.coalesce("__b", F.lit(0)).alias("__b"))), "__p")
-    return numbered.select(column, (F.col("__b") + F.col("__k")).cast("long").alias(out))
+    """(column, out): distinct values numbered from 0 in their order."""
+    return ranked(df.select(column).distinct(), out, column)
 
 
 def extend_index(known: DataFrame, new: DataFrame, column: str, index: str) -> DataFrame:

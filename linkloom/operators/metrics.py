@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .determinism import hash_number
+from .determinism import hash_number, ranked
 
 GRID = 100
 
@@ -103,11 +103,11 @@ def bootstrap(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
 
     Draw d of replicate b picks the row of rank hash(b, d) mod n in key order: the same draws anywhere.
     """
-    ranked = df.withColumn("__r", F.row_number().over(Window.orderBy(key)) - 1)
-    n = df.count()
+    placed = ranked(df, "__r", key)
+    n = placed.count()
     draws = df.sparkSession.range(replicates * n).select((F.col("id") / n).cast("int").alias("replicate"), (F.col("id") % n).alias("d"))
     draws = draws.withColumn("__r", hash_number(seed, "replicate", "d") % n).groupBy("replicate", "__r").agg(F.count(F.lit(1)).alias("weight"))
-    return draws.join(ranked, "__r").drop("__r")
+    return draws.join(placed, "__r").drop("__r")
 
 
 def interval(df: DataFrame, value: str, *by: str) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .determinism import hash_number, hash_order
+from ..storage import written
+from .determinism import hash_number, take_hashed
+from .links import dictionary_encode
 
 
 def all_cells(link: DataFrame, left: str, right: str) -> DataFrame:
@@ -37,8 +39,6 @@ def random_negatives(link: DataFrame, left: str, right: str, neg_multiple: int,
     if full_grid or wanted * 4 > n_left * n_right:
         free = all_cells(link, left, right).join(link, [left, right], "left_anti")
     else:
-        from .links import dictionary_encode
-
         li, ri = dictionary_encode(lefts, left, "__li"), dictionary_encode(rights, right, "__ri")
         each = neg_multiple + max(2, neg_multiple // 2)
         while True:
@@ -48,10 +48,11 @@ def random_negatives(link: DataFrame, left: str, right: str, neg_multiple: int,
                 (hash_number(f"{seed}r", left, right, "__d") % n_right).alias("__ri"),
             ).distinct()
             free = drawn.join(li, "__li").join(ri, "__ri").select(left, right).join(link, [left, right], "left_anti")
+            free = written(free, "free-cells")
             if free.count() >= wanted:
                 break
             each *= 2
-    return free.orderBy(hash_order(seed, left, right), left, right).limit(wanted)
+    return take_hashed(free, wanted, seed, left, right)
 
 
 def labelled_pairs(link: DataFrame, negatives: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def upsample_negatives(pairs: DataFrame, left: str, right: str, neg_multiple: in
     sizes = {r[0]: r[1] for r in pairs.groupBy("y").count().collect()}
     k = wanted_negatives(sizes.get(1, 0), sizes.get(0, 0), neg_multiple, mode)
     free = all_cells(pairs, left, right).join(pairs, [left, right], "left_anti")
-    added = free.orderBy(hash_order(seed, left, right), left, right).limit(k)
+    added = take_hashed(free, k, seed, left, right)
     return pairs.select(left, right, "y").unionByName(added.withColumn("y", F.lit(0)))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .determinism import hash_number, hash_order
+from ..storage import written
+from .determinism import hash_number, take_hashed
 
 TEST, TRAIN_ALL, OUTER = -1, -2, -1
 
@@ -19,7 +20,7 @@ def group_holdout(df: DataFrame, group: str, percent: float, seed: int) -> DataF
     """``df`` with boolean ``held``: ceil(percent of the groups) first groups in hash order."""
     groups = df.select(group).distinct()
     k = -(-groups.count() * percent // 100)
-    chosen = groups.orderBy(hash_order(seed, group), group).limit(int(k)).withColumn("__h", F.lit(True))
+    chosen = take_hashed(groups, int(k), seed, group).withColumn("__h", F.lit(True))
     return df.join(chosen, group, "left").withColumn("held", F.coalesce("__h", F.lit(False))).drop("__h")
 
 
@@ -60,7 +61,7 @@ def level_draw(points: DataFrame, key: str, cluster: str, sampled: DataFrame, fr
     hit = points.join(sampled.select(key).distinct(), key, "left_semi").select(cluster).distinct()
     candidates = points.select(cluster).distinct().join(hit, cluster, "left_anti")
     n = max(1, int(fraction / levels * points.select(cluster).distinct().count()))
-    chosen = candidates.orderBy(hash_order(seed, cluster), cluster).limit(n)
+    chosen = take_hashed(candidates, n, seed, cluster)
     return points.join(chosen, cluster, "left_semi").select(key)
 
 
@@ -71,8 +72,6 @@ def stratified_split(points: DataFrame, key: str, level_columns: list[str], fold
     ``level_columns`` hold the cluster of each point by cutoff, ascending. The driver loops over
     folds and levels only; each draw is written before the next.
     """
-    from ..storage import written
-
     left = points
     done: DataFrame | None = None
     inner = (100 - test_percent) / 100 / folds

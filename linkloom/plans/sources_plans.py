@@ -202,10 +202,7 @@ def p16(spark, sf):
 
 @query("p18_stride", "WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS n FROM events) SELECT event_id FROM r WHERE n % 10 = 1")
 def p18(spark, sf):
-    from pyspark.sql import Window
-
-    ranked = table(spark, sf, "events").select("event_id", F.row_number().over(Window.orderBy("ts", "event_id")).alias("n"))
-    return ranked.filter("n % 10 = 1").select("event_id")
+    return D.ranked(table(spark, sf, "events").select("event_id", "ts"), "n", "ts", "event_id").filter("n % 10 = 0").select("event_id")
 
 
 @query(

@@ -82,6 +82,21 @@ def test_sampling_does_not_depend_on_partitioning(spark, sf):
     assert a == b
 
 
+def test_large_samples_are_the_first_in_hash_order(spark, monkeypatch):
+    df = spark.range(3000).withColumnRenamed("id", "k")
+    whole = [r.k for r in df.orderBy(determinism.hash_order(4, "k"), "k").collect()]
+    monkeypatch.setattr(determinism, "TOP_K", 10)
+    for n in (0, 11, 1000, 2999, 3000, 5000):
+        assert sorted(r.k for r in determinism.take_hashed(df, n, 4, "k").collect()) == sorted(whole[:n])
+
+
+def test_ranks_do_not_depend_on_partitions(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v")).repartition(9)
+    got = [(r.v, r.n) for r in determinism.ranked(df, "n", F.desc("v")).collect()]
+    assert sorted(got, key=lambda x: x[1]) == [(v, n) for n, v in enumerate(sorted((x * 7919 % 5003 for x in range(5000)), reverse=True))]
+    assert determinism.ranked(df.limit(0), "n", "v").count() == 0
+
+
 def test_random_negatives_are_exact_and_stop_at_the_grid(spark):
     full = spark.createDataFrame([(i, j) for i in range(6) for j in range(6) if (i + j) % 3], "pid long, rid long")
     got = negatives.random_negatives(full, "pid", "rid", 10, 1).collect()
