@@ -99,8 +99,11 @@ class Transducer:
         self.inside = frozenset(p[i : i + 2] for p in self.ids for i in range(len(p) - 1))
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece spans words")
-        self.arcs: dict[tuple[str, str], bool] = {}
-        self.usable: dict[str, bool] = {}
+        #: Pieces that encode as themselves, and the ends of those: arcs into a place are found backwards.
+        self.usable = {p: i for p, i in self.ids.items() if self._merge([*p]) == [p]}
+        self.tails = frozenset(p[i:] for p in self.usable for i in range(len(p)))
+        self.arcs: dict[str, dict[str, bool]] = {}
+        self.n_arcs = 0
         self.paths: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
         self.max_entries = max_entries
@@ -121,56 +124,61 @@ class Transducer:
         return symbols
 
     def arc(self, a: str, b: str) -> bool:
-        """Whether the arc from piece ``a`` to piece ``b`` has a finite weight."""
-        ok = self.arcs.get((a, b))
-        if ok is None:
-            if len(self.arcs) > 4 * self.max_entries:
-                self.arcs.clear()
-            ok = self.arcs[a, b] = self._merge([*a, *b]) == [a, b]
-        return ok
-
-    def _piece(self, p: str) -> bool:
-        ok = self.usable.get(p)
-        if ok is None:
-            ok = self.usable[p] = self._merge([*p]) == [p]
+        """Whether the arc from piece ``a`` to piece ``b`` has a finite weight; the answer is kept."""
+        if self.n_arcs > 4 * self.max_entries:
+            self.arcs.clear()
+            self.n_arcs = 0
+        self.n_arcs += 1
+        ok = self.arcs.setdefault(a, {})[b] = self._merge([*a, *b]) == [a, b]
         return ok
 
     def shortest_path(self, word: str) -> list[int]:
         """Output ids on the path of finite weight through ``word``.
 
-        ``back[e]`` is the arc into position e on the shortest path to it: start and piece, or no
-        piece for a byte fallback arc, after which any piece may follow.
+        ``last[e]`` is the piece of the arc into position e on the shortest path to it, and
+        ``begin[e]`` its start; no piece means a byte fallback arc, after which any may follow.
         """
-        ids, longest = self.ids, self.longest
-        back: list[tuple[int, str | None] | None] = [(0, None)]
+        usable, letters, tails, arcs = self.usable, self.letters, self.tails, self.arcs
+        last: list[str | None] = [None]
+        begin = [0]
         for e in range(1, len(word) + 1):
-            found = None
-            if word[e - 1] not in self.letters:
-                found = (e - 1, None)
-            else:
-                for s in range(max(0, e - longest), e):
-                    piece = word[s:e]
-                    if piece in ids and back[s] is not None and self._piece(piece):
-                        before = back[s][1]
-                        if before is None or self.arc(before, piece):
-                            found = (s, piece)
-                            break
-            back.append(found)
+            if word[e - 1] not in letters:
+                last.append(None)
+                begin.append(e - 1)
+                continue
+            for s in range(e - 1, -1, -1):
+                piece = word[s:e]
+                if piece not in tails:
+                    raise ValueError("a character has no path")
+                if piece in usable:
+                    before = last[s]
+                    if before is None:
+                        break
+                    row = arcs.get(before)
+                    ok = row.get(piece) if row is not None else None
+                    if ok or ok is None and self.arc(before, piece):
+                        break
+            last.append(piece)
+            begin.append(s)
         out: list[int] = []
         e = len(word)
         while e:
-            s, piece = back[e]
-            out += [ids[piece]] if piece is not None else [self.bytes[b] for b in reversed(word[s:e].encode())]
+            s, piece = begin[e], last[e]
+            out += [usable[piece]] if piece is not None else [self.bytes[b] for b in reversed(word[s:e].encode())]
             e = s
         return out[::-1]
 
     def path(self, word: str) -> bytes:
         """Ids of a word as bytes, composed between the places that no piece spans; kept for reuse."""
+        found = self.earlier.get(word)
+        if found is not None:
+            self.paths[word] = found
+            return found
         cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inside), len(word)]
         if len(cuts) > 2:
             found = b"".join([self._known(word[a:b]) for a, b in zip(cuts, cuts[1:])])
         else:
-            found = self.earlier.get(word) or array("H", self.shortest_path(word)).tobytes()
+            found = array("H", self.shortest_path(word)).tobytes()
         self.paths[word] = found
         return found
 
