@@ -72,8 +72,12 @@ def _flagged(docs: DataFrame, bits_per_row: int, probes: int, max_broadcast_byte
 
 
 def _groups(maybe: DataFrame) -> DataFrame:
-    """(sha, keep_id, group_size) of ``maybe`` (doc_id, sha); partial sums go before the shuffle."""
-    return maybe.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    """(sha, keep_id, group_size) of ``maybe`` (doc_id, sha); partial sums go before the shuffle.
+
+    Written, so that the join that follows has no aggregate on its keys and a hot group can be split.
+    """
+    sums = maybe.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return written(sums, "exact-groups")
 
 
 def exact_groups(
