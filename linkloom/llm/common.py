@@ -1,19 +1,15 @@
-"""Session plumbing shared by the corpus operators.
-
-Intermediate tables go to the folder the cluster shares (``spark.checkpoint.dir``),
-written once and reread, so that lineage is cut and a lost executor costs only its tasks.
-"""
+"""Session plumbing shared by the corpus operators; `written` cuts lineage through the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+from ..storage import written
+
+__all__ = ["WHITE", "bounded_batches", "documents", "held_out", "labels", "shuffle_partitions", "written"]
+
 #: The ASCII white space that separates words in every operator of this package.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -31,20 +27,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """This package for the executors' Python workers, once for a Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_linkloom_shipped", False):
-        return
-    home = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="linkloom-")) / "linkloom.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(home.rglob("*.py")):
-            z.write(p, p.relative_to(home.parent))
-    sc.addPyFile(str(archive))
-    sc._linkloom_shipped = True
-
-
 def bounded_batches(spark: SparkSession) -> SparkSession:
     """Arrow batches small enough that a batch of long texts stays far below a worker's memory."""
     ship_package(spark)
@@ -53,27 +35,6 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a temporary one only in a single-process session."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not (sc.master == "local" or sc.master.startswith("local[")):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="linkloom-")
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(compression="zstd", **{"parquet.block.size": str(32 << 20)}).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3, is 1. A null id is held out: nothing is learnt from it."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))

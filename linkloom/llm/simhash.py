@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.clusters import components
 from .common import bounded_batches, written
-from .graph import components
 
 WIDTH = 64
 SHINGLE = 4

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from linkloom.llm import exact_dedup, graph, induced_sort, language_id, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, token_store, wfst
+from linkloom.llm import exact_dedup, induced_sort, language_id, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, token_store, wfst
 from linkloom.llm.subwords import CachedEncoder, library_tokenizer, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sha string, kept boolean, fp long, row string, component_id long, root long, ids binary, bucket long"
@@ -143,12 +143,6 @@ def test_simhash_with_null_ids(spark):
     assert got == [(3, 3), (3, 3), (None, 3), (None, None)]
 
 
-def test_graph_components(spark):
-    edges = [(1, 2), (2, 3), (9, 8), (5, 5)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got.keys() == {1, 2, 3, 8, 9} and got[1] == got[2] == got[3] != got[8] == got[9]
-
-
 # exact duplicates
 
 
