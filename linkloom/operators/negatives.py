@@ -32,6 +32,7 @@ def random_negatives(link: DataFrame, left: str, right: str, neg_multiple: int,
     observed ones and the first by hash are taken. Proposals grow with the links, not the grid;
     they are doubled until enough are free or the grid has no more.
     """
+    link = written(link.select(left, right), "observed")  # read five times below
     n = link.count()
     lefts, rights = link.select(left).distinct(), link.select(right).distinct()
     n_left, n_right = lefts.count(), rights.count()

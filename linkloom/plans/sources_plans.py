@@ -93,6 +93,20 @@ def s15(spark, sf):
     return S.search_runs(table(spark, sf, "orders"), "o_orderstatus = 'F' and o_orderpriority != '5-LOW'").select("o_orderkey")
 
 
+@query("s16_directory_listing", "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS id")
+def s16(spark, sf):
+    return S.file_ids(spark, f"{sf}/*.parquet").select("id")
+
+
+@query("s18_trial_store", "SELECT o_orderkey AS number, o_totalprice AS value FROM orders WHERE o_orderstatus = 'F' ORDER BY value DESC, number LIMIT 20")
+def s18(spark, sf):
+    """The best trials of a store that was exported as a headed table."""
+    path = _place(spark, "s18")
+    S.write_delimited(table(spark, sf, "orders").select(F.col("o_orderkey").alias("number"), F.col("o_totalprice").alias("value"), F.col("o_orderstatus").alias("state")), path)
+    trials = S.read_delimited(spark, path, T.StructType.fromDDL("number long, value double, state string"))
+    return S.search_runs(trials, "state = 'F'").select("number", "value").orderBy(F.desc("value"), "number").limit(20)
+
+
 @query("p1_select_rename_drop", "SELECT c_custkey AS id, c_name AS name FROM customer")
 def p1(spark, sf):
     return table(spark, sf, "customer").withColumnRenamed("c_custkey", "id").withColumnRenamed("c_name", "name").select("id", "name")
