@@ -23,8 +23,8 @@ from .common import bounded_batches, shuffle_partitions, written
 from .subwords import worker_encoder
 
 PRECISION = 18
-LANES = 1024
-BLOCK_IDS = 1 << 18
+LANES = 4096
+BLOCK_IDS = 1 << 20
 CHECKPOINT_STEPS = 128
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
@@ -36,7 +36,9 @@ class BlockDamaged(ValueError):
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and their frequencies, at least 1 each, that add up to 2**PRECISION."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    tally = np.bincount(ids, minlength=1)
+    symbols = np.flatnonzero(tally)
+    counts = tally[symbols]
     total = 1 << PRECISION
     spare = total - len(symbols)
     share = np.floor(counts * (spare / counts.sum())).astype(np.int64)
@@ -56,7 +58,7 @@ class Coder:
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.symbols)), self.freq.astype(np.int64))
+            self._slots = np.repeat(np.arange(len(self.symbols), dtype=np.int32), self.freq.astype(np.int64))
         return self._slots
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -85,7 +87,7 @@ class Coder:
 
     def decode_span(self, words: np.ndarray, state: np.ndarray, at: int, steps: int) -> np.ndarray:
         """Ids of ``steps`` steps from a checkpoint."""
-        x, out = state.astype(np.uint64), np.empty((steps, LANES), np.int64)
+        x, out = state.astype(np.uint64), np.empty((steps, LANES), np.int32)
         mask = np.uint64((1 << PRECISION) - 1)
         slots, freq, cum = self.slots, self.freq, self.cum
         for s in range(steps):
@@ -96,6 +98,8 @@ class Coder:
             low = x < _LOW
             n = int(np.count_nonzero(low))
             if n:
+                if at + n > len(words):
+                    raise BlockDamaged("a block's words end early")
                 x[low] = (x[low] << _WORD) | words[at : at + n]
                 at += n
         return self.symbols[out.ravel()]
@@ -161,7 +165,7 @@ def _writer(vocabulary: str, end_id: int, segment_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder = TaskContext.get().partitionId(), worker_encoder(vocabulary, lower=True)
+        part, encoder = TaskContext.get().partitionId(), worker_encoder(vocabulary, True)
         ids: list = []
         parts: list[bytes] = []
         size = segment = before = 0
@@ -183,7 +187,7 @@ def _writer(vocabulary: str, end_id: int, segment_ids: int):
     return write
 
 
-def write_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, segment_ids: int = 1 << 22) -> DataFrame:
+def write_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, segment_ids: int = 1 << 21) -> DataFrame:
     """The token store of ``docs``, in ascending doc_id order over parts, segments and documents.
 
     Texts are range-partitioned by id before they are encoded: a part is a contiguous id range.
