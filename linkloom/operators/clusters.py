@@ -33,7 +33,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         done = hop if done is None else done.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     if done is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    least = done.groupBy("root").agg(F.min("node").alias("least"))
+    done = written(done, "roots")
+    # written, so that the join has no aggregate on its keys and a large component can be split
+    least = written(done.groupBy("root").agg(F.min("node").alias("least")), "least")
     return written(done.join(least, "root").select("node", F.col("least").alias("root")), "components")
 
 
