@@ -206,8 +206,9 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
     """doc_id, fingerprint (16 hex digits), component_id of each row."""
     signed = written(fingerprints(docs), "simhash")
     fps = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
-    rooted = fps.join(roots(fps.select("fp"), max_distance), "fp")
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    rooted = written(fps.join(roots(fps.select("fp"), max_distance), "fp"), "simhash-roots")
+    # written, so that the join has no aggregate on its keys and a large component can be split
+    least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-components")
     named = rooted.join(least, "root").select("fp", "component_id")
     return signed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
