@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import pairwise as P
 from ..operators.links import assemble, links
 from ..registry import query, table
+from ..storage import written
 from .fixtures import LINKS, PAIRS, RXN, SCORED, SYM, r6, rxn, scored, vector_pairs
 
 
@@ -141,6 +142,33 @@ def j17(spark, sf):
     return P.containment(o.filter("o_custkey % 10 = 0"), o.filter("o_custkey % 10 = 1"), "o_custkey", "t")
 
 
+SETS = "s AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS t FROM orders GROUP BY o_custkey), c AS (SELECT t, min(k) AS c FROM s GROUP BY t)"
+
+
+def _token_sets(spark, sf):
+    """Every customer with the id of its token set, the least customer that has the same one."""
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("t"))
+    return o, o.groupBy("t").agg(F.min("o_custkey").alias("c"))
+
+
+@query(
+    "j17_containment_sets",
+    f"""WITH {SETS} SELECT a.c AS l, b.c AS r, CASE WHEN a.c = b.c THEN 'equal' WHEN list_has_all(b.t, a.t) THEN 'subset' ELSE 'superset' END AS relation
+    FROM c a, c b WHERE list_has_all(b.t, a.t) OR list_has_all(a.t, b.t)""",
+)
+def j17_sets(spark, sf):
+    """Relations of all distinct token sets; with `j17_containment_members` those of all pairs of customers."""
+    sets = _token_sets(spark, sf)[1]
+    return P.containment(sets, sets, "c", "t")
+
+
+@query("j17_containment_members", f"WITH {SETS} SELECT k AS o_custkey, c AS set_id FROM s JOIN c USING (t)")
+def j17_members(spark, sf):
+    o, sets = _token_sets(spark, sf)
+    # written, so that the join has no aggregate on its key and a common set can be split
+    return o.join(written(sets, "token-sets"), "t").select("o_custkey", F.col("c").alias("set_id"))
+
+
 @query(
     "j18_split_leak",
     f"""WITH {RXN}, v AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN s ELSE concat(string_split(s, '>>')[2], '>>', string_split(s, '>>')[1]) END AS t, p_partkey % 3 AS f FROM rxn),

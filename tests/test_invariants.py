@@ -201,3 +201,17 @@ def test_file_round_trips(spark, tmp_path):
     assert [tuple(r) for r in back.collect()] == [("r1", "C>>O", 1)]
     merged = files.merge_stores(store, spark.createDataFrame([("k2", "NN")], "key string, smarts string"), "key")
     assert {tuple(r) for r in merged.collect()} == {("k1", "CC"), ("k2", "NN")}
+
+
+def test_containment_covers_all_customers(spark, tmp_path):
+    from linkloom.catalogue import QUERIES
+
+    tokens = {1: "ab", 2: "ba", 3: "a", 4: "abc", 5: "c", 6: "a", 17: "d", 28: "abcd"}
+    rows = [(k, t) for k, ts in tokens.items() for t in ts]
+    spark.createDataFrame(rows, "o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    members = [tuple(r) for r in QUERIES["j17_containment_members"](spark, str(tmp_path)).select("o_custkey", "set_id").collect()]
+    relation = {(r.l, r.r): r.relation for r in QUERIES["j17_containment_sets"](spark, str(tmp_path)).collect()}
+    got = {(a, b): relation[x, y] for a, x in members for b, y in members if (x, y) in relation}
+    sets = {k: set(ts) for k, ts in tokens.items()}
+    expected = {(a, b): "equal" if s == t else "subset" if s < t else "superset" for a, s in sets.items() for b, t in sets.items() if s <= t or s >= t}
+    assert got == expected
