@@ -57,6 +57,19 @@ def c4(spark, sf):
     return C.merge_clusters(base, "vec_id", "cluster", norm.filter("sim > 0.6 AND i % 2 = 0 AND j % 2 = 0"))
 
 
+@query(
+    "c4_cluster_merge_all",
+    f"""WITH RECURSIVE {NORMAL}, {clusters_sql(0.62, 'base')}, g AS (SELECT a.cluster AS a, b.cluster AS b FROM norm JOIN base a ON i = a.vec_id JOIN base b ON j = b.vec_id WHERE sim > 0.6::DOUBLE AND a.cluster <> b.cluster),
+    h AS (SELECT a, b FROM g UNION SELECT b, a FROM g), w AS (SELECT DISTINCT cluster AS node, cluster AS root FROM base UNION SELECT h.b, w.root FROM w JOIN h ON h.a = w.node),
+    m AS (SELECT node, min(root) AS root FROM w GROUP BY node) SELECT vec_id, root AS cluster FROM base JOIN m ON cluster = node""",
+)
+def c4_all(spark, sf):
+    """Clusters merged over all pairs above the second cutoff."""
+    norm = C.normalised(vector_pairs(spark, sf))
+    base = C.single_linkage(table(spark, sf, "embeddings"), "vec_id", norm, 0.62)
+    return C.merge_clusters(base, "vec_id", "cluster", norm.filter("sim > 0.6"))
+
+
 @query("c5_mixed_clusters", f"WITH RECURSIVE {NORMAL}, {clusters_sql(0.6)} SELECT cluster, count(DISTINCT vec_id % 2) AS sides, count(*) AS members FROM cl GROUP BY cluster HAVING count(DISTINCT vec_id % 2) > 1")
 def c5(spark, sf):
     side = _clusters(spark, sf, 0.6).withColumn("side", F.col("vec_id") % 2)

@@ -125,6 +125,20 @@ def j15(spark, sf):
     return P.combined_similarity(q, pairs, pairs).withColumn("sim", r6("sim"))
 
 
+@query(
+    "j15_combined_similarity_all",
+    f"""WITH {PAIRS}, bits AS (SELECT vec_id, [CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR x IN embedding] AS v FROM embeddings),
+    t AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) AS d, list_sum(a.v) + list_sum(b.v) AS n FROM bits a JOIN bits b ON a.vec_id < b.vec_id)
+    SELECT i AS l1, i AS r1, j AS l2, j AS r2, round(greatest(sim, CASE WHEN n = d THEN 0.0::DOUBLE ELSE d / (n - d) END), 6) AS sim FROM pairs JOIN t USING (i, j)""",
+)
+def j15_all(spark, sf):
+    """All pairs of links: the left entities by cosine, the right ones by Tanimoto of their signs."""
+    bits = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("v"))
+    pairs = vector_pairs(spark, sf)
+    q = pairs.select(F.col("i").alias("l1"), F.col("i").alias("r1"), F.col("j").alias("l2"), F.col("j").alias("r2"))
+    return P.combined_similarity(q, pairs, P.pairwise(bits, "vec_id", "v", "tanimoto")).withColumn("sim", r6("sim"))
+
+
 @query("j16_sibling_pairs", "WITH k AS (SELECT DISTINCT s_nationkey AS k, s_suppkey AS e FROM supplier) SELECT DISTINCT a.e AS i, b.e AS j FROM k a JOIN k b ON a.k = b.k AND a.e < b.e")
 def j16(spark, sf):
     return P.sibling_pairs(table(spark, sf, "supplier"), "s_nationkey", "s_suppkey")

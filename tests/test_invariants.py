@@ -215,3 +215,22 @@ def test_containment_covers_all_customers(spark, tmp_path):
     sets = {k: set(ts) for k, ts in tokens.items()}
     expected = {(a, b): "equal" if s == t else "subset" if s < t else "superset" for a, s in sets.items() for b, t in sets.items() if s <= t or s >= t}
     assert got == expected
+
+
+def test_combined_similarity_covers_all_pairs_and_decides_between_both_sides(spark, sf):
+    from linkloom.catalogue import QUERIES
+    from linkloom.plans.fixtures import r6, vector_pairs
+    from linkloom.registry import table
+
+    n = table(spark, sf, "embeddings").count()
+    met = QUERIES["j15_combined_similarity_all"](spark, sf).join(vector_pairs(spark, sf).select(F.col("i").alias("l1"), F.col("j").alias("l2"), r6("sim").alias("left")), ["l1", "l2"])
+    rows = met.agg(F.count(F.lit(1)), F.count_if(F.col("sim") == F.col("left")), F.count_if(F.col("sim") > F.col("left"))).first()
+    assert rows[0] == n * (n - 1) // 2 and rows[1] > 0 and rows[2] > 0 and rows[1] + rows[2] == rows[0]
+
+
+def test_clusters_merge_over_all_pairs(spark, sf):
+    from linkloom.catalogue import QUERIES
+
+    merged = sorted(tuple(r) for r in QUERIES["c4_cluster_merge_all"](spark, sf).collect())
+    assert merged == sorted(tuple(r) for r in QUERIES["c2_single_linkage"](spark, sf).collect())
+    assert merged != sorted(tuple(r) for r in QUERIES["c4_cluster_merge"](spark, sf).collect())
