@@ -71,15 +71,18 @@ class Coder:
         x = np.full(LANES, _LOW, np.uint64)
         out: list[np.ndarray] = []
         marks: list[tuple[int, np.ndarray]] = []
+        emitted = marked = 0  # a step may emit nothing, so words are counted and not steps
         for s in range(steps - 1, -1, -1):
             full = x >= limit[s]
             if full.any():
                 out.append(x[full].astype(np.uint32))
+                emitted += len(out[-1])
                 x = np.where(full, x >> _WORD, x)
             q = x // freq[s]
             x = (q << np.uint64(PRECISION)) + (x - q * freq[s]) + cum[s]
             if s % CHECKPOINT_STEPS == 0:
-                marks.append((sum(map(len, out[-CHECKPOINT_STEPS:])), x.copy()))
+                marks.append((emitted - marked, x.copy()))
+                marked = emitted
         words = np.concatenate(out[::-1]) if out else np.zeros(0, np.uint32)
         sizes, states = [m[0] for m in marks[::-1]], [m[1] for m in marks[::-1]]
         at = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if sizes else np.zeros(0)

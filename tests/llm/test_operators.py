@@ -285,6 +285,15 @@ def test_token_block_decodes_from_a_checkpoint():
     assert (part == ids[first : first + len(part)]).all()
 
 
+def test_token_blocks_of_a_repeated_phrase():
+    rng = np.random.default_rng(2)
+    span = token_store.CHECKPOINT_STEPS * token_store.LANES
+    ordinary = [rng.integers(0, 3000, n).astype("<u2") for n in (200_000, 5_000)]
+    texts = [ordinary[0], np.tile(np.array([5, 9, 5, 7], "<u2"), 2 * span // 4 + 5_000), ordinary[1], np.full(3 * span, 6, "<u2")]
+    row = token_store.pack_segment(0, 0, 0, [1, 2, 3, 4], [t.tobytes() for t in texts])
+    assert (token_store.unpack_segment(row) == np.concatenate(texts)).all()
+
+
 def test_token_counts(docs, rows):
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs).collect()}
     library = library_tokenizer("word_bpe_49k.json")
