@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.clusters import components
 from .common import bounded_batches, written
@@ -202,19 +203,43 @@ def roots(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     return held.join(step, "root", "left").select("fp", F.coalesce("next", "root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of each row."""
+def _judged(docs: DataFrame, max_distance: int) -> DataFrame:
+    """doc_id, fp, component_id of each row."""
     signed = written(fingerprints(docs), "simhash")
     fps = written(signed.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     rooted = written(fps.join(roots(fps.select("fp"), max_distance), "fp"), "simhash-roots")
     # written, so that the join has no aggregate on its keys and a large component can be split
     least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-components")
     named = rooted.join(least, "root").select("fp", "component_id")
-    return signed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return signed.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of each row."""
+    return _judged(docs, max_distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _with_fingerprint(docs: DataFrame) -> DataFrame:
+    at = docs.columns.index("text")
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t.as_py()) for t in b.column(at)], pa.int64())], names=[*b.schema.names, "__fp"])
+
+    return docs.mapInArrow(compute, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
 
 
 def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Rows of ``docs``, all columns: of each component the smallest id (rows with a null id stay)."""
-    gone = near_duplicates(docs.select("doc_id", "text"), max_distance).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = written(gone, "simhash-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """Rows of ``docs``, all columns: of each component the smallest id (rows with a null id stay).
+
+    An id can have texts in several components; only rows of such ids are told apart by fingerprint.
+    """
+    judged = written(_judged(docs.select("doc_id", "text"), max_distance), "simhash-judged")
+    gone = written(judged.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__gone_fp")).distinct(), "simhash-gone")
+    of_gone = F.col("doc_id") == F.col("__gone")
+    kept = docs.join(gone, of_gone, "left_anti")
+    mixed = written(gone.select("__gone").distinct().join(judged.filter("doc_id = component_id").select("doc_id"), of_gone, "left_semi"), "simhash-mixed")
+    if mixed.isEmpty():
+        return kept
+    told = _with_fingerprint(docs.join(mixed, of_gone, "left_semi"))
+    return kept.unionByName(told.join(gone, of_gone & (F.col("__fp") == F.col("__gone_fp")), "left_anti").drop("__fp"))

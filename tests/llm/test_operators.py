@@ -137,6 +137,13 @@ def test_keep_one_keeps_the_smallest(docs, rows):
     assert kept == {i for i, c in components.items() if i == c}
 
 
+def test_keep_one_tells_rows_of_a_repeated_id_apart(spark):
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    got = simhash.keep_one(frame(spark, [(1, a), (5, a), (5, b), (6, b), (7, c), (7, c), (None, a)])).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, a), (5, b), (7, c), (7, c), (None, a)], key=repr)
+
+
 def test_simhash_with_null_ids(spark):
     df = frame(spark, [(None, "one two three four five"), (None, "quite other words are here"), (3, "one two three four five"), (3, "one two three four five")])
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
