@@ -405,6 +405,18 @@ def test_forest_sets_outliers_apart():
     assert score[400:].min() > np.quantile(score[:400], 0.98)
 
 
+def test_rules_judge_repeated_lines_and_windows():
+    rng = np.random.default_rng(4)
+    words = rng.integers(100, 800, 2000)
+    clean = np.stack([words, 5 * words, rng.poisson(1, 2000), (rng.random(2000) < 0.05) * 1, (rng.random(2000) < 0.1) * (words // 10)], axis=1)
+    symbols, lines, windows = clean[:30].copy(), clean[30:60].copy(), clean[60:90].copy()
+    symbols[:, 2], lines[:, 3], windows[:, 4] = symbols[:, 0] * 2, lines[:, 0] // 3, windows[:, 0] * 9 // 20
+    counts = np.concatenate([clean, symbols, lines, windows])
+    model = quality_rules.fit(counts, np.repeat([1, 0], [len(clean), 90]))
+    rejected = model.anomaly(counts) > model.threshold
+    assert rejected[2000:].all() and rejected[:2000].mean() <= 2 * quality_rules.MAX_CLEAN_LOSS
+
+
 def test_rules_without_labels_only_base_rules(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept != r.base_failed for r in quality_rules.apply_rules(docs, none).collect())
