@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from ..storage import written
+from ..storage import shared_dir, written
 
-__all__ = ["WHITE", "bounded_batches", "documents", "held_out", "labels", "shuffle_partitions", "written"]
+__all__ = ["WHITE", "bounded_batches", "bucketed", "documents", "held_out", "labels", "shuffle_partitions", "spare_name", "written"]
 
 #: The ASCII white space that separates words in every operator of this package.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -35,6 +37,22 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spare_name(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` written once to the shared folder in hash buckets of ``key``: groups and joins on it don't shuffle it again."""
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}"
+    df.write.bucketBy(min(buckets, 100_000), key).option("path", path).option("compression", "none").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 3, is 1. A null id is held out: nothing is learnt from it."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))

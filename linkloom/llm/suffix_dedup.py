@@ -2,23 +2,32 @@
 
 A byte goes if a window of `WINDOW` bytes over it also starts in a document with a smaller id.
 
+0. Rows are gathered in chunks of about `CHUNK_BYTES` of text, each one row of a bucketed table. A row
+   is known by its chunk and its place in it; later steps join by chunk without moving texts again.
 1. Every window has a key, the least hash of its `GRAM`-byte grams: equal windows have equal keys.
-   A bitmap of keys that two different documents hold leaves out most of the corpus. Its size
-   follows the input up to a bound; beyond that it only leaves out less.
-2. Runs of windows with one such key go to the shard of that key as short regions, equal ones of a
-   task once with all their places. Equal windows of different documents meet in one shard.
-3. A shard sorts all suffixes of its regions by external induction (`induced_sort`). Suffixes that
+   Each chunk sends the distinct hashes of its keys to key ranges, whose number grows with the
+   corpus, and gets back which of them other texts hold too. No task and no broadcast holds a
+   filter of the whole corpus, and none fills up.
+2. A key that more than `HOT_TEXTS` texts hold is hot. Of its windows, whole hashes are exchanged in
+   the same way, and only windows that two texts share go on: what surrounds a common passage stays.
+3. Runs of windows with one shared key go to the shard of that key as short regions, once for each
+   content and chunk, with the smallest id there. Places stay in the chunk, so a common passage
+   costs a region for each chunk and not for each document.
+4. A shard sorts all suffixes of its regions by external induction (`induced_sort`). Suffixes that
    share `WINDOW` bytes with their neighbours are one group; its smallest id decides each window.
    A region that alone has its key in the whole corpus can share a window with no other content:
-   its places are equal throughout, and it needs no sorting.
-4. Removed intervals return to the documents, which are cut and digested.
+   it needs no sorting. Chunks get back the spans of their regions that earlier documents hold.
+5. Chunks find their regions again, cut the spans out of every place and digest the texts.
 
-Documents are equal to themselves only: copies of a text within one task are judged by its
-smallest id there, the others are removed whole (each window starts in that one too).
+Copies of a text within one chunk are judged by its smallest id there, the others are removed whole
+(each window starts in that one too).
 
 Defined cases: null text is empty; null ids come after every id, so they remove nothing of others,
-and of equal texts with null ids none removes the other; rows that share an id never remove each
-other's bytes; texts shorter than a window keep everything; an empty table gives an empty result.
+and of equal texts with null ids none removes the other; rows that share an id, repeated rows too,
+never remove each other's bytes; texts shorter than a window keep everything; a text of any length
+lies in one chunk; of equal windows the smallest id stays, whatever their order; extra columns are
+ignored by `repeated_passages` and kept by `cut_repeats`, under any names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -33,19 +42,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, shuffle_partitions
+from .common import bounded_batches, bucketed, shuffle_partitions, spare_name, written
 from .induced_sort import sorted_suffixes
 
 WINDOW = 50
 GRAM = 24
 MAX_RUN = 64
+#: A key held by more texts is told apart window by window.
+HOT_TEXTS = 1000
 NO_ID = np.iinfo(np.int64).max
-RANGE_BITS = 1 << 22
-MAX_FILTER_BITS = 1 << 30
-CHUNK_BYTES = 24 << 20
+#: Text bytes of a chunk, of one range of the key exchange, of one shard, and of a bucket of chunks.
+CHUNK_BYTES = 8 << 20
+RANGE_BYTES = 48 << 20
+SHARD_BYTES = 8 << 20
+BUCKET_BYTES = 64 << 20
 BLOCK_BYTES = 1 << 18
-SHARD_BYTES = 6 << 20
-BUCKET_BYTES = 12 << 20
 SEPARATOR = b"\xff"  # never a byte of UTF-8
 
 
@@ -64,23 +75,28 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def window_keys(data: np.ndarray) -> np.ndarray:
-    """Key of the window at each place of ``data`` where one fits (at least `WINDOW` bytes)."""
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes from each place of ``data``, by doubling."""
     h = data.astype(np.uint64) + np.uint64(1)
     width = 1
     kept: dict[int, np.ndarray] = {1: h}
-    while 2 * width <= GRAM:
+    while 2 * width <= size:
         h = _mix(h[:-width] * np.uint64(0xC2B2AE3D27D4EB4F) + h[width:])
         width *= 2
         kept[width] = h
-    rest, at = GRAM - width, width
+    rest, at = size - width, width
     while rest:
         part = 1 << (rest.bit_length() - 1)
         tail = kept[part][at:]
         n = min(len(h), len(tail))
         h = _mix(h[:n] * np.uint64(0xC2B2AE3D27D4EB4F) + tail[:n])
         at, rest = at + part, rest - part
-    return _slide(h, WINDOW - GRAM + 1)
+    return h
+
+
+def window_keys(data: np.ndarray) -> np.ndarray:
+    """Key of the window at each place of ``data`` where one fits (at least `WINDOW` bytes)."""
+    return _slide(gram_hashes(data, GRAM), WINDOW - GRAM + 1)
 
 
 def key_runs(sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,8 +127,11 @@ def key_runs(sizes: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return text, start - (ends - sizes)[text], stop - start, keys[start]
 
 
-def positions_of(keys: np.ndarray, n_bits: int) -> np.ndarray:
-    return (_mix(keys ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - (n_bits.bit_length() - 1))).astype(np.int64)
+def codes_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Range (upper 32 bits) and value in it (lower 32 bits) of hashes."""
+    h = _mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
+    low = np.uint64(0xFFFFFFFF)
+    return (((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)) << np.uint64(32) | _mix(h) & low
 
 
 def _shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -127,166 +146,206 @@ def _spread(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data), kind)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[dict[bytes, list[tuple[int, int]]]]:
-    """Distinct texts of a bounded part of the task's rows, each with its (id, row key) pairs."""
-    held: dict[bytes, list[tuple[int, int]]] = {}
-    size = 0
-    for b in batches:
-        for key, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            data = (text or "").encode()
-            if data not in held:
-                held[data] = []
-                size += len(data)
-            held[data].append((NO_ID if doc_id is None else doc_id, key))
-        if size >= most:
-            yield held
-            held, size = {}, 0
-    if held:
-        yield held
-
-
-def _blocks(texts: list[bytes], most: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of neighbouring texts of about ``most`` bytes, with the place of their first."""
-    a = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield a, texts[a : i + 1]
-            a, size = i + 1, 0
-    if a < len(texts):
-        yield a, texts[a:]
-
-
-def _filter_writer(n_bits: int):
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches, CHUNK_BYTES):
-            found = []
-            for _, texts in _blocks([t for t in chunk if len(t) >= WINDOW]):
-                text, _, _, keys = key_runs(np.array([len(t) for t in texts]), np.frombuffer(b"".join(texts), np.uint8))
-                # a text counts once for a position
-                pair = np.unique(text.astype(np.uint64) << np.uint64(40) | positions_of(keys, n_bits).astype(np.uint64))
-                found.append((pair & np.uint64((1 << 40) - 1)).astype(np.int64))
-            if not found:
+def _nth(counts: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each of ``counts``, one after another."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Places where a run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+# chunks
+
+CHUNK = "chunk long, rows binary"
+
+
+def _chunker(text_at: int, most: int):
+    def pack(chunk: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(pa.Table.from_batches(held).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "rows"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
                 continue
-            places, counts = np.unique(np.concatenate(found), return_counts=True)
-            ranges = places // RANGE_BITS
-            heads = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))
-            rows = []
-            for a, e in zip(heads, np.append(heads[1:], len(places))):
-                local = (places[a:e] - ranges[a] * RANGE_BITS).astype("<u4")
-                twice = local[counts[a:e] > 1]
-                rows.append((int(ranges[a]), _squeeze(np.diff(local, prepend=np.uint32(0))), _squeeze(twice)))
-            r, once, many = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(once, pa.binary()), pa.array(many, pa.binary())], names=["range", "places", "twice"])
-
-    return write
-
-
-def _filter_merger(table: pa.Table) -> pa.Table:
-    seen, twice = np.zeros(RANGE_BITS, bool), np.zeros(RANGE_BITS, bool)
-    for once, many in zip(table.column("places").to_pylist(), table.column("twice").to_pylist()):
-        places = np.cumsum(_spread(once, "<u4"), dtype=np.int64)
-        twice[places[seen[places]]] = True
-        seen[places] = True
-        twice[_spread(many, "<u4")] = True
-    return pa.table({"range": pa.array([table.column("range")[0].as_py()], pa.int64()), "bitmap": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
-
-
-def shared_key_filter(rows: DataFrame, n_bits: int) -> np.ndarray:
-    """Bitmap of key positions that at least two different texts hold; ``n_bits`` bounds its size."""
-    blobs = rows.mapInArrow(_filter_writer(n_bits), "range long, places binary, twice binary")
-    merged = blobs.groupBy("range").applyInArrow(_filter_merger, "range long, bitmap binary").toLocalIterator()
-    bitmap = np.zeros(n_bits // 8, np.uint8)
-    for r in merged:
-        a = r["range"] * RANGE_BITS // 8
-        bitmap[a : a + RANGE_BITS // 8] = np.frombuffer(r["bitmap"], np.uint8)
-    return bitmap
-
-
-_SHARD = "shard long, regions binary, sizes binary, marks binary, places binary, keys binary, ids binary, starts binary, wholes binary"
+            held.append(b)
+            size += b.column(text_at).nbytes
+            if size >= most:
+                yield pack(chunk, held)
+                held, size, chunk = [], 0, chunk + 1
+        if held:
+            yield pack(chunk, held)
+
+    return gather
+
+
+class Chunk:
+    """The distinct texts of a chunk with the rows that hold them, and the runs of their keys."""
+
+    def __init__(self, chunk: int, rows: pa.Table, id_at: int, text_at: int):
+        self.chunk, self.rows = chunk, rows
+        ids = rows.column(id_at).to_pylist()
+        owners: dict[bytes, list[int]] = {}
+        self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
+        for k, t in enumerate(rows.column(text_at).to_pylist()):
+            owners.setdefault((t or "").encode(), []).append(k)
+        self.texts, self.owners = list(owners), list(owners.values())
+        self.low = np.array([self.ids[o].min() for o in self.owners], np.int64)
+        self.long = [i for i, t in enumerate(self.texts) if len(t) >= WINDOW]
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        for first, block in self._blocks():
+            text, *rest = key_runs(np.array([len(t) for t in block]), np.frombuffer(b"".join(block), np.uint8))
+            for out, x in zip(found, (text + first, *rest)):
+                out.append(x)
+        kinds = (np.int64, np.int64, np.int64, np.uint64)
+        self.text, self.start, self.windows, self.keys = (np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(found, kinds))
+
+    def _blocks(self, most: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+        """Runs of neighbouring long texts of about ``most`` bytes; numbers below count long texts."""
+        a = size = 0
+        for i, t in enumerate(self.long):
+            size += len(self.texts[t])
+            if size >= most:
+                yield a, [self.texts[k] for k in self.long[a : i + 1]]
+                a, size = i + 1, 0
+        if a < len(self.long):
+            yield a, [self.texts[k] for k in self.long[a:]]
+
+    def windows_of(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, start, hash) of each window of ``runs``."""
+        run, start = np.repeat(runs, self.windows[runs]), np.repeat(self.start[runs], self.windows[runs]) + _nth(self.windows[runs])
+        hashes = np.zeros(len(run), np.uint64)
+        text = self.text[run]
+        order = np.argsort(text, kind="stable")
+        for part in np.split(order, _heads(text[order])[1:]) if len(order) else ():
+            t = self.texts[self.long[text[part[0]]]]
+            hashes[part] = gram_hashes(np.frombuffer(t, np.uint8), WINDOW)[start[part]]
+        return run, start, hashes
+
+    def regions(self, flags: dict[int, bytes], hot_flags: dict[int, bytes], ranges: int) -> Regions:
+        """Runs whose key other texts hold; of hot keys, what runs of shared windows are left."""
+        flag = flags_of(codes_of(self.keys, ranges), flags)
+        runs = np.flatnonzero(flag == 1)
+        text, start, windows, keys = self.text[runs], self.start[runs], self.windows[runs], self.keys[runs]
+        hot = np.flatnonzero(flag == 2)
+        if len(hot):
+            run, at, hashes = self.windows_of(hot)
+            shared = np.flatnonzero(flags_of(codes_of(hashes, ranges), hot_flags) > 0)
+            run, at = run[shared], at[shared]
+            head = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)])) if len(run) else np.zeros(0, np.int64)
+            tail = np.append(head[1:], len(run))[: len(head)] - 1
+            text, start = np.concatenate([text, self.text[run[head]]]), np.concatenate([start, at[head]])
+            windows, keys = np.concatenate([windows, at[tail] - at[head] + 1]), np.concatenate([keys, self.keys[run[head]]])
+        return Regions(self, text, start, windows, keys)
+
+
+class Regions:
+    """Distinct region contents of a chunk, the smallest id of each, and all places they have there."""
+
+    def __init__(self, chunk: Chunk, text: np.ndarray, start: np.ndarray, windows: np.ndarray, keys: np.ndarray):
+        texts, long = chunk.texts, chunk.long
+        self.text, self.start, self.size = text, start, windows + WINDOW - 1
+        number: dict[bytes, int] = {}
+        setdefault = number.setdefault
+        of, fresh = [], []
+        for k, (t, a, e) in enumerate(zip(text.tolist(), start.tolist(), (start + self.size).tolist())):
+            at = setdefault(texts[long[t]][a:e], len(number))
+            if at == len(fresh):
+                fresh.append(k)
+            of.append(at)
+        self.contents = list(number)
+        self.region = np.array(of, np.int64)
+        self.keys = keys[fresh]
+        self.low = np.full(len(self.contents), NO_ID, np.int64)
+        np.minimum.at(self.low, self.region, chunk.low[[long[t] for t in text.tolist()]] if len(text) else np.zeros(0, np.int64))
+
+    def by_shard(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Numbers of the regions of each shard, ascending."""
+        shard = _shards_of(self.keys, shards)
+        order = np.argsort(shard, kind="stable")
+        heads = _heads(shard[order])
+        for a, e in zip(heads, np.append(heads[1:], len(order))):
+            yield int(shard[order[a]]), order[a:e]
+
+
+def _read_chunk(rows: pa.Table, id_at: int, text_at: int) -> Chunk:
+    with pa.ipc.open_stream(rows.column("rows")[0].as_py()) as stream:
+        return Chunk(rows.column("chunk")[0].as_py(), stream.read_all(), id_at, text_at)
+
+
+# the exchange of hashes
+
+HASHES = "hash_range long, chunk long, values binary, counts binary"
+FLAGS = "chunk long, hash_range long, flags binary, hot boolean"
+
+
+def hash_rows(chunk: int, text: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+    """A row a range: the distinct values there, ascending, and how many texts of the chunk hold each."""
+    order = np.lexsort((text, codes))
+    code, text = codes[order], text[order]
+    heads = _heads(code)
+    fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (text[1:] != text[:-1])]) if len(code) else np.zeros(0, bool)
+    texts = np.minimum(np.add.reduceat(fresh.astype(np.int64), heads), 255) if len(code) else heads
+    code = code[heads]
+    ranges = code >> np.uint64(32)
+    values = (code & np.uint64(0xFFFFFFFF)).astype("<u4")
+    cuts = _heads(ranges)
+    rows = [(int(ranges[a]), chunk, _squeeze(np.diff(values[a:e], prepend=np.uint32(0))), _squeeze(texts[a:e].astype(np.uint8))) for a, e in zip(cuts, np.append(cuts[1:], len(code)))]
+    columns = list(zip(*rows)) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["hash_range", "chunk", "values", "counts"])
+
+
+def _flagger(hot_texts: int):
+    def flag(table: pa.Table) -> pa.Table:
+        """For each chunk of one range, 1 for values that two texts hold and 2 for hot ones."""
+        values = [np.cumsum(_spread(v, "<u4"), dtype="<u4") for v in table.column("values").to_pylist()]
+        each = np.concatenate(values)
+        counts = np.concatenate([_spread(c, np.uint8) for c in table.column("counts").to_pylist()]).astype(np.int64)
+        order = np.argsort(each, kind="stable")
+        heads = _heads(each[order])
+        total = np.add.reduceat(counts[order], heads)
+        kind = (total > 1).astype(np.uint8) + (total > hot_texts).astype(np.uint8)
+        flags = np.empty(len(each), np.uint8)
+        flags[order] = np.repeat(kind, np.diff(np.append(heads, len(each))))
+        ends = np.cumsum([len(v) for v in values])
+        rows = []
+        for chunk, a, e in zip(table.column("chunk").to_pylist(), ends - [len(v) for v in values], ends):
+            part = flags[a:e]
+            if part.any():
+                rows.append((chunk, table.column("hash_range")[0].as_py(), _squeeze(part), bool((part == 2).any())))
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], names=["chunk", "hash_range", "flags", "hot"])
+
+    return flag
+
+
+def flags_of(codes: np.ndarray, flags: dict[int, bytes]) -> np.ndarray:
+    """Flag of each code, from the flags of its range; a range without flags has none set."""
+    code, back = np.unique(codes, return_inverse=True)
+    out = np.zeros(len(code), np.uint8)
+    ranges = code >> np.uint64(32)
+    heads = _heads(ranges)
+    for a, e in zip(heads, np.append(heads[1:], len(code))):
+        found = flags.get(int(ranges[a]))
+        if found is not None:
+            out[a:e] = _spread(found, np.uint8)
+    return out[back]
+
+
+# shards
+
+_SHARD = "shard long, chunk long, regions binary, sizes binary, marks binary, ids binary"
 _SHARD_NAMES = [c.split()[0] for c in _SHARD.split(", ")]
-_CUT = "bucket long, keys binary, starts binary, ends binary"
-
-
-def _whole_rows(chunk: dict, shards: int) -> Iterator[pa.RecordBatch]:
-    """Copies of a text that follow its smallest id in the chunk are cut whole; carried by shard -1."""
-    keys, sizes = [], []
-    for data, owners in chunk.items():
-        least = min(owners)[0]
-        later = [k for d, k in owners if d > least] if len(data) >= WINDOW else []
-        keys += later
-        sizes += [len(data)] * len(later)
-    if keys:
-        values = [np.random.default_rng(keys[0] & 0xFFFF).integers(shards).item(), b"", b"", b"", b"", _squeeze(np.array(keys, "<i8")), b"", b"", _squeeze(np.array(sizes, "<i8"))]
-        yield pa.RecordBatch.from_arrays([pa.array([values[0]], pa.int64()), *[pa.array([v], pa.binary()) for v in values[1:]]], names=_SHARD_NAMES)
-
-
-def _region_writer(bitmap, n_bits: int, shards: int):
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        for chunk in _chunks(batches, CHUNK_BYTES):
-            yield from _whole_rows(chunk, shards)
-            texts = [t for t in chunk if len(t) >= WINDOW]
-            number: dict[bytes, int] = {}
-            region_keys: list[np.ndarray] = []
-            occ_region: list[int] = []
-            occ_text, occ_start = [], []
-            for first, block in _blocks(texts):
-                text, start, windows, keys = key_runs(np.array([len(t) for t in block]), np.frombuffer(b"".join(block), np.uint8))
-                place = positions_of(keys, n_bits)
-                hit = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-                if not len(hit):
-                    continue
-                text, start, windows, keys = text[hit], start[hit], windows[hit], keys[hit]
-                known = len(number)
-                fresh = []
-                for k, (t, a, e) in enumerate(zip(text.tolist(), start.tolist(), (start + windows + WINDOW - 1).tolist())):
-                    at = number.setdefault(block[t][a:e], known)
-                    if at == known:
-                        known += 1
-                        fresh.append(k)
-                    occ_region.append(at)
-                region_keys.append(keys[fresh])
-                occ_text.append(text + first)
-                occ_start.append(start)
-            if not number:
-                continue
-            # the owners of a text that hold its smallest id all have the same places
-            owners, owner_of = [], []
-            for i, t in enumerate(texts):
-                least = min(chunk[t])[0]
-                mine = [(d, k) for d, k in chunk[t] if d == least]
-                owners += mine
-                owner_of += [i] * len(mine)
-            owner_ids, owner_keys = np.array([o[0] for o in owners], np.int64), np.array([o[1] for o in owners], np.int64)
-            per_text = np.bincount(owner_of, minlength=len(texts))
-            first_owner = np.cumsum(per_text) - per_text
-            region, text, start = np.array(occ_region), np.concatenate(occ_text), np.concatenate(occ_start)
-            many = per_text[text]
-            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            region, owner, start = np.repeat(region, many), np.repeat(first_owner[text], many) + nth, np.repeat(start, many)
-            all_keys = np.concatenate(region_keys)
-            shard = _shards_of(all_keys, shards)
-            contents = list(number)
-            del number, occ_region
-            by_shard = np.argsort(shard, kind="stable")
-            rank = np.empty(len(shard), np.int64)
-            rank[by_shard] = np.arange(len(shard))
-            order = np.argsort(rank[region], kind="stable")
-            region, owner, start = region[order], owner[order], start[order]
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(shard[by_shard]) != 0]))
-            counts = np.bincount(region, minlength=len(shard))[by_shard]
-            occ_end = np.cumsum(counts)
-            for a, e in zip(heads, np.append(heads[1:], len(by_shard))):
-                own = [contents[i] for i in by_shard[a:e].tolist()]
-                x, y = occ_end[a] - counts[a], occ_end[e - 1]
-                values = [
-                    zstandard.compress(b"".join(own), 1), _squeeze(np.array([len(o) for o in own], "<u2")), all_keys[by_shard[a:e]].astype("<u4").tobytes(), _squeeze(counts[a:e].astype("<u4")),
-                    _squeeze(owner_keys[owner[x:y]]), _squeeze(owner_ids[owner[x:y]]), _squeeze(start[x:y].astype("<u4")), b"",
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array([int(shard[by_shard[a]])], pa.int64()), *[pa.array([v], pa.binary()) for v in values]], names=_SHARD_NAMES)
-
-    return write
+_SPANS = "chunk long, shard long, spans binary"
 
 
 def least_ids(contents: np.ndarray, sizes: np.ndarray, ids: np.ndarray, budget: int) -> np.ndarray:
@@ -296,16 +355,19 @@ def least_ids(contents: np.ndarray, sizes: np.ndarray, ids: np.ndarray, budget:
     """
     ends = np.cumsum(sizes + 1)
     starts = ends - sizes - 1
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
-    place = np.arange(len(contents)) - starts[owner]
-    window = place <= sizes[owner] - WINDOW
     least = np.full(len(contents), NO_ID, np.int64)
     open_at: list[np.ndarray] = []  # a group may go on in the next block
 
+    def id_of(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a window fits at each place, and the id of its region if it does."""
+        owner = np.searchsorted(ends, members, side="right")
+        fits = members - starts[owner] <= sizes[owner] - WINDOW
+        return fits, np.where(fits, ids[owner], NO_ID)
+
     def close(members: np.ndarray) -> None:
-        members = members[window[members]]
         if len(members):
-            least[members] = ids[owner[members]].min()
+            fits, value = id_of(members)
+            least[members[fits]] = value.min()
 
     for suffixes, prefixes in sorted_suffixes(contents, WINDOW, budget):
         heads = np.flatnonzero(prefixes < WINDOW)
@@ -317,92 +379,71 @@ def least_ids(contents: np.ndarray, sizes: np.ndarray, ids: np.ndarray, budget:
         inner = suffixes[heads[0] : heads[-1]]
         if len(inner):
             group = heads[:-1] - heads[0]
-            value = np.where(window[inner], ids[owner[inner]], NO_ID)
+            fits, value = id_of(inner)
             low = np.minimum.reduceat(value, group)
-            least[inner] = np.repeat(low, np.diff(np.append(group, len(inner))))
+            least[inner[fits]] = np.repeat(low, np.diff(np.append(group, len(inner))))[fits]
         open_at = [suffixes[heads[-1] :]]
     if open_at:
         close(np.concatenate(open_at))
-    return np.where(window, least, NO_ID)
+    return least
 
 
-def shard_cuts(
-    regions: list[bytes], marks: np.ndarray, counts: np.ndarray, keys: np.ndarray, ids: np.ndarray, starts: np.ndarray, budget: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row key, start, end) of removed bytes among the distinct ``regions`` of one shard.
+def shard_spans(regions: list[bytes], marks: np.ndarray, holder: np.ndarray, ids: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, start, end) of the bytes of held regions that a smaller id than the holder's holds too.
 
-    ``marks`` are equal for regions with equal keys. ``counts`` places of each region follow one
-    another in ``keys``, ``ids`` and ``starts``.
+    ``regions`` are distinct; ``marks`` are equal for regions with equal keys. ``holder`` is the region
+    of each place and ``ids`` the smallest id there.
     """
     sizes = np.array([len(r) for r in regions], np.int64)
-    region = np.repeat(np.arange(len(sizes)), counts)
-    low = np.minimum.reduceat(ids, np.cumsum(counts) - counts) if len(sizes) else ids
+    low = np.full(len(sizes), NO_ID, np.int64)
+    np.minimum.at(low, holder, ids)
     _, group, members = np.unique(marks, return_inverse=True, return_counts=True)
     judged = np.flatnonzero(members[group] > 1) if len(sizes) else np.zeros(0, np.int64)
     joined = np.frombuffer(SEPARATOR.join([*[regions[i] for i in judged.tolist()], b""]), np.uint8)
     least = least_ids(joined, sizes[judged], low[judged], budget)
     at = np.full(len(sizes), -1, np.int64)
     at[judged] = np.cumsum(sizes[judged] + 1) - sizes[judged] - 1
-    later = ids > low[region]
+    later = ids > low[holder]
     whole = np.flatnonzero(later)
-    out_key, out_start, out_end = [keys[whole]], [starts[whole]], [starts[whole] + sizes[region[whole]]]
-    first = np.flatnonzero(~later & (at[region] >= 0))
-    windows = sizes[region[first]] - WINDOW + 1
-    base = at[region[first]]
-    nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    gone = least[np.repeat(base, windows) + nth] < np.repeat(ids[first], windows)
-    hit = np.flatnonzero(gone)
+    out = [(whole, np.zeros(len(whole), np.int64), sizes[holder[whole]])]
+    first = np.flatnonzero(~later & (at[holder] >= 0))
+    windows = sizes[holder[first]] - WINDOW + 1
+    nth = _nth(windows)
+    hit = np.flatnonzero(least[np.repeat(at[holder[first]], windows) + nth] < np.repeat(ids[first], windows))
     if len(hit):
         which = np.repeat(np.arange(len(first)), windows)[hit]
-        head = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(which) != 0)])
-        a = np.flatnonzero(head)
+        a = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(which) != 0)]))
         b = np.append(a[1:], len(hit)) - 1
-        occ = first[which[a]]
-        out_key.append(keys[occ])
-        out_start.append(starts[occ] + nth[hit[a]])
-        out_end.append(starts[occ] + nth[hit[b]] + WINDOW)
-    return np.concatenate(out_key), np.concatenate(out_start), np.concatenate(out_end)
+        out.append((first[which[a]], nth[hit[a]], nth[hit[b]] + WINDOW))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def same_regions(contents: bytes, sizes: np.ndarray) -> tuple[np.ndarray, dict[bytes, int]]:
+def same_regions(contents: bytes, sizes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """Number of each region among the distinct ones, and those in order."""
     distinct: dict[bytes, int] = {}
     ends = np.cumsum(sizes, dtype=np.int64)
     number = [distinct.setdefault(contents[a:b], len(distinct)) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
-    return np.array(number, np.int64), distinct
+    return np.array(number, np.int64), list(distinct)
 
 
-def _shard_sorter(buckets: int, budget: int):
+def _sorter(budget: int):
     def sort(table: pa.Table) -> pa.Table:
-        bodies = [r for r in table.to_pylist() if r["regions"]]
-        whole = [r for r in table.to_pylist() if r["wholes"]]
-        keys, starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if bodies:
-            part = lambda name, kind: np.concatenate([_spread(r[name], kind) for r in bodies])
-            sizes, counts = part("sizes", "<u2"), part("places", "<u4").astype(np.int64)
-            number, distinct = same_regions(b"".join([zstandard.decompress(r["regions"]) for r in bodies]), sizes)
-            marks = np.zeros(len(distinct), "<u4")
-            marks[number] = np.concatenate([np.frombuffer(r["marks"], "<u4") for r in bodies])
-            # places in the order of the distinct regions
-            order = np.argsort(np.repeat(number, counts), kind="stable")
-            places = np.bincount(number, counts, len(distinct)).astype(np.int64)
-            k, s, e = shard_cuts(list(distinct), marks, places, part("keys", "<i8")[order], part("ids", "<i8")[order], part("starts", "<u4").astype(np.int64)[order], budget)
-            keys.append(k)
-            starts.append(s)
-            ends.append(e)
-        for r in whole:
-            k = _spread(r["keys"], "<i8")
-            keys.append(k)
-            starts.append(np.zeros(len(k), np.int64))
-            ends.append(_spread(r["wholes"], "<i8"))
-        k, s, e = np.concatenate(keys), np.concatenate(starts), np.concatenate(ends)
-        bucket = k % buckets
-        order = np.lexsort((s, k, bucket))
-        k, s, e, bucket = k[order], s[order], e[order], bucket[order]
-        heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(k) else np.zeros(0, np.int64)
-        rows = [(int(bucket[a]), _squeeze(k[a:b]), _squeeze(s[a:b].astype("<u4")), _squeeze((e[a:b] - s[a:b]).astype("<u4"))) for a, b in zip(heads, np.append(heads[1:], len(k)))]
-        columns = list(zip(*rows)) if rows else [[], [], [], []]
-        return pa.table({"bucket": pa.array(columns[0], pa.int64()), **{n: pa.array(c, pa.binary()) for n, c in zip(("keys", "starts", "ends"), columns[1:])}})
+        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
+        sizes = [_spread(r["sizes"], "<u2") for r in rows]
+        number, distinct = same_regions(b"".join([zstandard.decompress(r["regions"]) for r in rows]), np.concatenate(sizes))
+        marks = np.zeros(len(distinct), "<u4")
+        marks[number] = np.concatenate([np.frombuffer(r["marks"], "<u4") for r in rows])
+        place, start, end = shard_spans(distinct, marks, number, np.concatenate([_spread(r["ids"], "<i8") for r in rows]), budget)
+        ends = np.cumsum([len(s) for s in sizes])
+        row = np.searchsorted(ends, place, side="right")
+        order = np.lexsort((start, place))
+        out = []
+        for part in np.split(order, _heads(row[order])[1:]) if len(order) else ():
+            k = row[part[0]]
+            spans = np.stack([place[part] - (ends[k] - len(sizes[k])), start[part], end[part]]).astype("<u4")
+            out.append((rows[k]["chunk"], rows[k]["shard"], _squeeze(spans)))
+        columns = list(zip(*out)) if out else [[]] * 3
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["chunk", "shard", "spans"])
 
     return sort
 
@@ -415,25 +456,6 @@ def removed_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[head], ends[np.append(np.flatnonzero(head)[1:], len(starts)) - 1]
 
 
-class _Cuts:
-    """Removed runs by row key, of the blobs of one bucket."""
-
-    def __init__(self, table: pa.Table):
-        blobs = list(zip(*(table.column(n).to_pylist() for n in ("keys", "starts", "ends"))))
-        if not blobs:
-            self.keys = self.starts = self.ends = np.zeros(0, np.int64)
-            return
-        k = np.concatenate([_spread(b[0], "<i8") for b in blobs])
-        s = np.concatenate([_spread(b[1], "<u4") for b in blobs]).astype(np.int64)
-        e = s + np.concatenate([_spread(b[2], "<u4") for b in blobs])
-        order = np.argsort(k, kind="stable")
-        self.keys, self.starts, self.ends = k[order], s[order], e[order]
-
-    def of(self, key: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.searchsorted(self.keys, [key, key + 1] if key < NO_ID else [key, key])
-        return removed_runs(self.starts[a:b], self.ends[a:b]) if b > a else (self.starts[:0], self.ends[:0])
-
-
 def kept_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     at, out = 0, []
     for a, b in zip(starts.tolist(), ends.tolist()):
@@ -442,54 +464,121 @@ def kept_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _digest(docs: pa.Table, blobs: pa.Table) -> pa.Table:
-    cuts = _Cuts(blobs)
-    rows = []
-    for doc_id, key, text in zip(docs.column("doc_id").to_pylist(), docs.column("__key").to_pylist(), docs.column("text")):
-        data = (text.as_py() or "").encode()
-        starts, ends = cuts.of(key)
-        rows.append((doc_id, len(data), int((ends - starts).sum()), len(starts), hashlib.sha256(kept_bytes(data, starts, ends)).hexdigest()))
-    columns = list(zip(*rows)) if rows else [[]] * 5
-    kinds = [pa.int64()] * 4 + [pa.string()]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def _editor(columns: list[str], schema: pa.Schema):
-    def edit(docs: pa.Table, blobs: pa.Table) -> pa.Table:
-        cuts = _Cuts(blobs)
-        texts = docs.column("text").to_pylist()
-        for i, (key, text) in enumerate(zip(docs.column("__key").to_pylist(), texts)):
-            starts, ends = cuts.of(key)
-            if len(starts):
-                # a character that lost some of its bytes goes whole
-                texts[i] = kept_bytes(text.encode(), starts, ends).decode("utf-8", "ignore")
-        out = {c: docs.column(c) for c in columns} | {"text": pa.chunked_array([pa.array(texts, pa.string())])}
-        if "n_chars" in columns and pa.types.is_integer(schema.field("n_chars").type):
-            out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-        return pa.table(out).select(columns).cast(schema)
+def chunk_cuts(chunk: Chunk, regions: Regions, spans: dict[int, bytes], shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Removed runs of each row of a chunk, from the spans that shards returned."""
+    number, start, end = [], [], []
+    for shard, own in regions.by_shard(shards):
+        if (found := spans.get(shard)) is not None:
+            k, a, e = _spread(found, "<u4").reshape(3, -1).astype(np.int64)
+            number.append(own[k])
+            start.append(a)
+            end.append(e)
+    of_region, a, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (number, start, end))
+    order = np.argsort(of_region, kind="stable")
+    of_region, a, e = of_region[order], a[order], e[order]
+    # places of a later text than the region's first one here go whole
+    low = chunk.low[[chunk.long[t] for t in regions.text.tolist()]] if len(regions.text) else np.zeros(0, np.int64)
+    later = low > regions.low[regions.region]
+    whole = np.flatnonzero(later)
+    first = np.flatnonzero(~later)
+    lo, hi = np.searchsorted(of_region, regions.region[first]), np.searchsorted(of_region, regions.region[first], side="right")
+    place, span = np.repeat(first, hi - lo), np.repeat(lo, hi - lo) + _nth(hi - lo)
+    text = np.concatenate([regions.text[whole], regions.text[place]])
+    starts = np.concatenate([regions.start[whole], regions.start[place] + a[span]])
+    ends = np.concatenate([regions.start[whole] + regions.size[whole], regions.start[place] + e[span]])
+    none = (np.zeros(0, np.int64),) * 2
+    cuts = [none] * chunk.rows.num_rows
+    order = np.argsort(text, kind="stable")
+    runs = {int(text[p[0]]): removed_runs(starts[p], ends[p]) for p in np.split(order, _heads(text[order])[1:])} if len(order) else {}
+    for k, t in enumerate(chunk.long):
+        all_of_it = np.array([0]), np.array([len(chunk.texts[t])])
+        for row in chunk.owners[t]:
+            cuts[row] = runs.get(k, none) if chunk.ids[row] == chunk.low[t] else all_of_it
+    return cuts
+
+
+class _Answers:
+    """What came back to a chunk: flags of keys, flags of windows of hot keys, spans of shards."""
+
+    def __init__(self, table: pa.Table):
+        self.by_kind: list[dict[int, bytes]] = [{}, {}, {}]
+        for kind, at, data in zip(*(table.column(n).to_pylist() for n in ("kind", "at", "data"))):
+            self.by_kind[kind][at] = data
+
 
-    return edit
+ANSWER = ("kind", "chunk", "at", "data")
+
+
+def _answers(flags: DataFrame, kind: int, at: str, data: str) -> DataFrame:
+    return flags.select(F.lit(kind).alias("kind"), "chunk", F.col(at).alias("at"), F.col(data).alias("data"))
 
 
 def _run(docs: DataFrame, finish, result, budget: int) -> DataFrame:
+    """``finish(chunk, cuts)`` makes the result's rows of a chunk."""
     spark = bounded_batches(docs.sparkSession)
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    rows = keyed.select("__key", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text_at, id_at = docs.columns.index("text"), len(docs.columns)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_bits = RANGE_BITS
-    while n_bits < min(total // 2, MAX_FILTER_BITS):  # about one key in 14 bytes, 8 bits a key
-        n_bits *= 2
-    shards, buckets = max(1, total // SHARD_BYTES), max(1, total // BUCKET_BYTES)
-    bitmap = spark.sparkContext.broadcast(shared_key_filter(rows, n_bits))
-    regions = rows.mapInArrow(_region_writer(bitmap, n_bits, shards), _SHARD)
-    cuts = regions.groupBy("shard").applyInArrow(_shard_sorter(buckets, budget), _CUT)
-    left = keyed.withColumn("__bucket", F.pmod("__key", F.lit(buckets)))
-    return left.groupBy("__bucket").cogroup(cuts.groupBy("bucket")).applyInArrow(finish, result)
+    ranges, shards = max(1, total // RANGE_BYTES), max(1, total // SHARD_BYTES)
+    rows = docs.withColumn(spare_name(docs.columns, "id"), F.col("doc_id").cast("long"))
+    chunks = bucketed(rows.mapInArrow(_chunker(text_at, CHUNK_BYTES), CHUNK), "chunks", "chunk", max(shuffle_partitions(spark), total // BUCKET_BYTES))
+    hot_texts = HOT_TEXTS
+
+    def key_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                c = _read_chunk(pa.Table.from_batches([b.slice(k, 1)]), id_at, text_at)
+                yield hash_rows(c.chunk, c.text, codes_of(c.keys, ranges))
+
+    def hot_hashes(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        c, found = _read_chunk(rows, id_at, text_at), _Answers(answers)
+        run, _, hashes = c.windows_of(np.flatnonzero(flags_of(codes_of(c.keys, ranges), found.by_kind[0]) == 2))
+        return pa.Table.from_batches([hash_rows(c.chunk, c.text[run], codes_of(hashes, ranges))])
+
+    def flagged(hashes: DataFrame, name: str) -> DataFrame:
+        return written(hashes.groupBy("hash_range").applyInArrow(_flagger(hot_texts), FLAGS), name)
+
+    def cogrouped(answers: DataFrame, f, schema) -> DataFrame:
+        """``f`` of each chunk and what came back to it; chunks to which nothing did included."""
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(f, schema)
+
+    flags = flagged(chunks.mapInArrow(key_hashes, HASHES), "passage-flags")
+    answers = _answers(flags, 0, "hash_range", "flags")
+    if not flags.filter("hot").isEmpty():
+        answers = answers.unionByName(_answers(flagged(cogrouped(answers, hot_hashes, HASHES), "passage-hot-flags"), 1, "hash_range", "flags"))
+
+    def regions(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        c, found = _read_chunk(rows, id_at, text_at), _Answers(answers)
+        r = c.regions(found.by_kind[0], found.by_kind[1], ranges)
+        out = []
+        for shard, own in r.by_shard(shards):
+            contents = [r.contents[i] for i in own.tolist()]
+            out.append((shard, c.chunk, zstandard.compress(b"".join(contents), 1), _squeeze(np.array([len(x) for x in contents], "<u2")), r.keys[own].astype("<u4").tobytes(), _squeeze(r.low[own].astype("<i8"))))
+        columns = list(zip(*out)) if out else [[]] * 6
+        return pa.table([pa.array(x, pa.int64() if i < 2 else pa.binary()) for i, x in enumerate(columns)], names=_SHARD_NAMES)
+
+    spans = cogrouped(answers, regions, _SHARD).groupBy("shard").applyInArrow(_sorter(budget), _SPANS)
+
+    def cut(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        c, found = _read_chunk(rows, id_at, text_at), _Answers(answers)
+        return finish(c, chunk_cuts(c, c.regions(found.by_kind[0], found.by_kind[1], ranges), found.by_kind[2], shards))
+
+    return cogrouped(answers.unionByName(_answers(spans, 2, "shard", "spans")), cut, result)
 
 
 def repeated_passages(docs: DataFrame, budget: int = 128 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    return _run(docs.select("doc_id", "text"), _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", budget)
+    names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64()] * 4 + [pa.string()]
+
+    def digest(c: Chunk, cuts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        out: list = [None] * len(cuts)
+        for t, owners in zip(c.texts, c.owners):
+            for row in owners:
+                starts, ends = cuts[row]
+                out[row] = (len(t), int((ends - starts).sum()), len(starts), hashlib.sha256(kept_bytes(t, starts, ends)).hexdigest())
+        columns = list(zip(*out)) if out else [[]] * 4
+        return pa.table([c.rows.column(c.rows.num_columns - 1), *[pa.array(x, k) for x, k in zip(columns, kinds[1:])]], names=names)
+
+    return _run(docs.select("doc_id", "text"), digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", budget)
 
 
 def cut_repeats(docs: DataFrame, budget: int = 128 << 20) -> DataFrame:
@@ -497,4 +586,18 @@ def cut_repeats(docs: DataFrame, budget: int = 128 << 20) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
-    return _run(docs, _editor(docs.columns, to_arrow_schema(schema)), schema, budget)
+    arrow, names, text_at = to_arrow_schema(schema), docs.columns, docs.columns.index("text")
+
+    def edit(c: Chunk, cuts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        texts = c.rows.column(text_at).to_pylist()
+        for row, (starts, ends) in enumerate(cuts):
+            if len(starts):
+                # a character that lost some of its bytes goes whole
+                texts[row] = kept_bytes(texts[row].encode(), starts, ends).decode("utf-8", "ignore")
+        columns = [c.rows.column(i) for i in range(len(names))]
+        columns[text_at] = pa.array(texts, pa.string())
+        if "n_chars" in names and pa.types.is_integer(arrow.field("n_chars").type):
+            columns[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+        return pa.table(columns, names=names).cast(arrow)
+
+    return _run(docs, edit, schema, budget)
