@@ -8,16 +8,16 @@ A byte goes if a window of `WINDOW` bytes over it also starts in a document with
    Each chunk sends the distinct hashes of its keys to key ranges, whose number grows with the
    corpus, and gets back which of them other texts hold too. No task and no broadcast holds a
    filter of the whole corpus, and none fills up.
-2. A key that more than `HOT_TEXTS` texts hold is hot. Of its windows, whole hashes are exchanged in
-   the same way, and only windows that two texts share go on: what surrounds a common passage stays.
+2. A key that more than `HOT_TEXTS` texts hold is hot: its windows go one by one to the shards of
+   their own hashes. What surrounds a common passage is spread so, and the passage is sent once a chunk.
 3. Runs of windows with one shared key go to the shard of that key as short regions, once for each
    content and chunk, with the smallest id there. Places stay in the chunk, so a common passage
    costs a region for each chunk and not for each document.
-4. A shard sorts all suffixes of its regions by external induction (`induced_sort`). Suffixes that
-   share `WINDOW` bytes with their neighbours are one group; its smallest id decides each window.
-   A region that alone has its key in the whole corpus can share a window with no other content:
-   it needs no sorting. Chunks get back the spans of their regions that earlier documents hold.
-5. Chunks find their regions again, cut the spans out of every place and digest the texts.
+4. In a shard, a region that alone has its key, and a window whose hash no other content there has,
+   needs no sorting. All suffixes of what is left are sorted by external induction (`induced_sort`).
+   Suffixes that share `WINDOW` bytes with their neighbours are one group; its smallest id decides
+   each window. Chunks get back the spans of their regions that earlier documents hold.
+5. Chunks cut the spans out of every place of their regions and digest the texts.
 
 Copies of a text within one chunk are judged by its smallest id there, the others are removed whole
 (each window starts in that one too).
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +49,11 @@ from .induced_sort import sorted_suffixes
 WINDOW = 50
 GRAM = 24
 MAX_RUN = 64
-#: A key held by more texts is told apart window by window.
+#: The windows of a key that more texts hold are sent one by one.
 HOT_TEXTS = 1000
 NO_ID = np.iinfo(np.int64).max
 #: Text bytes of a chunk, of one range of the key exchange, of one shard, and of a bucket of chunks.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 24 << 20
 RANGE_BYTES = 48 << 20
 SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
@@ -75,22 +76,31 @@ def _slide(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+@lru_cache(4)
+def _powers(factor: int, n: int) -> np.ndarray:
+    """1, factor, factor ** 2, .. modulo 2 ** 64."""
+    out = np.ones(n, np.uint64)
+    k = 1
+    while k < n:
+        out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(factor, k, 1 << 64))
+        k *= 2
+    return out
+
+
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` bytes from each place of ``data``, by doubling."""
-    h = data.astype(np.uint64) + np.uint64(1)
-    width = 1
-    kept: dict[int, np.ndarray] = {1: h}
-    while 2 * width <= size:
-        h = _mix(h[:-width] * np.uint64(0xC2B2AE3D27D4EB4F) + h[width:])
-        width *= 2
-        kept[width] = h
-    rest, at = size - width, width
-    while rest:
-        part = 1 << (rest.bit_length() - 1)
-        tail = kept[part][at:]
-        n = min(len(h), len(tail))
-        h = _mix(h[:n] * np.uint64(0xC2B2AE3D27D4EB4F) + tail[:n])
-        at, rest = at + part, rest - part
+    """Hash of the ``size`` bytes from each place of ``data``: differences of a running polynomial."""
+    n = len(data)
+    room = 1 << n.bit_length()
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_FACTOR, room)[:n], out=total[1:])
+    h = total[size:] - total[:-size]
+    h *= _powers(pow(_FACTOR, -1, 1 << 64), room)[: len(h)]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
     return h
 
 
@@ -200,73 +210,74 @@ class Chunk:
             owners.setdefault((t or "").encode(), []).append(k)
         self.texts, self.owners = list(owners), list(owners.values())
         self.low = np.array([self.ids[o].min() for o in self.owners], np.int64)
-        self.long = [i for i, t in enumerate(self.texts) if len(t) >= WINDOW]
-        found: list[list[np.ndarray]] = [[], [], [], []]
-        for first, block in self._blocks():
-            text, *rest = key_runs(np.array([len(t) for t in block]), np.frombuffer(b"".join(block), np.uint8))
-            for out, x in zip(found, (text + first, *rest)):
+
+    def find_runs(self) -> Chunk:
+        """Runs of windows with one key: text, first window, windows, key, and place in the chunk's bytes."""
+        found: list[list[np.ndarray]] = [[], [], [], [], []]
+        self.blocks: list[tuple[int, np.ndarray]] = []
+        at = 0
+        for texts, offsets, parts in self._blocks():
+            sizes, data = np.array([len(x) for x in parts]), np.frombuffer(b"".join(parts), np.uint8)
+            piece, start, windows, keys = key_runs(sizes, data)
+            self.blocks.append((at, data))
+            place = at + (np.cumsum(sizes) - sizes)[piece] + start
+            for out, x in zip(found, (np.array(texts)[piece], start + np.array(offsets)[piece], windows, keys, place)):
                 out.append(x)
-        kinds = (np.int64, np.int64, np.int64, np.uint64)
-        self.text, self.start, self.windows, self.keys = (np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(found, kinds))
-
-    def _blocks(self, most: int = BLOCK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-        """Runs of neighbouring long texts of about ``most`` bytes; numbers below count long texts."""
-        a = size = 0
-        for i, t in enumerate(self.long):
-            size += len(self.texts[t])
-            if size >= most:
-                yield a, [self.texts[k] for k in self.long[a : i + 1]]
-                a, size = i + 1, 0
-        if a < len(self.long):
-            yield a, [self.texts[k] for k in self.long[a:]]
+            at += len(data)
+        kinds = (np.int64, np.int64, np.int64, np.uint64, np.int64)
+        self.text, self.start, self.windows, self.keys, self.place = (np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(found, kinds))
+        return self
+
+    def _blocks(self) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+        """Pieces of texts (number, offset, bytes), about `BLOCK_BYTES` together; pieces of one text
+        overlap by what lets each window lie in one of them."""
+        texts, offsets, parts, size = [], [], [], 0
+        for t, data in enumerate(self.texts):
+            for a in range(0, len(data) - WINDOW + 1, BLOCK_BYTES):
+                part = data[a : a + BLOCK_BYTES + WINDOW - 1]
+                texts.append(t)
+                offsets.append(a)
+                parts.append(part)
+                size += len(part)
+                if size >= BLOCK_BYTES:
+                    yield texts, offsets, parts
+                    texts, offsets, parts, size = [], [], [], 0
+        if parts:
+            yield texts, offsets, parts
 
     def windows_of(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(run, start, hash) of each window of ``runs``."""
-        run, start = np.repeat(runs, self.windows[runs]), np.repeat(self.start[runs], self.windows[runs]) + _nth(self.windows[runs])
-        hashes = np.zeros(len(run), np.uint64)
-        text = self.text[run]
-        order = np.argsort(text, kind="stable")
-        for part in np.split(order, _heads(text[order])[1:]) if len(order) else ():
-            t = self.texts[self.long[text[part[0]]]]
-            hashes[part] = gram_hashes(np.frombuffer(t, np.uint8), WINDOW)[start[part]]
-        return run, start, hashes
-
-    def regions(self, flags: dict[int, bytes], hot_flags: dict[int, bytes], ranges: int) -> Regions:
-        """Runs whose key other texts hold; of hot keys, what runs of shared windows are left."""
+        """(run, start, hash) of each window of ``runs``, which ascend."""
+        run, nth = np.repeat(runs, self.windows[runs]), _nth(self.windows[runs])
+        place, hashes = self.place[run] + nth, np.zeros(len(run), np.uint64)
+        for at, data in self.blocks:
+            a, e = np.searchsorted(place, [at, at + len(data)])
+            if a < e:
+                hashes[a:e] = gram_hashes(data, WINDOW)[place[a:e] - at]
+        return run, self.start[run] + nth, hashes
+
+    def regions(self, flags: dict[int, bytes], ranges: int) -> Regions:
+        """Runs whose key other texts hold, and the single windows of runs whose key is hot."""
         flag = flags_of(codes_of(self.keys, ranges), flags)
         runs = np.flatnonzero(flag == 1)
-        text, start, windows, keys = self.text[runs], self.start[runs], self.windows[runs], self.keys[runs]
-        hot = np.flatnonzero(flag == 2)
-        if len(hot):
-            run, at, hashes = self.windows_of(hot)
-            shared = np.flatnonzero(flags_of(codes_of(hashes, ranges), hot_flags) > 0)
-            run, at = run[shared], at[shared]
-            head = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)])) if len(run) else np.zeros(0, np.int64)
-            tail = np.append(head[1:], len(run))[: len(head)] - 1
-            text, start = np.concatenate([text, self.text[run[head]]]), np.concatenate([start, at[head]])
-            windows, keys = np.concatenate([windows, at[tail] - at[head] + 1]), np.concatenate([keys, self.keys[run[head]]])
-        return Regions(self, text, start, windows, keys)
+        run, start, hashes = self.windows_of(np.flatnonzero(flag == 2))
+        join = lambda x, y: np.concatenate([x, y])
+        return Regions(self, join(self.text[runs], self.text[run]), join(self.start[runs], start), join(self.windows[runs], np.ones(len(run), np.int64)), join(self.keys[runs], hashes))
 
 
 class Regions:
     """Distinct region contents of a chunk, the smallest id of each, and all places they have there."""
 
     def __init__(self, chunk: Chunk, text: np.ndarray, start: np.ndarray, windows: np.ndarray, keys: np.ndarray):
-        texts, long = chunk.texts, chunk.long
+        texts = chunk.texts
         self.text, self.start, self.size = text, start, windows + WINDOW - 1
         number: dict[bytes, int] = {}
         setdefault = number.setdefault
-        of, fresh = [], []
-        for k, (t, a, e) in enumerate(zip(text.tolist(), start.tolist(), (start + self.size).tolist())):
-            at = setdefault(texts[long[t]][a:e], len(number))
-            if at == len(fresh):
-                fresh.append(k)
-            of.append(at)
-        self.contents = list(number)
-        self.region = np.array(of, np.int64)
-        self.keys = keys[fresh]
+        of = [setdefault(texts[t][a:e], len(number)) for t, a, e in zip(text.tolist(), start.tolist(), (start + self.size).tolist())]
+        self.contents, self.region = list(number), np.array(of, np.int64)
+        self.keys = np.zeros(len(self.contents), np.uint64)
+        self.keys[self.region] = keys
         self.low = np.full(len(self.contents), NO_ID, np.int64)
-        np.minimum.at(self.low, self.region, chunk.low[[long[t] for t in text.tolist()]] if len(text) else np.zeros(0, np.int64))
+        np.minimum.at(self.low, self.region, chunk.low[text])
 
     def by_shard(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
         """Numbers of the regions of each shard, ascending."""
@@ -277,6 +288,19 @@ class Regions:
             yield int(shard[order[a]]), order[a:e]
 
 
+    def places(self, chunk: Chunk, shards: int) -> np.ndarray:
+        """(text, start, size, shard, number in the shard's regions, later) of each place, as columns.
+
+        A place is later if its text has a larger id than the region's first one in the chunk.
+        """
+        shard, number = np.zeros(len(self.contents), np.int64), np.zeros(len(self.contents), np.int64)
+        for s, own in self.by_shard(shards):
+            shard[own], number[own] = s, np.arange(len(own))
+        order = np.lexsort((self.start, self.text))
+        later = chunk.low[self.text] > self.low[self.region]
+        return np.stack([self.text, self.start, self.size, shard[self.region], number[self.region], later]).astype("<u4")[:, order]
+
+
 def _read_chunk(rows: pa.Table, id_at: int, text_at: int) -> Chunk:
     with pa.ipc.open_stream(rows.column("rows")[0].as_py()) as stream:
         return Chunk(rows.column("chunk")[0].as_py(), stream.read_all(), id_at, text_at)
@@ -285,7 +309,7 @@ def _read_chunk(rows: pa.Table, id_at: int, text_at: int) -> Chunk:
 # the exchange of hashes
 
 HASHES = "hash_range long, chunk long, values binary, counts binary"
-FLAGS = "chunk long, hash_range long, flags binary, hot boolean"
+FLAGS = "chunk long, hash_range long, flags binary"
 
 
 def hash_rows(chunk: int, text: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
@@ -294,12 +318,12 @@ def hash_rows(chunk: int, text: np.ndarray, codes: np.ndarray) -> pa.RecordBatch
     code, text = codes[order], text[order]
     heads = _heads(code)
     fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (text[1:] != text[:-1])]) if len(code) else np.zeros(0, bool)
-    texts = np.minimum(np.add.reduceat(fresh.astype(np.int64), heads), 255) if len(code) else heads
+    texts = np.minimum(np.add.reduceat(fresh.astype(np.int64), heads), 65535) if len(code) else heads
     code = code[heads]
     ranges = code >> np.uint64(32)
     values = (code & np.uint64(0xFFFFFFFF)).astype("<u4")
     cuts = _heads(ranges)
-    rows = [(int(ranges[a]), chunk, _squeeze(np.diff(values[a:e], prepend=np.uint32(0))), _squeeze(texts[a:e].astype(np.uint8))) for a, e in zip(cuts, np.append(cuts[1:], len(code)))]
+    rows = [(int(ranges[a]), chunk, _squeeze(np.diff(values[a:e], prepend=np.uint32(0))), _squeeze(texts[a:e].astype("<u2"))) for a, e in zip(cuts, np.append(cuts[1:], len(code)))]
     columns = list(zip(*rows)) if rows else [[]] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["hash_range", "chunk", "values", "counts"])
 
@@ -309,7 +333,7 @@ def _flagger(hot_texts: int):
         """For each chunk of one range, 1 for values that two texts hold and 2 for hot ones."""
         values = [np.cumsum(_spread(v, "<u4"), dtype="<u4") for v in table.column("values").to_pylist()]
         each = np.concatenate(values)
-        counts = np.concatenate([_spread(c, np.uint8) for c in table.column("counts").to_pylist()]).astype(np.int64)
+        counts = np.concatenate([_spread(c, "<u2") for c in table.column("counts").to_pylist()]).astype(np.int64)
         order = np.argsort(each, kind="stable")
         heads = _heads(each[order])
         total = np.add.reduceat(counts[order], heads)
@@ -321,9 +345,9 @@ def _flagger(hot_texts: int):
         for chunk, a, e in zip(table.column("chunk").to_pylist(), ends - [len(v) for v in values], ends):
             part = flags[a:e]
             if part.any():
-                rows.append((chunk, table.column("hash_range")[0].as_py(), _squeeze(part), bool((part == 2).any())))
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.bool_()))], names=["chunk", "hash_range", "flags", "hot"])
+                rows.append((chunk, table.column("hash_range")[0].as_py(), _squeeze(part)))
+        columns = list(zip(*rows)) if rows else [[]] * 3
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["chunk", "hash_range", "flags"])
 
     return flag
 
@@ -343,8 +367,10 @@ def flags_of(codes: np.ndarray, flags: dict[int, bytes]) -> np.ndarray:
 
 # shards
 
-_SHARD = "shard long, chunk long, regions binary, sizes binary, marks binary, ids binary"
+_SHARD = "shard long, chunk long, regions binary, sizes binary, marks binary, ids binary, places binary"
 _SHARD_NAMES = [c.split()[0] for c in _SHARD.split(", ")]
+#: Shard of the row that carries the places of a chunk.
+_PLACES = -1
 _SPANS = "chunk long, shard long, spans binary"
 
 
@@ -388,6 +414,63 @@ def least_ids(contents: np.ndarray, sizes: np.ndarray, ids: np.ndarray, budget:
     return least
 
 
+def least_of_windows(regions: list[bytes], marks: np.ndarray, low: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """First window of each of the distinct ``regions``, and for all windows the smallest id that holds them.
+
+    ``low`` is the smallest id of each region; ``marks`` are equal for regions with equal keys.
+    """
+    windows = np.array([len(r) for r in regions], np.int64) - WINDOW + 1
+    first = np.cumsum(windows) - windows
+    least = np.repeat(low, windows)
+    _, group, members = np.unique(marks, return_inverse=True, return_counts=True)
+    judged = np.flatnonzero(members[group] > 1) if len(regions) else np.zeros(0, np.int64)
+    if not len(judged):
+        return first, least
+    # windows whose hash another one has, in runs
+    region, nth = np.repeat(judged, windows[judged]), _nth(windows[judged])
+    ends = np.cumsum(windows[judged] + WINDOW - 1)
+    hashes = np.empty(len(region), np.uint64)
+    at = 0
+    for a in range(0, len(judged), 2048):
+        part = judged[a : a + 2048]
+        data = np.frombuffer(b"".join([regions[i] for i in part.tolist()]), np.uint8)
+        start = ends[a : a + len(part)] - (windows[part] + WINDOW - 1) - (ends[a - 1] if a else 0)
+        n = int(windows[part].sum())
+        hashes[at : at + n] = gram_hashes(data, WINDOW)[np.repeat(start, windows[part]) + _nth(windows[part])]
+        at += n
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    shared = np.zeros(len(region), bool)
+    shared[order[1:][same]] = shared[order[:-1][same]] = True
+    hit = np.flatnonzero(shared)
+    region, nth = region[hit], nth[hit]
+    head = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (nth[1:] != nth[:-1] + 1)])) if len(hit) else hit
+    count = np.diff(np.append(head, len(hit)))
+    owner, start = region[head], nth[head]
+    # what is left of each region, again once a content
+    number: dict[bytes, int] = {}
+    content = np.array([number.setdefault(regions[r][a : a + n + WINDOW - 1], len(number)) for r, a, n in zip(owner.tolist(), start.tolist(), count.tolist())], np.int64)
+    parts = list(number)
+    part_low = np.full(len(parts), NO_ID, np.int64)
+    np.minimum.at(part_low, content, low[owner])
+    part_mark = np.zeros(len(parts), marks.dtype)
+    part_mark[content] = marks[owner]
+    part_windows = np.array([len(x) for x in parts], np.int64) - WINDOW + 1
+    part_first = np.cumsum(part_windows) - part_windows
+    part_least = np.repeat(part_low, part_windows)
+    _, group, members = np.unique(part_mark, return_inverse=True, return_counts=True)
+    sort = np.flatnonzero(members[group] > 1) if len(parts) else np.zeros(0, np.int64)
+    if len(sort):
+        sizes = part_windows[sort] + WINDOW - 1
+        joined = np.frombuffer(SEPARATOR.join([*[parts[i] for i in sort.tolist()], b""]), np.uint8)
+        found = least_ids(joined, sizes, part_low[sort], budget)
+        base = np.cumsum(sizes + 1) - sizes - 1
+        n = part_windows[sort]
+        part_least[np.repeat(part_first[sort], n) + _nth(n)] = found[np.repeat(base, n) + _nth(n)]
+    least[np.repeat(first[owner] + start, count) + _nth(count)] = part_least[np.repeat(part_first[content], count) + _nth(count)]
+    return first, least
+
+
 def shard_spans(regions: list[bytes], marks: np.ndarray, holder: np.ndarray, ids: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, start, end) of the bytes of held regions that a smaller id than the holder's holds too.
 
@@ -397,19 +480,16 @@ def shard_spans(regions: list[bytes], marks: np.ndarray, holder: np.ndarray, ids
     sizes = np.array([len(r) for r in regions], np.int64)
     low = np.full(len(sizes), NO_ID, np.int64)
     np.minimum.at(low, holder, ids)
-    _, group, members = np.unique(marks, return_inverse=True, return_counts=True)
-    judged = np.flatnonzero(members[group] > 1) if len(sizes) else np.zeros(0, np.int64)
-    joined = np.frombuffer(SEPARATOR.join([*[regions[i] for i in judged.tolist()], b""]), np.uint8)
-    least = least_ids(joined, sizes[judged], low[judged], budget)
-    at = np.full(len(sizes), -1, np.int64)
-    at[judged] = np.cumsum(sizes[judged] + 1) - sizes[judged] - 1
+    first_window, least = least_of_windows(regions, marks, low, budget)
+    some = np.zeros(len(sizes), bool)  # regions with a window of a smaller id
+    some[np.searchsorted(first_window, np.flatnonzero(least < np.repeat(low, sizes - WINDOW + 1)), side="right") - 1] = True
     later = ids > low[holder]
     whole = np.flatnonzero(later)
     out = [(whole, np.zeros(len(whole), np.int64), sizes[holder[whole]])]
-    first = np.flatnonzero(~later & (at[holder] >= 0))
+    first = np.flatnonzero(~later & some[holder])
     windows = sizes[holder[first]] - WINDOW + 1
     nth = _nth(windows)
-    hit = np.flatnonzero(least[np.repeat(at[holder[first]], windows) + nth] < np.repeat(ids[first], windows))
+    hit = np.flatnonzero(least[np.repeat(first_window[holder[first]], windows) + nth] < np.repeat(ids[first], windows))
     if len(hit):
         which = np.repeat(np.arange(len(first)), windows)[hit]
         a = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(which) != 0)]))
@@ -464,41 +544,36 @@ def kept_bytes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def chunk_cuts(chunk: Chunk, regions: Regions, spans: dict[int, bytes], shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Removed runs of each row of a chunk, from the spans that shards returned."""
-    number, start, end = [], [], []
-    for shard, own in regions.by_shard(shards):
-        if (found := spans.get(shard)) is not None:
-            k, a, e = _spread(found, "<u4").reshape(3, -1).astype(np.int64)
-            number.append(own[k])
-            start.append(a)
-            end.append(e)
-    of_region, a, e = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (number, start, end))
-    order = np.argsort(of_region, kind="stable")
-    of_region, a, e = of_region[order], a[order], e[order]
-    # places of a later text than the region's first one here go whole
-    low = chunk.low[[chunk.long[t] for t in regions.text.tolist()]] if len(regions.text) else np.zeros(0, np.int64)
-    later = low > regions.low[regions.region]
-    whole = np.flatnonzero(later)
-    first = np.flatnonzero(~later)
-    lo, hi = np.searchsorted(of_region, regions.region[first]), np.searchsorted(of_region, regions.region[first], side="right")
+def chunk_cuts(chunk: Chunk, places: np.ndarray, spans: dict[int, bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Removed runs of each row of a chunk, from the spans that shards returned for its regions."""
+    text, start, size, shard, number, later = places.astype(np.int64)
+    found = [(s, *_spread(data, "<u4").reshape(3, -1).astype(np.int64)) for s, data in sorted(spans.items())]
+    region = np.concatenate([np.zeros(0, np.int64), *[s << 32 | k for s, k, _, _ in found]])
+    order = np.argsort(region, kind="stable")
+    region, a, e = region[order], *(np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]])[order] for i in (2, 3))
+    whole, first = np.flatnonzero(later), np.flatnonzero(later == 0)
+    own = shard[first] << 32 | number[first]
+    lo, hi = np.searchsorted(region, own), np.searchsorted(region, own, side="right")
     place, span = np.repeat(first, hi - lo), np.repeat(lo, hi - lo) + _nth(hi - lo)
-    text = np.concatenate([regions.text[whole], regions.text[place]])
-    starts = np.concatenate([regions.start[whole], regions.start[place] + a[span]])
-    ends = np.concatenate([regions.start[whole] + regions.size[whole], regions.start[place] + e[span]])
+    texts = np.concatenate([text[whole], text[place]])
+    starts = np.concatenate([start[whole], start[place] + a[span]])
+    ends = np.concatenate([start[whole] + size[whole], start[place] + e[span]])
+    order = np.argsort(texts, kind="stable")
+    runs = {int(texts[p[0]]): removed_runs(starts[p], ends[p]) for p in np.split(order, _heads(texts[order])[1:])} if len(order) else {}
     none = (np.zeros(0, np.int64),) * 2
     cuts = [none] * chunk.rows.num_rows
-    order = np.argsort(text, kind="stable")
-    runs = {int(text[p[0]]): removed_runs(starts[p], ends[p]) for p in np.split(order, _heads(text[order])[1:])} if len(order) else {}
-    for k, t in enumerate(chunk.long):
-        all_of_it = np.array([0]), np.array([len(chunk.texts[t])])
-        for row in chunk.owners[t]:
-            cuts[row] = runs.get(k, none) if chunk.ids[row] == chunk.low[t] else all_of_it
+    for t, owners in enumerate(chunk.owners):
+        n = len(chunk.texts[t])
+        for row in owners:
+            if chunk.ids[row] == chunk.low[t]:
+                cuts[row] = runs.get(t, none)
+            elif n >= WINDOW:
+                cuts[row] = np.array([0]), np.array([n])
     return cuts
 
 
 class _Answers:
-    """What came back to a chunk: flags of keys, flags of windows of hot keys, spans of shards."""
+    """What came back to a chunk: flags of keys, spans of shards, and its own places."""
 
     def __init__(self, table: pa.Table):
         self.by_kind: list[dict[int, bytes]] = [{}, {}, {}]
@@ -506,9 +581,6 @@ class _Answers:
             self.by_kind[kind][at] = data
 
 
-ANSWER = ("kind", "chunk", "at", "data")
-
-
 def _answers(flags: DataFrame, kind: int, at: str, data: str) -> DataFrame:
     return flags.select(F.lit(kind).alias("kind"), "chunk", F.col(at).alias("at"), F.col(data).alias("data"))
 
@@ -521,48 +593,40 @@ def _run(docs: DataFrame, finish, result, budget: int) -> DataFrame:
     ranges, shards = max(1, total // RANGE_BYTES), max(1, total // SHARD_BYTES)
     rows = docs.withColumn(spare_name(docs.columns, "id"), F.col("doc_id").cast("long"))
     chunks = bucketed(rows.mapInArrow(_chunker(text_at, CHUNK_BYTES), CHUNK), "chunks", "chunk", max(shuffle_partitions(spark), total // BUCKET_BYTES))
-    hot_texts = HOT_TEXTS
 
     def key_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                c = _read_chunk(pa.Table.from_batches([b.slice(k, 1)]), id_at, text_at)
+                c = _read_chunk(pa.Table.from_batches([b.slice(k, 1)]), id_at, text_at).find_runs()
                 yield hash_rows(c.chunk, c.text, codes_of(c.keys, ranges))
 
-    def hot_hashes(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        c, found = _read_chunk(rows, id_at, text_at), _Answers(answers)
-        run, _, hashes = c.windows_of(np.flatnonzero(flags_of(codes_of(c.keys, ranges), found.by_kind[0]) == 2))
-        return pa.Table.from_batches([hash_rows(c.chunk, c.text[run], codes_of(hashes, ranges))])
-
-    def flagged(hashes: DataFrame, name: str) -> DataFrame:
-        return written(hashes.groupBy("hash_range").applyInArrow(_flagger(hot_texts), FLAGS), name)
-
     def cogrouped(answers: DataFrame, f, schema) -> DataFrame:
         """``f`` of each chunk and what came back to it; chunks to which nothing did included."""
         return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(f, schema)
 
-    flags = flagged(chunks.mapInArrow(key_hashes, HASHES), "passage-flags")
-    answers = _answers(flags, 0, "hash_range", "flags")
-    if not flags.filter("hot").isEmpty():
-        answers = answers.unionByName(_answers(flagged(cogrouped(answers, hot_hashes, HASHES), "passage-hot-flags"), 1, "hash_range", "flags"))
+    hashes = chunks.mapInArrow(key_hashes, HASHES)
+    flags = written(hashes.groupBy("hash_range").applyInArrow(_flagger(HOT_TEXTS), FLAGS), "passage-flags")
 
     def regions(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        c, found = _read_chunk(rows, id_at, text_at), _Answers(answers)
-        r = c.regions(found.by_kind[0], found.by_kind[1], ranges)
-        out = []
+        c, found = _read_chunk(rows, id_at, text_at).find_runs(), _Answers(answers)
+        r = c.regions(found.by_kind[0], ranges)
+        out = [(_PLACES, c.chunk, None, None, None, None, _squeeze(r.places(c, shards)))] if len(r.text) else []
         for shard, own in r.by_shard(shards):
             contents = [r.contents[i] for i in own.tolist()]
-            out.append((shard, c.chunk, zstandard.compress(b"".join(contents), 1), _squeeze(np.array([len(x) for x in contents], "<u2")), r.keys[own].astype("<u4").tobytes(), _squeeze(r.low[own].astype("<i8"))))
-        columns = list(zip(*out)) if out else [[]] * 6
+            out.append((shard, c.chunk, zstandard.compress(b"".join(contents), 1), _squeeze(np.array([len(x) for x in contents], "<u2")), r.keys[own].astype("<u4").tobytes(), _squeeze(r.low[own].astype("<i8")), None))
+        columns = list(zip(*out)) if out else [[]] * 7
         return pa.table([pa.array(x, pa.int64() if i < 2 else pa.binary()) for i, x in enumerate(columns)], names=_SHARD_NAMES)
 
-    spans = cogrouped(answers, regions, _SHARD).groupBy("shard").applyInArrow(_sorter(budget), _SPANS)
+    shipped = written(cogrouped(_answers(flags, 0, "hash_range", "flags"), regions, _SHARD), "passage-regions")
+    spans = shipped.filter(F.col("shard") >= 0).drop("places").groupBy("shard").applyInArrow(_sorter(budget), _SPANS)
+    places = shipped.filter(F.col("shard") == _PLACES)
 
     def cut(rows: pa.Table, answers: pa.Table) -> pa.Table:
         c, found = _read_chunk(rows, id_at, text_at), _Answers(answers)
-        return finish(c, chunk_cuts(c, c.regions(found.by_kind[0], found.by_kind[1], ranges), found.by_kind[2], shards))
+        own = found.by_kind[2].get(_PLACES)
+        return finish(c, chunk_cuts(c, _spread(own, "<u4").reshape(6, -1) if own else np.zeros((6, 0), "<u4"), found.by_kind[1]))
 
-    return cogrouped(answers.unionByName(_answers(spans, 2, "shard", "spans")), cut, result)
+    return cogrouped(_answers(spans, 1, "shard", "spans").unionByName(_answers(places, 2, "shard", "places")), cut, result)
 
 
 def repeated_passages(docs: DataFrame, budget: int = 128 << 20) -> DataFrame:
