@@ -3,11 +3,13 @@
 A sequence of pieces is a byte-pair encoding exactly if each piece is one and each neighbouring
 pair stays as it is when encoded alone. So the last piece of each prefix follows from the last
 pieces of shorter prefixes: one pass gives the exact count at every prefix of a pre-token, and
-running sums over pre-tokens give it at every prefix of a document. Budgets and truncations are
-then look-ups; nothing is encoded again.
+running sums over pre-tokens give it at every prefix of a document. Tables of pre-tokens are kept.
+The count of a text, whether it is over a budget, and the longest prefix within one are then
+look-ups; nothing is encoded again.
 
-Defined cases: null text is empty and counts 0; repeated rows are counted each; an empty table
-gives an empty result; columns beside doc_id and text are ignored.
+Defined cases: null text is empty and counts 0; null ids and repeated rows are counted each; texts of
+any length are counted whole; a text of exactly the limit is not over it; an empty table gives an
+empty result; columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,12 +38,23 @@ def byte_alphabet() -> list[str]:
 
 
 class PairTable:
-    """Which piece may follow which, decided by encoding the two alone."""
+    """Which piece may follow which.
+
+    A pair comes apart only if a merge crosses its border: of a piece x that ends the first one while
+    it is built and a piece y that begins the second one, while neither has been merged on. Of equal
+    ranks the merge further left goes first.
+    """
+
+    _NEVER = 1 << 60
 
     def __init__(self, merges: dict[tuple[str, str], int], suffix: str):
         self.merges, self.suffix = merges, suffix
         self.known: dict[tuple[str, str], bool] = {}
         self.max_entries = 1_000_000
+        self.parts: dict[str, tuple[str, str]] = {}
+        for a, b in merges:
+            self.parts.setdefault(a + b, (a, b))
+        self.edges: tuple[dict, dict] = ({}, {})
 
     def split(self, piece: str) -> list[str]:
         closed = bool(self.suffix) and piece.endswith(self.suffix) and len(piece) > len(self.suffix)
@@ -50,6 +64,7 @@ class PairTable:
         return letters
 
     def encode(self, symbols: list[str]) -> list[str]:
+        """Plain merging, the best rank first; decides which pieces encode as themselves."""
         ranks = self.merges
         while len(symbols) > 1:
             best, at = None, 0
@@ -62,19 +77,45 @@ class PairTable:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
+    def edge(self, piece: str, side: int) -> list[tuple[str, int, int]]:
+        """(part, rank that makes it, rank that takes it) of the parts at the left (0) or right (1) edge of a piece."""
+        found = self.edges[side].get(piece)
+        if found is None:
+            found, taken, part = [], self._NEVER, piece
+            while True:
+                pair = self.parts.get(part)
+                made = self.merges[pair] if pair else -1
+                found.append((part, made, taken))
+                if pair is None:
+                    break
+                part, taken = pair[side], made
+            self.edges[side][piece] = found
+        return found
+
     def allows(self, a: str, b: str) -> bool:
         ok = self.known.get((a, b))
         if ok is None:
             if len(self.known) > self.max_entries:
                 self.known.clear()
-            ok = self.known[a, b] = self.encode(self.split(a) + self.split(b)) == [a, b]
+            ok = self.known[a, b] = self._apart(a, b)
         return ok
 
+    def _apart(self, a: str, b: str) -> bool:
+        rank = self.merges.get
+        right = self.edge(b, 0)
+        for x, made_x, taken_x in self.edge(a, 1):
+            for y, made_y, taken_y in right:
+                if made_y < taken_x and made_x < taken_y:
+                    r = rank((x, y))
+                    if r is not None and r < taken_x and r <= taken_y:
+                        return False
+        return True
+
 
 class PrefixCounter:
     """Exact counts at every prefix. ``name`` is a byte-level vocabulary with word-end pieces."""
 
-    def __init__(self, name: str = "word_bpe_49k.json", max_entries: int = 400_000):
+    def __init__(self, name: str = "word_bpe_49k.json", max_bytes: int = 128 << 20):
         with open(vocabulary(name), encoding="utf-8") as f:
             model = json.load(f)["model"]
         self.suffix = model["end_of_word_suffix"] or ""
@@ -85,10 +126,10 @@ class PrefixCounter:
         self.longest = max(map(len, self.open | self.closed))
         self.letters = byte_alphabet()
         self.library = library_tokenizer(name)
-        self.tables: dict[str, tuple[int, ...]] = {}
-        self.totals: dict[str, int] = {}
-        self.earlier: dict[str, int] = {}
-        self.max_entries = max_entries
+        #: Two generations of tables; when the bytes of one reach the bound the older goes.
+        self.tables: dict[str, bytes | tuple[int, ...]] = {}
+        self.earlier: dict[str, bytes | tuple[int, ...]] = {}
+        self.max_bytes, self.held = max_bytes, 0
 
     def _ends(self, word: str) -> tuple[list[str], list[int]]:
         """Last open piece and open count of every prefix of a byte-level word."""
@@ -113,32 +154,25 @@ class PrefixCounter:
                 return count[start] + 1
         raise ValueError("a byte has no closing piece")
 
-    def table(self, token: str) -> tuple[int, ...]:
-        """Counts at every prefix, in characters, of a lower-case pre-token."""
+    def table(self, token: str) -> bytes | tuple[int, ...]:
+        """Counts at every prefix, in characters, of a lower-case pre-token; kept for reuse."""
         known = self.tables.get(token)
         if known is None:
-            if len(self.tables) > self.max_entries:
-                self.tables.clear()
-            word, at = "", [0]
-            for c in token:
-                word += "".join(self.letters[b] for b in c.encode())
-                at.append(len(word))
-            last, count = self._ends(word)
-            known = self.tables[token] = tuple(self._close(word, e, last, count) if e else 0 for e in at)
+            known = self.earlier.get(token)
+            if known is None:
+                word, at = "", [0]
+                for c in token:
+                    word += "".join([self.letters[b] for b in c.encode()])
+                    at.append(len(word))
+                last, count = self._ends(word)
+                counts = tuple([self._close(word, e, last, count) if e else 0 for e in at])
+                known = bytes(counts) if max(counts) < 256 else counts
+            if self.held > self.max_bytes:
+                self.earlier, self.tables, self.held = self.tables, {}, 0
+            self.tables[token] = known
+            self.held += 160 + 3 * len(token) if type(known) is bytes else 160 + 40 * len(token)
         return known
 
-    def _known(self, token: str) -> int:
-        n = self.totals.get(token)
-        if n is None:
-            n = self.totals[token] = self.earlier.get(token) or self._total(token)
-        return n
-
-    def _total(self, token: str) -> int:
-        """The last entry of the table, without its other closings."""
-        word = "".join([self.letters[b] for b in token.encode()])
-        last, count = self._ends(word)
-        return self._close(word, len(word), last, count)
-
     def pretokens(self, text: str) -> list[tuple[str | None, int, int]]:
         """(pre-token, start, end); None stands for a special string, which is one token."""
         out: list[tuple[str | None, int, int]] = []
@@ -182,40 +216,68 @@ class PrefixCounter:
         return text[: ends[bisect_right(counts, budget) - 1]]
 
     def count(self, text: str | None) -> int:
-        """The count at the last prefix."""
+        """The count at the last prefix, from the tables of the pre-tokens."""
         if not text:
             return 0
-        if text.isascii() and not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text) or not UNSETTLED.search(text):
+        if settled(text):
             special = len(_SPECIAL.findall(text)) if "<|" in text else 0
-            low = (_SPECIAL.sub(" ", text) if special else text).lower()
-            tokens = WORD_PATTERN.findall(low)
-            totals = self.totals
-            got = list(map(totals.get, tokens))
-            if None in got:
-                if len(totals) > self.max_entries:
-                    self.earlier, self.totals = totals, {}
-                got = [self._known(t) if n is None else n for t, n in zip(tokens, got)]
-            return special + sum(got)
+            tokens = WORD_PATTERN.findall((_SPECIAL.sub(" ", text) if special else text).lower())
+            found = list(map(self.tables.get, tokens))
+            if None in found:
+                found = [self.table(t) if n is None else n for t, n in zip(tokens, found)]
+            return special + sum([t[-1] for t in found])
         return sum(1 if t is None else self.table(t)[-1] for t, _, _ in self.pretokens(text))
 
+    def fit(self, text: str | None, budget: int) -> int:
+        """Characters of the longest prefix with at most ``budget`` tokens. It ends in no special string;
+        of a text that the normaliser rewrites it ends where a pre-token begins, by the library's offsets."""
+        text = text or ""
+        if not settled(text):
+            found = self.library.encode(text, add_special_tokens=False)
+            if len(found.ids) <= budget:
+                return len(text)
+            k = budget
+            while k and found.word_ids[k - 1] == found.word_ids[k]:
+                k -= 1
+            return found.offsets[k][0]
+        n = 0
+        for token, start, _ in self.pretokens(text):
+            counts = self.table(token) if token is not None else (0, 1)
+            if n + counts[-1] > budget:
+                return start + (max(k for k, c in enumerate(counts) if n + c <= budget) if token is not None else 0)
+            n += counts[-1]
+        return len(text)
+
+
+def settled(text: str) -> bool:
+    """Whether the splitting pattern alone says what the library's normaliser and splitter do."""
+    return text.isascii() and not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text) or not UNSETTLED.search(text)
+
+
+@lru_cache(1)
+def worker_counter(name: str) -> PrefixCounter:
+    """The counter of a Python worker, which keeps its tables for the tasks that follow."""
+    return PrefixCounter(name)
+
 
 def _counter(name: str, limit: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(name)
+        counter = worker_counter(name)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = [counter.count(t) for t in texts]
             size = [len((t or "").encode()) for t in texts]
+            fit = [counter.fit(t, limit) if x > limit else len(t or "") for t, x in zip(texts, n)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(fit, pa.int64())],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
             )
 
     return count
 
 
 def token_counts(docs: DataFrame, name: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of each row."""
+    """doc_id, n_bytes, n_tokens, over_limit and fit_chars (characters of the longest prefix within the limit) of each row."""
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(_counter(name, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return source.mapInArrow(_counter(name, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
