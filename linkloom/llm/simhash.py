@@ -11,8 +11,10 @@ them; the join then only reports links between different components of that. Den
 list their pairs, and no link that joins components is lost.
 
 Defined cases: null and empty texts, and texts without a word, have fingerprint 0; null ids don't
-name a component (it is null if all its ids are null); repeated rows are rows of one class; an
-empty table gives an empty result; columns beside doc_id and text are ignored.
+name a component (it is null if all its ids are null); repeated rows are rows of one class; a bit
+that exactly half the hashes set is 0; texts of any length are hashed a block at a time; an empty
+table gives an empty result; columns beside doc_id and text are ignored by `near_duplicates` and
+kept by `keep_one`, under any names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.clusters import components
-from .common import bounded_batches, written
+from .common import bounded_batches, spare_name, written
 
 WIDTH = 64
 SHINGLE = 4
@@ -220,13 +222,17 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFr
 
 
 def _with_fingerprint(docs: DataFrame) -> DataFrame:
-    at = docs.columns.index("text")
+    """(row, id, fp): all columns of a row in a struct, so that no name of theirs meets one of ours."""
+    at, names = docs.columns.index("text"), docs.columns
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t.as_py()) for t in b.column(at)], pa.int64())], names=[*b.schema.names, "__fp"])
+            fps = pa.array([fingerprint(t.as_py()) for t in b.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, fps], names=[*b.schema.names, spare])
 
-    return docs.mapInArrow(compute, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    spare = spare_name(names, "fp")
+    told = docs.mapInArrow(compute, StructType([*docs.schema.fields, StructField(spare, LongType())]))
+    return told.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col(spare).alias("fp"))
 
 
 def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -235,11 +241,12 @@ def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     An id can have texts in several components; only rows of such ids are told apart by fingerprint.
     """
     judged = written(_judged(docs.select("doc_id", "text"), max_distance), "simhash-judged")
-    gone = written(judged.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), F.col("fp").alias("__gone_fp")).distinct(), "simhash-gone")
-    of_gone = F.col("doc_id") == F.col("__gone")
-    kept = docs.join(gone, of_gone, "left_anti")
-    mixed = written(gone.select("__gone").distinct().join(judged.filter("doc_id = component_id").select("doc_id"), of_gone, "left_semi"), "simhash-mixed")
+    gone = written(judged.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"), F.col("fp").alias("gone_fp")).distinct(), "simhash-gone")
+    of_gone = F.col("id") == F.col("gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    kept = rows.join(gone, of_gone, "left_anti").select("row")
+    mixed = written(gone.select("gone").distinct().join(judged.filter("doc_id = component_id").select(F.col("doc_id").alias("id")), of_gone, "left_semi"), "simhash-mixed")
     if mixed.isEmpty():
-        return kept
-    told = _with_fingerprint(docs.join(mixed, of_gone, "left_semi"))
-    return kept.unionByName(told.join(gone, of_gone & (F.col("__fp") == F.col("__gone_fp")), "left_anti").drop("__fp"))
+        return kept.select("row.*")
+    told = _with_fingerprint(rows.join(mixed, of_gone, "left_semi").select("row.*"))
+    return kept.unionByName(told.join(gone, of_gone & (F.col("fp") == F.col("gone_fp")), "left_anti").select("row")).select("row.*")
