@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship_package
 from ..storage import shared_dir, written
 
-__all__ = ["WHITE", "bounded_batches", "bucketed", "documents", "held_out", "labels", "shuffle_partitions", "spare_name", "written"]
+__all__ = ["WHITE", "bounded_batches", "bucketed", "documents", "held_out", "labels", "parts_for", "shuffle_partitions", "spare_name", "written"]
 
 #: The ASCII white space that separates words in every operator of this package.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -58,5 +58,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+def parts_for(df: DataFrame, part_bytes: int = 32 << 20) -> int:
+    """Partitions of about ``part_bytes`` of ``df``, by the size its plan states; no job runs."""
+    stated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * shuffle_partitions(df.sparkSession), min(stated // part_bytes, 1 << 20))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,9 @@ sequences of `capacity` ids one after another, cutting documents where a sequenc
 end of a range is cut into sequences whose lengths are powers of two, which need no padding.
 
 Defined cases: null text is empty and yields one piece with the end id only; rows that share an
-id are packed separately; null ids are kept as null; an empty table gives no piece.
+id are packed separately, repeated rows too; null ids are kept as null; documents of one key follow
+each other by id and ids; a document longer than a sequence is cut into as many as it needs; columns
+beside doc_id and text are ignored; an empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shuffle_partitions, written
+from .common import bounded_batches, parts_for, written
 from .subwords import worker_encoder
 
 DIMS, BITS = 4, 8
@@ -156,8 +158,8 @@ def pack_documents(
     Ids are written once before the range sort, which would otherwise encode every text twice (for
     its bounds and for its rows). The id breaks ties of the curve key, so equal keys can be split.
     """
-    spark = bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     coded = written(source.mapInArrow(_encoder(vocabulary, end_id, seed), "doc_id long, curve long, ids binary"), "pack-ids")
-    ordered = coded.repartitionByRange(2 * shuffle_partitions(spark), "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
+    ordered = coded.repartitionByRange(parts_for(coded), "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
     return ordered.select("doc_id", "ids").mapInArrow(_packer(capacity, window_ids), PIECES)

@@ -6,7 +6,9 @@ and independent blocks. A block interleaves `LANES` coder states, keeps decoder
 checkpoints, decode in parallel and damage is found where it lies.
 
 Defined cases: null text is empty and has only the end id; null ids sort first; rows that share
-an id are kept as separate rows in a stable order by text; an empty table gives an empty store.
+an id are kept as separate rows in a stable order by text, repeated rows too; a text longer than a
+segment is one segment of several blocks; columns beside doc_id and text are ignored; an empty table
+gives an empty store.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shuffle_partitions, written
+from .common import bounded_batches, parts_for, written
 from .subwords import worker_encoder
 
 PRECISION = 18
@@ -196,9 +198,9 @@ def write_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id:
     Texts are range-partitioned by id before they are encoded: a part is a contiguous id range.
     A segment holds whole documents and closes at ``segment_ids`` ids, so a task holds one segment.
     """
-    spark = bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = ordered.repartitionByRange(2 * shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = ordered.repartitionByRange(parts_for(ordered), "doc_id").sortWithinPartitions("doc_id", "text")
     return written(ordered.mapInArrow(_writer(vocabulary, end_id, segment_ids), SEGMENT), "token-store")
 
 

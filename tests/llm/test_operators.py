@@ -137,6 +137,18 @@ def test_keep_one_keeps_the_smallest(docs, rows):
     assert kept == {i for i, c in components.items() if i == c}
 
 
+def test_stages_keep_columns_under_any_name(spark):
+    names = ["gone", "gone_fp", "fp", "fp_", "row", "id", "sha", "maybe", "of", "stays", "p", "bucket", "bitmap", "__b0", "__m0", "__gone", "__fp", "doc", "anomaly", "kept"]
+    rng = random.Random(12)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (6, b), (7, c), (8, None), (9, ""), (None, "x")]
+    df = spark.createDataFrame([(i, t, *(f"{n}-{k}" for n in names)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    whole = {tuple(r) for r in df.collect()}
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for out in (simhash.keep_one(df), exact_dedup.keep_first(df), quality_rules.keep_good(df, none)):
+        assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= whole
+
+
 def test_keep_one_tells_rows_of_a_repeated_id_apart(spark):
     rng = random.Random(8)
     a, b, c = (prose(rng, 80) for _ in range(3))
@@ -177,6 +189,36 @@ def test_exact_groups_repeats_and_null_ids(spark):
     assert kept.columns == df.columns and sorted(((r.doc_id, norm(r.text)) for r in kept.collect()), key=str) == [(4, b"a b"), (None, b"z")]
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_keep_first_moves_only_rows_that_may_go(spark, docs, rows, limit):
+    kept = exact_dedup.keep_first(docs, max_broadcast_bytes=limit)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(norm(t), []).append(i)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(map(min, groups.values()))
+    # an exchange that carries whole rows comes after the probe's filter, and texts of others stay
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") % 100 == 0, 0).otherwise(F.col("id")).cast("string")).alias("text"))
+    out = exact_dedup.keep_first(df, max_broadcast_bytes=limit)
+    assert out.count() == 20_000 - 199
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") > 0 and not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_keep_first_with_null_ids_and_repeats(spark):
+    rows = [(4, "a b"), (4, "a  b"), (6, "a b"), (None, "a b"), (None, "z"), (None, "z"), (7, "z2"), (7, "z3"), (8, None), (9, "")]
+    got = sorted(((r.doc_id, norm(r.text)) for r in exact_dedup.keep_first(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(4, b"a b"), (None, b"z"), (7, b"z2"), (7, b"z3"), (8, b"")], key=str)
+
+
+def test_letters_by_category(spark):
+    rows = [(1, "½ ²"), (2, "Ⅷ"), (3, "①"), (4, "\u0301 \u0300"), (5, "ª"), (6, "中"), (7, None), (8, "12 _ !"), (9, "ok")]
+    learnt = [(i, "the cat and the dog") for i in range(20, 60)]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict_language(frame(spark, rows + learnt)).collect()}
+    assert {i for i, _ in rows if got[i] == "und"} == {1, 2, 3, 4, 7, 8}
+
+
 # repeated passages
 
 
@@ -320,6 +362,32 @@ def test_every_prefix_count():
         assert ids(cut) <= budget and text.startswith(cut)
 
 
+def test_pairs_come_apart_as_merging_says():
+    counter, rng = token_counts.PrefixCounter(), random.Random(3)
+    pairs, pieces = counter.pairs, sorted(counter.open)
+    closed = [p + counter.suffix for p in sorted(counter.closed)]
+    for _ in range(40_000):
+        a, b = rng.choice(pieces), rng.choice(pieces if rng.random() < 0.5 else closed)
+        if rng.random() < 0.7:  # pieces that often meet
+            b = rng.choice([p for p in (b, *rng.sample(pieces, 3)) if p[0].isalpha()] or [b])
+        assert pairs.allows(a, b) == (pairs.encode(pairs.split(a) + pairs.split(b)) == [a, b])
+
+
+def test_longest_prefix_within_a_budget(spark):
+    counter, library = token_counts.PrefixCounter(), library_tokenizer("word_bpe_49k.json")
+    ids = lambda s: len(library.encode(s, add_special_tokens=False).ids)
+    rng = random.Random(6)
+    for text in [prose(rng, 12), "  Thethanble's  nd 12 über-éction, anor!!!", "a <|endoftext|> bé shtion", "", "naïve İ x yz"]:
+        for budget in range(0, 20):
+            cut = counter.fit(text, budget)
+            assert ids(text[:cut]) <= budget
+            if token_counts.settled(text) and "<|" not in text:
+                assert cut == max(k for k in range(len(text) + 1) if ids(text[:k]) <= budget)
+    rows = [(1, "the an " * 3000), (2, None), (None, "or in")]
+    got = {r.doc_id: r for r in token_counts.token_counts(frame(spark, rows), limit=100).collect()}
+    assert got[1].over_limit and ids(rows[0][1][: got[1].fit_chars]) == 100 and got[2].fit_chars == 0 and got[None].fit_chars == 5
+
+
 def test_packing(docs, rows):
     pieces = packing.pack_documents(docs, window_ids=1500).collect()
     library, by_doc, sequences = library_tokenizer("byte_bpe_50k.json"), {}, {}
