@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship_package
 
 # The lower triangle of the public BLOSUM62 matrix, in this order of letters.
-BLOSUM62_LETTERS = "ARNDCQEGHILKMFPSTWYV"
+BLOSUM62_LETTERS = "ARNDCQEGHILKMFPSTWYVBZX*"
 BLOSUM62_LOWER = """
 4
 -1 5
@@ -35,6 +35,10 @@ BLOSUM62_LOWER = """
 -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
 -2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
 0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+-2 -1 3 4 -3 0 1 -1 0 -3 -4 0 -3 -3 -2 0 -1 -4 -3 -3 4
+-1 0 0 1 -3 3 4 -2 0 -3 -3 1 -1 -3 -1 0 -1 -3 -2 -2 1 4
+0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2 0 0 -2 -1 -1 -1 -1 -1
+-4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 1
 """
 GAP_OPEN, GAP_EXTEND, UNKNOWN = -11.0, -1.0, -1e6
 
@@ -86,21 +90,35 @@ def affine_score(a: str, b: str, score: np.ndarray, gap_open: float, gap_extend:
     return float(best[-1])
 
 
-@register("blosum62")
-def blosum_score(a: str, b: str) -> float:
-    return affine_score(a, b, blosum62(), GAP_OPEN, GAP_EXTEND)
+def known(*sequences: str) -> bool:
+    """Whether all letters are in the matrix."""
+    return all(set(s) <= set(BLOSUM62_LETTERS) for s in sequences)
 
 
-@lru_cache(1)
-def _identity() -> np.ndarray:
-    return np.eye(256)
+@register("blosum62")
+def blosum_score(a: str, b: str) -> float:
+    """Score of the best global alignment; `UNKNOWN` for the whole pair if a letter is not in the matrix."""
+    return affine_score(a, b, blosum62(), GAP_OPEN, GAP_EXTEND) if known(a, b) else UNKNOWN
 
 
 @register("identity")
-def sequence_identity(a: str, b: str) -> float:
-    """Identical aligned residues over the shorter length; inner gaps cost nothing, mismatches score 0."""
-    shorter = min(len(a), len(b))
-    return affine_score(a, b, _identity(), 0.0, 0.0) / shorter if shorter else 0.0
+def sequence_identity(a: str, b: str) -> float | None:
+    """Identical residues over the shorter length, on the alignment with the fewest gaps and the best score.
+
+    A gap costs more to open than any substitutions gain, so sequences of one length are laid on each
+    other, and others have one gap as long as their difference, where the scores around it are best
+    (the first such place). No letters on a side: 0; a letter that is not in the matrix: null.
+    """
+    if not known(a, b):
+        return None
+    a, b = sorted((a, b), key=len)
+    x, y = (np.frombuffer(s.encode(), np.uint8) for s in (a, b))
+    if not len(x):
+        return 0.0
+    score, gap = blosum62(), len(y) - len(x)
+    before, after = np.append(0, np.cumsum(score[x, y[: len(x)]])), np.append(0, np.cumsum(score[x, y[gap:]]))
+    at = int(np.argmax(before + (after[-1] - after)))
+    return float((x[:at] == y[:at]).sum() + (x[at:] == y[at + gap :]).sum()) / len(x)
 
 
 def pair_kernel(name: str) -> Callable[[Column, Column], Column]:

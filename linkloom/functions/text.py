@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 ARROW = ">>"
 
-# The public SMILES token pattern of the rxnfp tokenizer.
-SMILES_TOKENS = r"(\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\(|\)|\.|=|#|-|\+|\\\\|\/|:|~|@|\?|>|\*|\$|\%[0-9]{2}|[0-9])"
+# The public SMILES token pattern for reactions.
+SMILES_TOKENS = r"(\%\([0-9]{3}\)|\[[^\]]+]|Br?|Cl?|N|O|S|P|F|I|b|c|n|o|s|p|\||\(|\)|\.|=|#|-|\+|\\|\/|:|~|@|\?|>>?|\*|\$|\%[0-9]{2}|[0-9])"
 
 
 def reverse_sides(s: Column) -> Column:
@@ -41,7 +41,10 @@ def strip_map_numbers(s: Column) -> Column:
 
 
 def balanced_fragments(s: Column) -> Column:
-    """'.'-fragments, with neighbours rejoined until parentheses balance, outer parentheses cut."""
+    """'.'-fragments, with neighbours rejoined until parentheses balance; what stays open is dropped.
+
+    A rejoined fragment loses its grouping: its first '(' and its last ')'.
+    """
     count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
@@ -54,7 +57,13 @@ def balanced_fragments(s: Column) -> Column:
         )
 
     parts = F.aggregate(F.split(s, r"\."), start, step, lambda acc: acc["done"])
-    return F.transform(parts, lambda x: F.when(x.startswith("(") & x.endswith(")"), F.substring(x, F.lit(2), F.length(x) - 2)).otherwise(x))
+    grouped = lambda x: F.regexp_replace(F.regexp_replace(x, r"^([^(]*)\(", "$1"), r"\)([^)]*)$", "$1")
+    return F.transform(parts, lambda x: F.when(x.contains("."), grouped(x)).otherwise(x))
+
+
+def side_patterns(s: Column, side: int) -> Column:
+    """Patterns of one side of a rule, without map numbers."""
+    return balanced_fragments(strip_map_numbers(F.split(s, ARROW)[side]))
 
 
 def decode_centre(s: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,19 +86,17 @@ def bin_label(x: Column, bounds: list[float]) -> Column:
     return out.otherwise(F.lit(f">{bounds[-1]:g}"))
 
 
-def cosine_schedule(step: int, total: int, start: float, end: float) -> float:
+def cosine_schedule(step: Column, total: int, start: float, end: float) -> Column:
     """Cosine annealing from ``start`` to ``end``."""
-    import math
-
-    return end + (start - end) * (1 + math.cos(math.pi * min(step, total) / total)) / 2
+    return F.lit(end) + (start - end) * (1 + F.cos(F.lit(math.pi) * F.least(step, F.lit(total)) / total)) / 2
 
 
-def warmup_schedule(step: int, warmup: int, rate: float) -> float:
+def warmup_schedule(step: Column, warmup: int, rate: float) -> Column:
     """Linear up to ``rate``."""
-    return rate * min(1.0, step / max(1, warmup))
+    return rate * F.least(F.lit(1.0), step / max(1, warmup))
 
 
-def inverse_root_schedule(step: int, warmup: int, width: int) -> float:
-    """width^-1/2 * min(step^-1/2, step * warmup^-3/2)."""
-    step = max(step, 1)
-    return width**-0.5 * min(step**-0.5, step * warmup**-1.5)
+def inverse_root_schedule(step: Column, warmup: int, width: int) -> Column:
+    """width^-1/2 * min(step^-1/2, step * warmup^-3/2), from step 1 on."""
+    at = F.greatest(step, F.lit(1)).cast("double")
+    return F.lit(width**-0.5) * F.least(F.pow(at, F.lit(-0.5)), at * warmup**-1.5)

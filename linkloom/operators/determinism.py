@@ -58,6 +58,44 @@ def ranked(df: DataFrame, out: str, *order: str | Column) -> DataFrame:
     return met.select(*[F.col(f"`{c}`") for c in df.columns], place.cast("long").alias(out))
 
 
+def running_sums(df: DataFrame, order: list[str | Column], sums: dict[str, str]) -> DataFrame:
+    """``df`` with inclusive running sums (name: column) in a total order. No task sees all rows:
+    sums run within range-sorted partitions, to which the totals of the partitions before are added."""
+    placed = written(df.sort(*order).withColumn("__m", F.monotonically_increasing_id()), "running").withColumn("__p", F.shiftright("__m", 33))
+    totals = placed.groupBy("__p").agg(*[F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums.values())])
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__p", *[F.coalesce(F.sum(f"__t{i}").over(earlier), F.lit(0)).alias(f"__b{i}") for i in range(len(sums))])
+    inner = Window.partitionBy("__p").orderBy("__m").rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.select("*", *[F.sum(c).over(inner).alias(f"__s{i}") for i, c in enumerate(sums.values())])
+    met = own.join(F.broadcast(before), "__p")
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(f"__s{i}") + F.col(f"__b{i}")).alias(n) for i, n in enumerate(sums)])
+
+
+def take_first(df: DataFrame, k: int, number: str, below: int) -> DataFrame:
+    """The ``k`` rows with the smallest ``number``, distinct and below ``below``; only one of 65,536 ranges is ordered."""
+    width = max(1, -(-below // 65_536))
+    lead = F.floor(F.col(number) / width)
+    before = 0
+    for digit, n in sorted(tuple(r) for r in df.groupBy(lead.alias("lead")).count().collect()):
+        if before + n > k:
+            return df.filter(lead < digit).unionByName(df.filter(lead == digit).orderBy(number).limit(k - before))
+        before += n
+    return df
+
+
+def permuted_cells(j: str, n_left: int, n_right: int, seed: int) -> tuple[Column, Column]:
+    """Cell (left, right) of the number in column ``j`` of a grid in a seeded order, in which each cell comes once.
+
+    Four rounds in which one coordinate moves by a hash of the other: each can be undone, so the
+    order is a permutation for any grid, and none is written down.
+    """
+    left, right = F.expr(f"`{j}` div {n_right}"), F.col(j) % n_right
+    for r in (1, 3):
+        left = (left + hash_number(f"{seed}:{r}", right)) % n_left
+        right = (right + hash_number(f"{seed}:{r + 1}", left)) % n_right
+    return left, right
+
+
 def downsample_negatives(df: DataFrame, label: str, neg_multiple: int, seed: int, *keys: str) -> DataFrame:
     """All rows with label 1 and ``neg_multiple`` times as many others; all of those if they are fewer."""
     positives = df.filter(F.col(label) == 1)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .clusters import components
+from .determinism import ranked
+
 
 def reaction_centre(before: DataFrame, after: DataFrame, graph: str) -> DataFrame:
     """(graph, node) whose bonds differ between two edge tables (graph, u, v, bond); a missing bond is 0."""
@@ -35,6 +39,17 @@ def within_hops(edges: DataFrame, centre: DataFrame, graph: str, hops: int) -> D
     return reached
 
 
+def radial_mask(edges: DataFrame, centre: DataFrame, graph: str, hops: int) -> DataFrame:
+    """(graph, node) of what lies within ``hops`` of a graph's centre; graphs that fall into pieces are dropped."""
+    kept = written(within_hops(edges, centre, graph, hops).select(graph, "node").distinct(), "fragment")
+    numbered = ranked(kept, "n", graph, "node")
+    a, b = numbered.select(graph, F.col("node").alias("u"), F.col("n").alias("a")), numbered.select(graph, F.col("node").alias("v"), F.col("n").alias("b"))
+    piece = components(edges.select(graph, "u", "v").join(a, [graph, "u"]).join(b, [graph, "v"]).select("a", "b"))
+    rooted = numbered.join(piece.select(F.col("node").alias("n"), "root"), "n", "left").select(graph, "node", F.coalesce("root", "n").alias("root"))
+    whole = rooted.groupBy(graph).agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x = y")
+    return kept.join(whole, graph, "left_semi")
+
+
 def one_hot(value: Column, choices: list, unknown: bool = True) -> Column:
     """1 at the place of the value among ``choices``, and a last place for any other value."""
     hit = [F.when(value == F.lit(c), 1).otherwise(0) for c in choices]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .determinism import hash_number, ranked
+from .determinism import hash_number, ranked, running_sums
 
 GRID = 100
 
@@ -46,10 +46,9 @@ def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
 
 
 def roc_points(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """(score, tp, fp) for each distinct score as an inclusive threshold. The window runs over distinct scores."""
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    points = _by_score(df, y, score)
-    return points.select(F.col(score).alias("score"), F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"), "p", "n")
+    """(score, tp, fp, p, n) for each distinct score as an inclusive threshold; sums run by partitions."""
+    points = _by_score(df, y, score).select(F.col(score).alias("score"), "p", "n")
+    return running_sums(points, [F.desc("score")], {"tp": "p", "fp": "n"}).select("score", "tp", "fp", "p", "n")
 
 
 def auroc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
@@ -63,11 +62,12 @@ def auprc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Trapezoid of precision over recall, from recall 0 at the first point's precision."""
     pts = roc_points(df, y, score)
     total = pts.agg(F.sum("p").alias("total"))
-    pr = pts.crossJoin(F.broadcast(total)).select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("total")).alias("recall"))
-    w = Window.orderBy(F.desc("score"))
-    step = pr.select("precision", "recall", F.lag("precision").over(w).alias("pp"), F.lag("recall").over(w).alias("pr"))
-    area = (F.col("recall") - F.coalesce("pr", F.lit(0.0))) * (F.col("precision") + F.coalesce("pp", "precision")) / 2
-    return step.agg(F.sum(area).alias("auprc"))
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    # the point before has the sums without this one's rows
+    tp, fp = F.col("tp") - F.col("p"), F.col("fp") - F.col("n")
+    before = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(precision)
+    area = F.col("p") / F.col("total") * (precision + before) / 2
+    return pts.crossJoin(F.broadcast(total)).agg(F.sum(area).alias("auprc"))
 
 
 def grid_counts(df: DataFrame, y: str, score: str, points: int = GRID, weight: Column | None = None, by: list[str] | None = None) -> DataFrame:
@@ -139,6 +139,22 @@ def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def coverage_k(df: DataFrame, key: str, count: str, share: float) -> DataFrame:
     """Smallest k whose first k keys, by falling count, hold more than ``share`` of the total."""
-    w = Window.orderBy(F.desc(count), key)
-    run = df.select(F.row_number().over(w).alias("k"), (F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(count).over(Window.partitionBy())).alias("share"))
-    return run.filter(F.col("share") > share).agg(F.min("k").alias("k"))
+    run = ranked(running_sums(df.select(key, count), [F.desc(count), key], {"__sum": count}), "__k", F.desc(count), key)
+    total = df.agg(F.sum(count).alias("__total"))
+    return run.crossJoin(F.broadcast(total)).filter(F.col("__sum") / F.col("__total") > share).agg((F.min("__k") + 1).cast("int").alias("k"))
+
+
+def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(group, name..): exact percentiles, interpolated between the two nearest rows.
+
+    Rows are placed by a distributed sort and only those at the wanted places are looked at.
+    """
+    placed = ranked(df.select(group, value).filter(F.col(value).isNotNull()), "__r", group, value)
+    sizes = placed.groupBy(group).agg(F.min("__r").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    met = placed.join(sizes, group).withColumn("__k", F.col("__r") - F.col("__first"))
+    out = []
+    for name, share in shares.items():
+        at = (F.col("__n") - 1) * F.lit(share)
+        weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("__k") - at))
+        out.append(F.sum(F.when(weight > 0, weight * F.col(value))).alias(name))
+    return met.groupBy(group).agg(*out)

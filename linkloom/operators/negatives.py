@@ -8,15 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import written
-from .determinism import hash_number, take_hashed
+from .determinism import permuted_cells, take_first
 from .links import dictionary_encode
 
 
-def all_cells(link: DataFrame, left: str, right: str) -> DataFrame:
-    """The grid of known ids of both sides; for small tables and as the plain statement."""
-    return link.select(left).distinct().crossJoin(link.select(right).distinct())
-
-
 def wanted_negatives(n_positive: int, n_negative: int, neg_multiple: int, mode: str = "exact") -> int:
     """How many to add. ``exact``: up to neg_multiple * P in all. ``reference``: neg_multiple * P - N
     less what the whole set (P + N) already holds beyond P, the count of the original formula."""
@@ -24,36 +19,30 @@ def wanted_negatives(n_positive: int, n_negative: int, neg_multiple: int, mode:
     return max(0, target) if mode == "exact" else max(0, target - n_negative)
 
 
-def random_negatives(link: DataFrame, left: str, right: str, neg_multiple: int, seed: int, full_grid: bool = False) -> DataFrame:
-    """``neg_multiple`` unobserved cells for each link, or all there are, without repeats.
+def free_cells(known: DataFrame, left: str, right: str, wanted: int, seed: int) -> DataFrame:
+    """``wanted`` cells of the grid of known ids that ``known`` lacks, or all there are.
 
-    ``full_grid`` ranks every free cell by hash and takes the first. Otherwise each link proposes
-    cells (ids picked by hash from the dense index of each side); distinct proposals lose the
-    observed ones and the first by hash are taken. Proposals grow with the links, not the grid;
-    they are doubled until enough are free or the grid has no more.
+    Cells come in a seeded order without repeats (`permuted_cells`); of the first wanted + known ones
+    at most as many as ``known`` has are taken, so the first ``wanted`` free ones are among them: one
+    draw and one anti-join for any grid, and work that grows with the result.
     """
-    link = written(link.select(left, right), "observed")  # read five times below
-    n = link.count()
-    lefts, rights = link.select(left).distinct(), link.select(right).distinct()
-    n_left, n_right = lefts.count(), rights.count()
-    wanted = min(n * neg_multiple, n_left * n_right - n)
-    if full_grid or wanted * 4 > n_left * n_right:
-        free = all_cells(link, left, right).join(link, [left, right], "left_anti")
+    known = written(known.select(left, right).distinct(), "observed")
+    li, ri = (written(dictionary_encode(known, c, n), "grid-side") for c, n in ((left, "__li"), (right, "__ri")))
+    n, n_left, n_right = known.count(), li.count(), ri.count()
+    wanted = max(0, min(wanted, n_left * n_right - n))
+    cells = known.sparkSession.range(wanted + n if wanted else 0).withColumnRenamed("id", "__j")
+    if wanted:
+        a, b = permuted_cells("__j", n_left, n_right, seed)
+        cells = cells.withColumn("__li", a).withColumn("__ri", b)
     else:
-        li, ri = dictionary_encode(lefts, left, "__li"), dictionary_encode(rights, right, "__ri")
-        each = neg_multiple + max(2, neg_multiple // 2)
-        while True:
-            drawn = link.select(left, right, F.explode(F.sequence(F.lit(1), F.lit(each))).alias("__d"))
-            drawn = drawn.select(
-                (hash_number(f"{seed}l", left, right, "__d") % n_left).alias("__li"),
-                (hash_number(f"{seed}r", left, right, "__d") % n_right).alias("__ri"),
-            ).distinct()
-            free = drawn.join(li, "__li").join(ri, "__ri").select(left, right).join(link, [left, right], "left_anti")
-            free = written(free, "free-cells")
-            if free.count() >= wanted:
-                break
-            each *= 2
-    return take_hashed(free, wanted, seed, left, right)
+        cells = cells.select("__j", F.lit(0).cast("long").alias("__li"), F.lit(0).cast("long").alias("__ri"))
+    free = cells.join(li, "__li").join(ri, "__ri").join(known, [left, right], "left_anti")
+    return take_first(written(free.select("__j", left, right), "free-cells"), wanted, "__j", wanted + n).select(left, right)
+
+
+def random_negatives(link: DataFrame, left: str, right: str, neg_multiple: int, seed: int) -> DataFrame:
+    """``neg_multiple`` unobserved cells for each link, or all there are, without repeats."""
+    return free_cells(link, left, right, neg_multiple * link.select(left, right).distinct().count(), seed)
 
 
 def labelled_pairs(link: DataFrame, negatives: DataFrame) -> DataFrame:
@@ -64,8 +53,7 @@ def upsample_negatives(pairs: DataFrame, left: str, right: str, neg_multiple: in
     """Labelled ``pairs`` with added negatives up to ``neg_multiple`` a positive (see `wanted_negatives`)."""
     sizes = {r[0]: r[1] for r in pairs.groupBy("y").count().collect()}
     k = wanted_negatives(sizes.get(1, 0), sizes.get(0, 0), neg_multiple, mode)
-    free = all_cells(pairs, left, right).join(pairs, [left, right], "left_anti")
-    added = take_hashed(free, k, seed, left, right)
+    added = free_cells(pairs, left, right, k, seed)
     return pairs.select(left, right, "y").unionByName(added.withColumn("y", F.lit(0)))
 
 

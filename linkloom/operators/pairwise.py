@@ -45,6 +45,12 @@ def _tanimoto(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(d, rest, out=np.zeros_like(d), where=rest != 0)
 
 
+@kernel("cosine_either_way")
+def _cosine_either_way(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The better of both directions of concatenated vectors: as it is, and with the halves of one swapped."""
+    return np.maximum(_cosine(a, b), _cosine(a, np.roll(b, b.shape[1] // 2, axis=1)))
+
+
 def _cells(df: DataFrame, id_col: str, vec_col: str, blocks: int, rows: bool) -> DataFrame:
     """Rows with the grid cells they take part in, as row block or as column block (row <= column)."""
     b = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
@@ -82,6 +88,28 @@ def pairwise(df: DataFrame, id_col: str, vec_col: str, kernel: str = "cosine", b
     return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(cell, "i long, j long, sim double")
 
 
+def string_pairs(df: DataFrame, column: str, f: Callable[[str, str], float | None], out: str, block_rows: int = 256) -> DataFrame:
+    """(a, b, out) for all a < b of distinct strings, on the same grid of blocks."""
+    ship_package(df.sparkSession)
+    distinct = df.select(F.col(column).alias("s")).filter(F.col(column).isNotNull()).distinct()
+    blocks = max(1, -(-distinct.count() // block_rows))
+    own = distinct.select("s", F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int").alias("b"))
+
+    def side(rows: bool) -> DataFrame:
+        placed = own.select("s", "b", F.explode(F.sequence(F.col("b"), F.lit(blocks - 1)) if rows else F.sequence(F.lit(0), F.col("b"))).alias("o"))
+        return placed.select(F.concat("s", F.lit("")).alias("x" if rows else "y"), (F.col("b") * blocks + F.col("o") if rows else F.col("o") * blocks + F.col("b")).alias("cell"))
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), out: pa.array([], pa.float64())})
+        xs, ys = left.column("x").to_pylist(), right.column("y").to_pylist()
+        inner = left.column("cell")[0].as_py() % (blocks + 1) == 0
+        met = [(min(x, y), max(x, y)) for x in xs for y in ys if not inner or x < y]
+        return pa.table({"a": pa.array([p[0] for p in met], pa.string()), "b": pa.array([p[1] for p in met], pa.string()), out: pa.array([f(*p) for p in met], pa.float64())})
+
+    return side(True).groupBy("cell").cogroup(side(False).groupBy("cell")).applyInArrow(cell, f"a string, b string, {out} double")
+
+
 def pairwise_builtin(df: DataFrame, id_col: str, vec_col: str, sim: Callable[[Column, Column], Column], block_rows: int = 1024) -> DataFrame:
     """The same pairs by an equi-join on grid cells and a built-in expression; no Python, no nested loop."""
     blocks = max(1, -(-df.count() // block_rows))

@@ -27,7 +27,7 @@ def a1(spark, sf):
 def a2(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source")
     large = docs.groupBy("source").count().filter("count >= 50")
-    return docs.join(F.broadcast(large), "source", "left_semi").select("doc_id")
+    return docs.join(large, "source", "left_semi").select("doc_id")
 
 
 @query("a3_first_and_list", "SELECT o_custkey, min(o_orderdate) AS first_date, list_sort(list(o_orderkey)) AS orders FROM orders GROUP BY o_custkey")
@@ -80,8 +80,8 @@ def a11(spark, sf):
 
 @query("a12_percentiles", "SELECT event_type, round(quantile_cont(value::DOUBLE, 0.025::DOUBLE), 6) AS p025, round(quantile_cont(value::DOUBLE, 0.5::DOUBLE), 6) AS p500, round(quantile_cont(value::DOUBLE, 0.975::DOUBLE), 6) AS p975 FROM events GROUP BY event_type")
 def a12(spark, sf):
-    q = lambda p, n: r6(F.percentile("value", F.lit(p))).alias(n)
-    return table(spark, sf, "events").groupBy("event_type").agg(q(0.025, "p025"), q(0.5, "p500"), q(0.975, "p975"))
+    out = M.percentiles(table(spark, sf, "events"), "event_type", "value", {"p025": 0.025, "p500": 0.5, "p975": 0.975})
+    return out.select("event_type", *[r6(c).alias(c) for c in ("p025", "p500", "p975")])
 
 
 @query("a13_top_trials", "WITH t AS (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50), c AS (SELECT o_orderpriority, count(*) AS n FROM t GROUP BY 1) SELECT (SELECT o_orderpriority FROM c ORDER BY n DESC, o_orderpriority LIMIT 1) AS mode_priority, round(avg(o_totalprice), 4) AS mean_price FROM t")
@@ -176,7 +176,7 @@ def a22(spark, sf):
 def a23(spark, sf):
     e = table(spark, sf, "embeddings")
     many = e.groupBy("label").count().filter("count > 1")
-    cells = e.join(F.broadcast(many), "label", "left_semi").select("label", F.posexplode("embedding").alias("pos", "x"))
+    cells = e.join(many, "label", "left_semi").select("label", F.posexplode("embedding").alias("pos", "x"))
     return cells.groupBy("label", "pos").agg(r6(F.avg(F.col("x").cast("double"))).alias("mean"))
 
 
@@ -242,8 +242,13 @@ def w2(spark, sf):
 
 @query("w3_empirical_cdf", f"WITH {SCORED} SELECT doc_id, round(row_number() OVER (PARTITION BY lang ORDER BY score, doc_id) / count(*) OVER (PARTITION BY lang), 6) AS cdf, round(cume_dist() OVER (PARTITION BY lang ORDER BY score), 6) AS cdf_ties FROM scored")
 def w3(spark, sf):
-    w = Window.partitionBy("lang")
-    return scored(spark, sf).select("doc_id", r6(F.row_number().over(w.orderBy("score", "doc_id")) / F.count(F.lit(1)).over(w)).alias("cdf"), r6(F.cume_dist().over(w.orderBy("score"))).alias("cdf_ties"))
+    """Places come from a distributed sort: a common language is no single task."""
+    placed = D.ranked(scored(spark, sf).select("doc_id", "lang", "score"), "__r", "lang", "score", "doc_id")
+    sizes = placed.groupBy("lang").agg(F.min("__r").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    ties = placed.groupBy("lang", "score").agg(F.max("__r").alias("__last"))
+    met = placed.join(ties, ["lang", "score"]).join(sizes, "lang")
+    share = lambda c: r6((F.col(c) - F.col("__first") + 1) / F.col("__n"))
+    return met.select("doc_id", share("__r").alias("cdf"), share("__last").alias("cdf_ties"))
 
 
 @query("w4_running_sums", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS up, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING), 2) AS down FROM orders")
@@ -276,3 +281,12 @@ def a27(spark, sf):
     return cumulative_new(table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("epoch"), "l_suppkey", "l_partkey"), "epoch", "l_suppkey", "l_partkey")
 
 
+@query("t7_flat_columns", "SELECT lang, round(avg(CASE WHEN quality = 0 THEN n_chars END), 6) AS n_chars_avg_0, max(CASE WHEN quality = 0 THEN n_chars END) AS n_chars_max_0, round(avg(CASE WHEN quality = 1 THEN n_chars END), 6) AS n_chars_avg_1, max(CASE WHEN quality = 1 THEN n_chars END) AS n_chars_max_1 FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def t7(spark, sf):
+    """A pivot's names in levels (column, statistic, value) as one name each."""
+    from ..schemas import flat_name
+
+    met = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    p = met.groupBy("lang").pivot("quality", [0, 1]).agg(r6(F.avg("n_chars")).alias("avg"), F.max("n_chars").alias("max"))
+    levels = [("n_chars", stat, value) for value in ("0", "1") for stat in ("avg", "max")]
+    return p.select("lang", *[F.col(f"`{v}_{s}`").alias(flat_name(c, s, v)) for c, s, v in levels])

@@ -15,7 +15,7 @@ from ..operators import splits as Sp
 
 from ..operators.links import assemble, links
 from ..registry import query, table
-from .fixtures import HIER, LINKS, PAIRS, RXN, hashed, hier, number, r6, rxn, vector_pairs
+from .fixtures import COSINE, HIER, LINKS, PAIRS, RXN, hashed, hier, number, r6, rxn, vector_pairs
 
 NORMAL = f"{PAIRS}, lo AS (SELECT least(min(sim), 1.0::DOUBLE) AS lo, greatest(max(sim), 1.0::DOUBLE) AS hi FROM pairs), norm AS (SELECT i, j, (sim - lo) / (hi - lo) AS sim FROM pairs, lo)"
 
@@ -40,30 +40,25 @@ def c2(spark, sf):
     return _clusters(spark, sf, 0.6)
 
 
-@query("c3_first_fit")
+@query(
+    "c3_first_fit",
+    """WITH RECURSIVE r AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
+    nb AS MATERIALIZED (SELECT b.n, b.vec_id, coalesce(list(a.vec_id) FILTER (a.vec_id IS NOT NULL), []) AS near FROM r b LEFT JOIN r a ON a.n < b.n AND list_max(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) <= 0.35::DOUBLE GROUP BY b.n, b.vec_id),
+    s AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS anchors, NULL::BIGINT AS vec_id, NULL::BIGINT AS anchor
+        UNION ALL SELECT nb.n, CASE WHEN list_min(list_intersect(anchors, near)) IS NULL THEN list_append(anchors, nb.vec_id) ELSE anchors END, nb.vec_id, coalesce(list_min(list_intersect(anchors, near)), nb.vec_id) FROM s JOIN nb ON nb.n = s.n + 1)
+    SELECT vec_id, anchor FROM s WHERE vec_id IS NOT NULL""",
+)
 def c3(spark, sf):
     return C.first_fit(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.35)
 
 
 @query(
     "c4_cluster_merge",
-    f"""WITH RECURSIVE {NORMAL}, {clusters_sql(0.62, 'base')}, g AS (SELECT a.cluster AS a, b.cluster AS b FROM norm JOIN base a ON i = a.vec_id JOIN base b ON j = b.vec_id WHERE sim > 0.6::DOUBLE AND i % 2 = 0 AND j % 2 = 0 AND a.cluster <> b.cluster),
-    h AS (SELECT a, b FROM g UNION SELECT b, a FROM g), w AS (SELECT DISTINCT cluster AS node, cluster AS root FROM base UNION SELECT h.b, w.root FROM w JOIN h ON h.a = w.node),
-    m AS (SELECT node, min(root) AS root FROM w GROUP BY node) SELECT vec_id, root AS cluster FROM base JOIN m ON cluster = node""",
-)
-def c4(spark, sf):
-    norm = C.normalised(vector_pairs(spark, sf))
-    base = C.single_linkage(table(spark, sf, "embeddings"), "vec_id", norm, 0.62)
-    return C.merge_clusters(base, "vec_id", "cluster", norm.filter("sim > 0.6 AND i % 2 = 0 AND j % 2 = 0"))
-
-
-@query(
-    "c4_cluster_merge_all",
     f"""WITH RECURSIVE {NORMAL}, {clusters_sql(0.62, 'base')}, g AS (SELECT a.cluster AS a, b.cluster AS b FROM norm JOIN base a ON i = a.vec_id JOIN base b ON j = b.vec_id WHERE sim > 0.6::DOUBLE AND a.cluster <> b.cluster),
     h AS (SELECT a, b FROM g UNION SELECT b, a FROM g), w AS (SELECT DISTINCT cluster AS node, cluster AS root FROM base UNION SELECT h.b, w.root FROM w JOIN h ON h.a = w.node),
     m AS (SELECT node, min(root) AS root FROM w GROUP BY node) SELECT vec_id, root AS cluster FROM base JOIN m ON cluster = node""",
 )
-def c4_all(spark, sf):
+def c4(spark, sf):
     """Clusters merged over all pairs above the second cutoff."""
     norm = C.normalised(vector_pairs(spark, sf))
     base = C.single_linkage(table(spark, sf, "embeddings"), "vec_id", norm, 0.62)
@@ -92,9 +87,11 @@ def f2(spark, sf):
 SPLIT = f"{LINKS}, {GROUPS}, s AS (SELECT pid, links.rid, CASE WHEN o <= ceil(n * 20 / 100) THEN -1 ELSE ({number(2, 'links.rid')} % 3)::INTEGER END AS split FROM links JOIN g USING (rid))"
 
 
-@query("f3_disjoint_groups", f"WITH {SPLIT} SELECT rid, count(DISTINCT split) AS n_splits FROM s GROUP BY rid HAVING count(DISTINCT split) > 1")
+@query("f3_disjoint_groups", f"WITH {SPLIT}, m AS (SELECT rid, split FROM s UNION ALL SELECT rid, 9 FROM s WHERE rid < 4) SELECT rid, count(DISTINCT split) AS n_splits FROM m GROUP BY rid HAVING count(DISTINCT split) > 1")
 def f3(spark, sf):
-    return Sp.straddling_groups(Sp.random_split(links(spark, sf), "rid", 3, 20, 1), "rid", "split")
+    """The check on a split to which rows of the first groups were added on another side: it finds those groups and no more."""
+    s = Sp.random_split(links(spark, sf), "rid", 3, 20, 1).select("rid", "split")
+    return Sp.straddling_groups(s.unionByName(s.filter("rid < 4").select("rid", F.lit(9).alias("split"))), "rid", "split")
 
 
 @query("f4_split_by_entity", f"WITH {SPLIT} SELECT split, count(*) AS n, count(DISTINCT rid) AS groups FROM s GROUP BY split")
@@ -107,7 +104,7 @@ def f5(spark, sf):
     from ..operators.links import dictionary_encode
 
     keyed = table(spark, sf, "part").select("p_partkey", Sp.rule_set_key(F.array("p_brand", "p_type")).alias("k"))
-    return keyed.join(F.broadcast(dictionary_encode(keyed, "k", "grp")), "k").select("p_partkey", "grp")
+    return keyed.join(dictionary_encode(keyed, "k", "grp"), "k").select("p_partkey", "grp")
 
 
 def _level_points(spark, sf):
@@ -159,17 +156,28 @@ def f10(spark, sf):
     return Sp.oversample_positives(table(spark, sf, "labels").select("doc_id", "toxic"), "toxic", 3)
 
 
-FREE = f"{LINKS}, p AS (SELECT DISTINCT pid FROM links), q AS (SELECT DISTINCT rid FROM links), drawn AS (SELECT DISTINCT {number('42l', 'pid', 'rid', 'd')} % (SELECT count(*) FROM p) AS li, {number('42r', 'pid', 'rid', 'd')} % (SELECT count(*) FROM q) AS ri FROM links, range(1, {{each}}) t(d)), pi AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS li FROM p), qi AS (SELECT rid, row_number() OVER (ORDER BY rid) - 1 AS ri FROM q), free AS (SELECT pid, rid FROM drawn JOIN pi USING (li) JOIN qi USING (ri) EXCEPT SELECT pid, rid FROM links), neg AS (SELECT pid, rid FROM free ORDER BY {hashed(42, 'pid', 'rid')}, pid, rid LIMIT (SELECT {{m}} * count(*) FROM links))"
+def cells_sql(seed: int, known: str, left: str, right: str, wanted: str) -> str:
+    """Statements up to ``neg``: the first ``wanted`` cells of the permuted grid that ``known`` lacks."""
+    step = lambda r, c: number(f"{seed}:{r}", c)
+    return f"""li AS (SELECT {left}, row_number() OVER (ORDER BY {left}) - 1 AS i FROM (SELECT DISTINCT {left} FROM {known})), ri AS (SELECT {right}, row_number() OVER (ORDER BY {right}) - 1 AS i FROM (SELECT DISTINCT {right} FROM {known})),
+    z AS (SELECT (SELECT count(*) FROM li) AS nl, (SELECT count(*) FROM ri) AS nr, (SELECT count(*) FROM {known}) AS nk, greatest(0, least(({wanted})::BIGINT, (SELECT count(*) FROM li) * (SELECT count(*) FROM ri) - (SELECT count(*) FROM {known}))) AS want),
+    c0 AS (SELECT j, j // nr AS l, j % nr AS r, nl, nr FROM z, range((SELECT (CASE WHEN want > 0 THEN want + nk ELSE 0 END)::BIGINT FROM z)) t(j)),
+    c1 AS (SELECT j, (l + {step(1, 'r')}) % nl AS l, r, nl, nr FROM c0), c2 AS (SELECT j, l, (r + {step(2, 'l')}) % nr AS r, nl, nr FROM c1),
+    c3 AS (SELECT j, (l + {step(3, 'r')}) % nl AS l, r, nl, nr FROM c2), c4 AS (SELECT j, l, (r + {step(4, 'l')}) % nr AS r FROM c3),
+    neg AS (SELECT {left}, {right} FROM c4 JOIN li ON c4.l = li.i JOIN ri ON c4.r = ri.i WHERE ({left}, {right}) NOT IN (SELECT ({left}, {right}) FROM {known}) ORDER BY j LIMIT (SELECT want::BIGINT FROM z))"""
 
 
-@query("n1_random_negatives", f"WITH {FREE.format(each=6, m=3)} SELECT pid, rid FROM neg")
+FREE = f"{LINKS}, {cells_sql(42, 'links', 'pid', 'rid', 'SELECT 3 * count(*) FROM links')}"
+
+
+@query("n1_random_negatives", f"WITH {FREE} SELECT pid, rid FROM neg")
 def n1(spark, sf):
     return N.random_negatives(links(spark, sf), "pid", "rid", 3, 42)
 
 
 @query(
     "n1_random_negatives_staged",
-    f"""WITH {FREE.format(each=6, m=3)}, a AS (SELECT pid, rid, 1 AS y FROM links UNION ALL SELECT pid, rid, 0 FROM neg)
+    f"""WITH {FREE}, a AS (SELECT pid, rid, 1 AS y FROM links UNION ALL SELECT pid, rid, 0 FROM neg)
     SELECT ({number(2, 'rid')} % 3)::INTEGER AS fold, c_mktsegment, count(*) AS n, round(avg(y), 6) AS positive FROM a JOIN customer ON pid = c_custkey JOIN part ON rid = p_partkey GROUP BY ALL""",
 )
 def n1_staged(spark, sf):
@@ -208,9 +216,9 @@ def n2(spark, sf):
 
 @query(
     "n3_upsampled_negatives",
-    f"""WITH b AS (SELECT DISTINCT s_suppkey % 20 AS l, s_nationkey AS r FROM supplier), z AS (SELECT l, r, CASE WHEN (l + r) % 4 = 0 THEN 0 ELSE 1 END AS y FROM b), n AS (SELECT greatest(0, 2 * sum(y) - sum(1 - y)) AS k FROM z),
-    f AS (SELECT a.l, c.r FROM (SELECT DISTINCT l FROM z) a, (SELECT DISTINCT r FROM z) c EXCEPT SELECT l, r FROM z), o AS (SELECT l, r, row_number() OVER (ORDER BY {hashed(6, 'l', 'r')}, l, r) AS o FROM f)
-    SELECT l, r, y FROM z UNION ALL SELECT l, r, 0 FROM o, n WHERE o.o <= n.k""",
+    f"""WITH b AS (SELECT DISTINCT s_suppkey % 20 AS l, s_nationkey AS r FROM supplier), k AS (SELECT l, r, CASE WHEN (l + r) % 4 = 0 THEN 0 ELSE 1 END AS y FROM b), known AS (SELECT l AS a, r AS b FROM k),
+    {cells_sql(6, 'known', 'a', 'b', 'SELECT 2 * sum(y) - sum(1 - y) FROM k')}
+    SELECT l, r, y FROM k UNION ALL SELECT a, b, 0 FROM neg""",
 )
 def n3(spark, sf):
     b = table(spark, sf, "supplier").select((F.col("s_suppkey") % 20).alias("l"), F.col("s_nationkey").alias("r")).distinct()
@@ -223,10 +231,12 @@ def n4(spark, sf):
     return N.batch_negatives(l, "b", "l", "r").select("b", "l", "r")
 
 
-@query("n5_negative_validity", f"WITH {FREE.format(each=6, m=3)} SELECT pid, rid FROM neg JOIN links USING (pid, rid)")
+@query("n5_negative_validity", f"WITH {FREE}, mixed AS (SELECT pid, rid FROM neg UNION ALL SELECT pid, rid FROM links WHERE pid = (SELECT min(pid) FROM links)) SELECT pid, rid FROM mixed JOIN links USING (pid, rid)")
 def n5(spark, sf):
+    """The check on sampled negatives among which the links of the first entity were put: it finds those and no more."""
     link = links(spark, sf)
-    return N.violations(link, N.random_negatives(link, "pid", "rid", 3, 42), "pid", "rid").select("pid", "rid")
+    planted = link.join(link.agg(F.min("pid").alias("pid")), "pid", "left_semi").select("pid", "rid")
+    return N.violations(link, N.random_negatives(link, "pid", "rid", 3, 42).unionByName(planted), "pid", "rid").select("pid", "rid")
 
 
 @query("x1_reverse_sides", f"WITH {RXN} SELECT p_partkey, concat(string_split(s, '>>')[2], '>>', string_split(s, '>>')[1]) AS r FROM rxn")
@@ -255,10 +265,11 @@ def x5(spark, sf):
     return table(spark, sf, "part").select("p_partkey", X.strip_map_numbers(mapped).alias("r"))
 
 
-@query("x6_balanced_fragments", "SELECT p_partkey, [concat(p_type, '.', p_brand), p_name] AS r FROM part")
+@query("x6_balanced_fragments", "SELECT p_partkey, [concat(p_type, '.', p_brand), concat('(', p_size, ')C'), p_name] AS r FROM part")
 def x6(spark, sf):
-    s = F.concat(F.lit("("), F.col("p_type"), F.lit("."), F.col("p_brand"), F.lit(")."), F.col("p_name"))
-    return table(spark, sf, "part").select("p_partkey", X.balanced_fragments(s).alias("r"))
+    """Grouping goes from the rejoined fragment only; map numbers go from all."""
+    s = F.concat(F.lit("("), F.col("p_type"), F.lit("."), F.col("p_brand"), F.lit(").("), F.col("p_size"), F.lit(")C."), F.col("p_name"), F.lit(">>[O:1]"))
+    return table(spark, sf, "part").select("p_partkey", X.side_patterns(s, 0).alias("r"))
 
 
 @query("x7_centre_codec", "SELECT p_partkey, concat(p_size, ',', p_partkey % 9, ';3>>', p_size) AS r, p_size + p_partkey % 9 + 3 + p_size AS total FROM part")
@@ -268,19 +279,16 @@ def x7(spark, sf):
     return c.select("p_partkey", X.encode_centre(F.col("c")).alias("r"), F.aggregate(F.flatten(F.flatten("c")), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-SMILES = "concat('C', CASE WHEN p_size % 2 = 0 THEN '(=O)' ELSE '#N' END, '[O-]', CASE WHEN p_partkey % 3 = 0 THEN '.Cl' ELSE 'Br' END, '>>c1ccc', p_size % 9, 'n1')"
-
+_TOKENS = "CASE WHEN p_size % 2 = 0 THEN '( = O )' ELSE '# N' END, '[O-]', CASE WHEN p_partkey % 3 = 0 THEN '. Cl' ELSE 'Br' END, CASE WHEN p_size % 5 = 0 THEN '%(123) |' ELSE 'F / C = C \\ F' END"
 
-def smiles():
-    return F.concat(F.lit("C"), F.when(F.col("p_size") % 2 == 0, "(=O)").otherwise("#N"), F.lit("[O-]"), F.when(F.col("p_partkey") % 3 == 0, ".Cl").otherwise("Br"), F.lit(">>c1ccc"), F.col("p_size") % 9, F.lit("n1"))
 
-
-_PATTERN = X.SMILES_TOKENS.replace("\\\\\\\\", "\\\\\\\\")
-
-
-@query("x8_smiles_tokens", f"SELECT p_partkey, array_to_string(regexp_extract_all({SMILES}, '{_PATTERN}', 1), ' ') AS tokens FROM part")
+@query("x8_smiles_tokens", f"SELECT p_partkey, concat_ws(' ', 'C', {_TOKENS}, '>>', 'c 1 c c c', p_size % 9, '%12 n 1 > @') AS tokens FROM part")
 def x8(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.array_join(X.smiles_tokens(smiles()), " ").alias("tokens"))
+    """Texts put together from known tokens: what the pattern finds must be these again."""
+    size = F.col("p_size")
+    known = [F.lit("C"), F.when(size % 2 == 0, "(=O)").otherwise("#N"), F.lit("[O-]"), F.when(F.col("p_partkey") % 3 == 0, ".Cl").otherwise("Br")]
+    known += [F.when(size % 5 == 0, "%(123)|").otherwise("F/C=C\\F"), F.lit(">>c1ccc"), size % 9, F.lit("%12n1>@")]
+    return table(spark, sf, "part").select("p_partkey", F.array_join(X.smiles_tokens(F.concat(*known)), " ").alias("tokens"))
 
 
 @query("x9_encode_pad", "SELECT p_partkey, list_concat(t[1:4], CASE WHEN len(t) >= 4 THEN [] ELSE [0 FOR k IN range(4 - len(t))] END) AS ids, list_concat([1 FOR k IN range(least(len(t), 4))], [0 FOR k IN range(4 - least(len(t), 4))]) AS mask FROM (SELECT p_partkey, [length(w)::INTEGER FOR w IN string_split(concat(p_name, ' ', CASE WHEN p_size > 25 THEN 'a bc def' ELSE '' END), ' ') IF w <> ''] AS t FROM part)")
@@ -378,24 +386,41 @@ def v9(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", r6(V.two_tower_score([[1, 2, 0], [0, 0, 1]], [0.5, -0.25], [[1, 0, 0], [0, 1, 1]], [0.0, 0.0], x, x)).alias("p"))
 
 
-@query("v11_best_direction", f"WITH {PAIRS} SELECT i, j, round(greatest(sim, -sim), 6) AS sim FROM pairs JOIN embeddings a ON i = a.vec_id JOIN embeddings b ON j = b.vec_id WHERE a.label = b.label")
+_SWAPPED = COSINE.replace("b.embedding", "list_concat(b.embedding[33:64], b.embedding[1:32])")
+
+
+@query("v11_best_direction", f"SELECT a.vec_id AS i, b.vec_id AS j, round(greatest({COSINE}, {_SWAPPED}), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label")
 def v11(spark, sf):
-    """Pairs behind a gate (one label): the better of the forward and the reversed similarity."""
+    """Pairs behind a gate (one label): the better of the forward similarity and that to the other's halves swapped."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("string").alias("f"))
     gate = P.rule_gated_pairs(e, "vec_id", "f", "f").select("i", "j")
-    return vector_pairs(spark, sf).join(gate, ["i", "j"]).select("i", "j", r6(F.greatest("sim", -F.col("sim"))).alias("sim"))
+    return vector_pairs(spark, sf, "cosine_either_way").join(gate, ["i", "j"]).select("i", "j", r6("sim").alias("sim"))
+
+
+_SEQUENCES = "upper(regexp_replace(p_name, '[^acdefghiklmnpqrstvwy]', '', 'g'))"
+_MATRIX = "VALUES " + ", ".join(f"('{a}', '{b}', {int(K.blosum62()[ord(a), ord(b)])})" for a in K.BLOSUM62_LETTERS for b in K.BLOSUM62_LETTERS)
+
 
+def _sequences(spark, sf):
+    return table(spark, sf, "part").select(F.upper(F.regexp_replace("p_name", "[^acdefghiklmnpqrstvwy]", "")).alias("s"))
 
-@query("k1_sequence_identity")
+
+@query(
+    "k1_sequence_identity",
+    f"""WITH m(x, y, v) AS ({_MATRIX}), s AS (SELECT DISTINCT {_SEQUENCES} AS s FROM part), p AS (SELECT a.s AS a, b.s AS b, CASE WHEN length(a.s) <= length(b.s) THEN a.s ELSE b.s END AS short, CASE WHEN length(a.s) <= length(b.s) THEN b.s ELSE a.s END AS long FROM s a JOIN s b ON a.s < b.s),
+    c AS (SELECT a, b, short, long, k, i, short[i:i] AS x, long[(CASE WHEN i <= k THEN i ELSE i + length(long) - length(short) END):(CASE WHEN i <= k THEN i ELSE i + length(long) - length(short) END)] AS y
+        FROM (SELECT *, unnest(range(length(short) + 1)) AS k FROM p), range(1, 60) t(i) WHERE i <= length(short)),
+    g AS (SELECT a, b, k, sum(v) AS score, sum(CASE WHEN c.x = c.y THEN 1 ELSE 0 END) / min(length(short)) AS identity FROM c JOIN m ON m.x = c.x AND m.y = c.y GROUP BY a, b, k)
+    SELECT a, b, round(arg_max(identity, (score, -k)), 6) AS identity FROM g GROUP BY a, b""",
+)
 def k1(spark, sf):
-    names = table(spark, sf, "part").select("p_name").distinct()
-    return names.select(F.col("p_name").alias("a")).crossJoin(names.select(F.col("p_name").alias("b"))).filter("a < b").withColumn("identity", r6(K.pair_kernel("identity")(F.col("a"), F.col("b"))))
+    return P.string_pairs(_sequences(spark, sf), "s", K.sequence_identity, "identity").withColumn("identity", r6("identity"))
 
 
 @query("k2_blosum_score")
 def k2(spark, sf):
-    names = table(spark, sf, "part").select(F.upper(F.regexp_replace("p_name", "[^acdefghiklmnpqrstvwy]", "")).alias("s")).distinct()
-    return names.select(F.col("s").alias("a")).crossJoin(names.select(F.col("s").alias("b"))).filter("a < b").withColumn("score", K.pair_kernel("blosum62")(F.col("a"), F.col("b")))
+    """Affine gaps need a table of three states a pair: no SQL, tested against a plain one."""
+    return P.string_pairs(_sequences(spark, sf), "s", K.blosum_score, "score")
 
 
 BONDS = "b AS (SELECT l_orderkey AS g, l_linenumber AS u, l_linenumber + 1 AS v, 1 AS bond FROM lineitem), a AS (SELECT l_orderkey AS g, l_linenumber AS u, l_linenumber + 1 AS v, CASE WHEN l_quantity > 25 THEN 2 ELSE 1 END AS bond FROM lineitem WHERE l_returnflag <> 'R')"
@@ -436,6 +461,34 @@ def k12(spark, sf):
     return G.within_hops(before, before.select("g", F.lit(1).alias("node")).distinct(), "g", 2)
 
 
+@query(
+    "p17_radial_mask",
+    """WITH n AS (SELECT DISTINCT l_orderkey AS g, l_linenumber AS u FROM lineitem), c AS (SELECT l_orderkey AS g, l_linenumber AS u FROM lineitem WHERE l_returnflag = 'R'),
+    f AS (SELECT DISTINCT n.g, n.u FROM n JOIN c ON n.g = c.g AND abs(n.u - c.u) <= 1), one AS (SELECT g FROM f GROUP BY g HAVING max(u) - min(u) + 1 = count(*))
+    SELECT g, u AS node FROM f JOIN one USING (g)""",
+)
+def p17(spark, sf):
+    """Orders as chains of their lines, cut to what is next to a returned line; orders that fall apart are dropped."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("u"), "l_returnflag")
+    edges = lines.join(lines.select("g", (F.col("u") - 1).alias("u"), F.col("u").alias("v")), ["g", "u"]).select("g", "u", "v").distinct()
+    return G.radial_mask(edges, lines.filter("l_returnflag = 'R'").select("g", F.col("u").alias("node")), "g", 1)
+
+
+@query("m8_vector_lookup", "SELECT p_partkey, embedding[1]::DOUBLE AS first FROM part LEFT JOIN embeddings ON vec_id = p_partkey")
+def m8(spark, sf):
+    """Vectors by index; an index without a vector has none."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("first"))
+    return table(spark, sf, "part").select("p_partkey").join(vectors, F.col("p_partkey") == F.col("vec_id"), "left").select("p_partkey", "first")
+
+
+@query("v10_schedules", """SELECT k AS step, round(1e-4 + (1e-2 - 1e-4) * (1 + cos(pi() * least(k, 50) / 50)) / 2, 9) AS cosine, round(1e-3 * least(1.0::DOUBLE, k / 10), 9) AS warmup,
+    round(power(64, -0.5) * least(power(greatest(k, 1), -0.5), greatest(k, 1) * power(20, -1.5)), 9) AS inverse_root FROM range(60) t(k)""")
+def v10(spark, sf):
+    k = F.col("id")
+    r9 = lambda c: F.round(c, 9)
+    return spark.range(60).select(k.alias("step"), r9(V.cosine_schedule(k, 50, 1e-2, 1e-4)).alias("cosine"), r9(V.warmup_schedule(k, 10, 1e-3)).alias("warmup"), r9(V.inverse_root_schedule(k, 20, 64)).alias("inverse_root"))
+
+
 @query("k14_multi_hot", "SELECT o_orderkey, [CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END, CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END] AS hot FROM orders")
 def k14(spark, sf):
     hot = G.multi_hot({"status": (F.col("o_orderstatus"), ["F"]), "priority": (F.col("o_orderpriority"), ["1-URGENT", "2-HIGH"])})

@@ -116,22 +116,11 @@ def j14(spark, sf):
 
 @query(
     "j15_combined_similarity",
-    f"""WITH {PAIRS}, q AS (SELECT i AS l1, j AS r1, j AS l2, i AS r2 FROM pairs WHERE i % 10 = 0 AND j % 10 = 5)
-    SELECT l1, r1, l2, r2, round(sim, 6) AS sim FROM q JOIN pairs ON least(l1, l2) = i AND greatest(l1, l2) = j""",
-)
-def j15(spark, sf):
-    pairs = vector_pairs(spark, sf)
-    q = pairs.filter("i % 10 = 0 AND j % 10 = 5").select(F.col("i").alias("l1"), F.col("j").alias("r1"), F.col("j").alias("l2"), F.col("i").alias("r2"))
-    return P.combined_similarity(q, pairs, pairs).withColumn("sim", r6("sim"))
-
-
-@query(
-    "j15_combined_similarity_all",
-    f"""WITH {PAIRS}, bits AS (SELECT vec_id, [CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR x IN embedding] AS v FROM embeddings),
-    t AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) AS d, list_sum(a.v) + list_sum(b.v) AS n FROM bits a JOIN bits b ON a.vec_id < b.vec_id)
+    f"""WITH {PAIRS.replace("pairs AS (", "pairs AS MATERIALIZED (")}, bits AS MATERIALIZED (SELECT vec_id, [CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR x IN embedding] AS v FROM embeddings),
+    t AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) AS d, list_sum(a.v) + list_sum(b.v) AS n FROM bits a JOIN bits b ON a.vec_id < b.vec_id)
     SELECT i AS l1, i AS r1, j AS l2, j AS r2, round(greatest(sim, CASE WHEN n = d THEN 0.0::DOUBLE ELSE d / (n - d) END), 6) AS sim FROM pairs JOIN t USING (i, j)""",
 )
-def j15_all(spark, sf):
+def j15(spark, sf):
     """All pairs of links: the left entities by cosine, the right ones by Tanimoto of their signs."""
     bits = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(0.0)).alias("v"))
     pairs = vector_pairs(spark, sf)
@@ -144,18 +133,6 @@ def j16(spark, sf):
     return P.sibling_pairs(table(spark, sf, "supplier"), "s_nationkey", "s_suppkey")
 
 
-@query(
-    "j17_containment",
-    """WITH a AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS t FROM orders WHERE o_custkey % 10 = 0 GROUP BY o_custkey),
-    b AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS t FROM orders WHERE o_custkey % 10 = 1 GROUP BY o_custkey)
-    SELECT a.k AS l, b.k AS r, CASE WHEN list_has_all(b.t, a.t) AND list_has_all(a.t, b.t) THEN 'equal' WHEN list_has_all(b.t, a.t) THEN 'subset' ELSE 'superset' END AS relation
-    FROM a, b WHERE list_has_all(b.t, a.t) OR list_has_all(a.t, b.t)""",
-)
-def j17(spark, sf):
-    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("t"))
-    return P.containment(o.filter("o_custkey % 10 = 0"), o.filter("o_custkey % 10 = 1"), "o_custkey", "t")
-
-
 SETS = "s AS (SELECT o_custkey AS k, list_sort(list(DISTINCT o_orderpriority)) AS t FROM orders GROUP BY o_custkey), c AS (SELECT t, min(k) AS c FROM s GROUP BY t)"
 
 
@@ -166,11 +143,11 @@ def _token_sets(spark, sf):
 
 
 @query(
-    "j17_containment_sets",
+    "j17_containment",
     f"""WITH {SETS} SELECT a.c AS l, b.c AS r, CASE WHEN a.c = b.c THEN 'equal' WHEN list_has_all(b.t, a.t) THEN 'subset' ELSE 'superset' END AS relation
     FROM c a, c b WHERE list_has_all(b.t, a.t) OR list_has_all(a.t, b.t)""",
 )
-def j17_sets(spark, sf):
+def j17(spark, sf):
     """Relations of all distinct token sets; with `j17_containment_members` those of all pairs of customers."""
     sets = _token_sets(spark, sf)[1]
     return P.containment(sets, sets, "c", "t")

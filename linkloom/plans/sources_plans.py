@@ -27,6 +27,14 @@ def s1(spark, sf):
     return S.read_delimited(spark, path, T.StructType.fromDDL("s_suppkey long, s_name string, s_nationkey int"))
 
 
+@query("s11_delimited_write", "SELECT concat_ws(',', s_suppkey, s_name, s_nationkey) AS value FROM supplier")
+def s11(spark, sf):
+    """The lines of a comma-separated table as written, without its headers."""
+    path = _place(spark, "s11")
+    S.write_delimited(table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey"), path, ",")
+    return S.read_lines(spark, path).filter(F.col("value") != "s_suppkey,s_name,s_nationkey")
+
+
 @query("s2_parquet_scan_pruned", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity < 3 AND l_returnflag = 'R'")
 def s2(spark, sf):
     return table(spark, sf, "lineitem").filter((F.col("l_quantity") < 3) & (F.col("l_returnflag") == "R")).select("l_orderkey", "l_quantity")

@@ -35,6 +35,11 @@ def validated(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema])
 
 
+def flat_name(*levels: str) -> str:
+    """One column name of the levels of a nested one; empty levels are left out."""
+    return "_".join(str(x) for x in levels if str(x))
+
+
 def flatten_config(tree: dict, separator: str = "/", prefix: str = "") -> dict:
     """Nested settings as 'a/b' keys."""
     out: dict = {}

@@ -6,10 +6,6 @@ from compare import assert_same, connect
 from linkloom.catalogue import ORACLE_SQL, QUERIES
 
 
-#: Their SQL states the draw of a sparse grid, which the smallest tables are not.
-SPARSE = {"n1_random_negatives", "n1_random_negatives_staged"}
-
-
 @pytest.fixture(scope="module")
 def connections():
     return {s: connect(s) for s in ("/root/testdata/sf0.001", "/root/testdata/sf0.01")}
@@ -17,8 +13,7 @@ def connections():
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_matches_sql(spark, sf, connections, name):
-    at = "/root/testdata/sf0.01" if name in SPARSE else sf
-    assert_same(QUERIES[name](spark, at).toPandas(), connections[at].sql(ORACLE_SQL[name]).df())
+    assert_same(QUERIES[name](spark, sf).toPandas(), connections[sf].sql(ORACLE_SQL[name]).df())
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
