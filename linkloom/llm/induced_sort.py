@@ -8,13 +8,16 @@ Entries carry a suffix and its common prefix with the entry before it. The commo
 induced neighbour pair is one more than the least value scanned between the two, so all values
 follow by induction. Values are capped at `cap`: order beyond `cap` bytes is not needed.
 
-Steps are NumPy operations on runs of queue entries; a Python-level heap that spills sorted runs
-serves the recursion's wide alphabets when a reduced string is larger than the memory budget.
+The recursion sorts strings of names in the same way. Their alphabets are wide: a queue then serves
+a range of names, and a run of its entries is popped together as far as no push of one of them goes
+between the others. Steps are NumPy operations on runs of queue entries.
+
+Queues, the L suffixes and the orders of the recursion lie in scratch files beyond the budget. The
+text of a shard, its types, and the positions and names of one level's stars stay in memory.
 """
 
 from __future__ import annotations
 
-import heapq
 import os
 import shutil
 import tempfile
@@ -23,14 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 
 
+#: Strings of so many names are sorted by prefix doubling.
+SMALL = 64
+
+
 class SpillingFifos:
-    """256 FIFOs of (suffix, common prefix) whose total in memory stays within ``budget`` bytes."""
+    """FIFOs of (suffix, common prefix or symbol) whose total in memory stays within ``budget`` bytes."""
 
-    def __init__(self, budget: int, folder: str):
+    def __init__(self, budget: int, folder: str, n: int = 256):
         self.budget, self.folder, self.used, self.spilled = budget, folder, 0, 0
-        self.blocks: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(256)]
-        self.files: list[list[str]] = [[] for _ in range(256)]
-        self.size = [0] * 256
+        self.blocks: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
+        self.files: list[list[str]] = [[] for _ in range(n)]
+        self.size = [0] * n
 
     def push(self, bucket: int, suffixes: np.ndarray, prefixes: np.ndarray) -> None:
         self.blocks[bucket].append((suffixes, prefixes))
@@ -38,7 +45,7 @@ class SpillingFifos:
         self.size[bucket] += n
         self.used += n
         while self.used > self.budget:
-            self._spill(max(range(256), key=self.size.__getitem__))
+            self._spill(max(range(len(self.size)), key=self.size.__getitem__))
 
     def _spill(self, bucket: int) -> None:
         path = os.path.join(self.folder, f"{self.spilled}.npz")
@@ -128,7 +135,7 @@ class Scan:
 def s_types(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one; the last one is not."""
     n = len(text)
-    step = np.sign(np.diff(text.astype(np.int16)))
+    step = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
     place = np.append(np.where(step != 0, np.arange(n - 1), n), n - 1)
     nearest = np.minimum.accumulate(place[::-1])[::-1]
     return np.append(step, -1)[np.minimum(nearest, n - 1)] > 0
@@ -240,86 +247,150 @@ def sort_names_in_memory(names: np.ndarray, depth: int) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-class SpillingHeap:
-    """Priority queue of integer tuples; beyond ``limit`` entries it leaves sorted runs in files."""
-
-    def __init__(self, limit: int, folder: str, tag: str):
-        self.limit, self.folder, self.tag, self.runs = limit, folder, tag, 0
-        self.heap: list[tuple] = []
-        self.heads: list[tuple] = []
-
-    def _read(self, path: str) -> Iterator[tuple]:
-        for row in np.load(path, mmap_mode="r"):
-            yield tuple(int(x) for x in row)
-        os.remove(path)
-
-    def push(self, item: tuple) -> None:
-        heapq.heappush(self.heap, item)
-        if len(self.heap) > self.limit:
-            path = os.path.join(self.folder, f"{self.tag}-{self.runs}.npy")
-            np.save(path, np.array(sorted(self.heap), np.int64))
-            self.heap = []
-            rows = self._read(path)
-            heapq.heappush(self.heads, (next(rows), self.runs, rows))
-            self.runs += 1
-
-    def peek(self) -> tuple | None:
-        if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
-            return self.heads[0][0]
-        return self.heap[0] if self.heap else None
-
-    def pop(self) -> tuple:
-        if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
-            item, run, rows = heapq.heappop(self.heads)
-            if (following := next(rows, None)) is not None:
-                heapq.heappush(self.heads, (following, run, rows))
-            return item
-        return heapq.heappop(self.heap)
-
-
-def sort_names(names: np.ndarray, limit: int, folder: str, depth: int, level: int = 1) -> np.ndarray:
-    """Suffix order of a string of names: in memory up to ``limit`` names, else by induction again."""
+class SymbolQueue:
+    """Priority queue of (symbol, suffix) that pops in order of symbols, and of pushes within one.
+
+    Symbols are cut into ranges of like weight, a FIFO each, so what waits can lie in files; only the
+    range that is being popped is sorted in memory. ``fixed`` entries, sorted by symbol, come after
+    all pushed ones of their symbol. An entry's push never goes before the entry itself.
+    """
+
+    def __init__(self, symbols: np.ndarray, wanted: np.ndarray, fixed: np.ndarray, budget: int, folder: str):
+        self.symbols, self.wanted, self.fixed = symbols, wanted, fixed
+        # as many ranges as keep both their number and the pushes within one small
+        n = max(1, int(len(symbols) ** 0.5))
+        self.edges = np.unique(np.partition(symbols, np.arange(n) * (len(symbols) - 1) // n)[np.arange(n) * (len(symbols) - 1) // n])
+        self.edges[0] = symbols.min()
+        self.fifos = SpillingFifos(budget, folder, len(self.edges))
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_waiting, self.deal_from = 0, min(64 * len(self.edges), max(1, budget // 64))
+        self.fixed_at = np.searchsorted(symbols[fixed], np.append(self.edges, np.iinfo(np.int64).max))
+
+    def push(self, suffixes: np.ndarray, symbols: np.ndarray) -> None:
+        """Pushes wait together and are dealt to the FIFOs when there are many."""
+        if len(suffixes):
+            self.waiting.append((suffixes, symbols))
+            self.n_waiting += len(suffixes)
+        if self.n_waiting > self.deal_from:
+            suffixes, symbols = self._all_waiting()
+            bucket = np.searchsorted(self.edges, symbols, side="right") - 1
+            order = np.argsort(bucket, kind="stable")
+            heads = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            suffixes, symbols = suffixes[order], symbols[order]
+            for k, a, e in zip(bucket[order[heads]].tolist(), heads.tolist(), [*heads[1:].tolist(), len(order)]):
+                self.fifos.push(k, suffixes[a:e], symbols[a:e])
+
+    def _all_waiting(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        out = tuple(np.concatenate([none, *x]) for x in zip(*self.waiting)) if self.waiting else (none, none)
+        self.waiting, self.n_waiting = [], 0
+        return out
+
+    def _due(self, k: int, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """What was pushed to range ``k``, in order: its FIFO, then what still waits."""
+        found = list(self.fifos.pop(k))
+        suffixes, symbols = self._all_waiting()
+        now = symbols < top
+        if not now.all():
+            self.waiting, self.n_waiting = [(suffixes[~now], symbols[~now])], int((~now).sum())
+        found.append((suffixes[now], symbols[now]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def drain(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(suffixes, whether fixed) in order; predecessors that are wanted are pushed on the way."""
+        never = np.iinfo(np.int64).max
+        for k in range(len(self.edges)):
+            top = self.edges[k + 1] if k + 1 < len(self.edges) else never
+            due, symbol = self._due(k, top)
+            own = self.fixed[self.fixed_at[k] : self.fixed_at[k + 1]]
+            suffix, key = np.concatenate([due, own]), np.concatenate([2 * symbol, 2 * self.symbols[own] + 1])
+            order = np.argsort(key, kind="stable")
+            suffix, key = suffix[order], key[order]
+            while len(suffix):
+                before = suffix - 1
+                goes = (before >= 0) & self.wanted[np.maximum(before, 0)]
+                pushed = np.where(goes, 2 * self.symbols[np.maximum(before, 0)], never)
+                least = np.minimum.accumulate(pushed)
+                # up to the first entry that a push of an earlier one goes before
+                late = np.flatnonzero(key[1:] > least[:-1])
+                m = int(late[0]) + 1 if len(late) else len(suffix)
+                yield suffix[:m], (key[:m] & 1).astype(bool)
+                new, symbol = before[:m][goes[:m]], pushed[:m][goes[:m]] >> 1
+                here = symbol < top
+                self.push(new[~here], symbol[~here])
+                suffix, key = np.concatenate([suffix[m:], new[here]]), np.concatenate([key[m:], 2 * symbol[here]])
+                if here.any():
+                    order = np.argsort(key, kind="stable")
+                    suffix, key = suffix[order], key[order]
+
+
+class _Sequence:
+    """Numbers written one after another to a scratch file, read back as a mapped array."""
+
+    def __init__(self, folder: str):
+        self.file, self.n = tempfile.NamedTemporaryFile(dir=folder, delete=False), 0
+
+    def add(self, x: np.ndarray) -> None:
+        np.ascontiguousarray(x, np.int64).tofile(self.file)
+        self.n += len(x)
+
+    def read(self) -> np.ndarray:
+        self.file.close()
+        return np.memmap(self.file.name, np.int64, "r", shape=(self.n,)) if self.n else np.zeros(0, np.int64)
+
+
+def star_names(symbols: np.ndarray, stars: np.ndarray) -> np.ndarray:
+    """Order-preserving names of the substrings of a wide alphabet from each star to the next, both included.
+
+    Of two of which one is a prefix of the other the longer is smaller; the last one, behind which
+    the string ends, is smaller than those it is a prefix of.
+    """
+    ends = np.append(stars[1:], len(symbols) - 1)
+    longer = symbols.max() + 1
+    rank = _ranks([symbols[stars]])
+    at = 1
+    while True:
+        tied = np.flatnonzero((np.bincount(rank)[rank] > 1) & (stars + at <= ends + 1))
+        if not len(tied):
+            return rank
+        place = stars[tied] + at
+        column = np.where(place <= ends[tied], symbols[np.minimum(place, len(symbols) - 1)], longer)
+        column = np.where((place > ends[tied]) & (tied == len(stars) - 1), -1, column)
+        wide = np.zeros(len(stars), np.int64)
+        wide[tied] = _ranks([rank[tied], column]) + 1
+        rank = _ranks([rank, wide])
+        at += 1
+
+
+def sort_names(names: np.ndarray, budget: int, folder: str, depth: int) -> np.ndarray:
+    """Suffix order of a string of names by the same induction again, for the first ``depth`` names.
+
+    Recursion ends where all names differ, where one name covers all that counts, or at a string
+    that is `SMALL`. Orders go through scratch files.
+    """
     n = len(names)
-    if n <= max(limit, 4):
+    if depth <= 1 or int(names.max()) + 1 == n:
+        return np.argsort(names, kind="stable")
+    if n <= SMALL:
         return sort_names_in_memory(names, depth)
-    text = names.tolist()
-    small = [False] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = text[i] < text[i + 1] or text[i] == text[i + 1] and small[i + 1]
-    stars = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    ordered: list[int] = []
-    if stars:
-        ends = [*stars[1:], n - 1]
-        # of a substring and its prefix the longer is smaller: names are compared with infinity behind
-        keys = [(*text[a : b + 1], n + 1) for a, b in zip(stars, ends)]
-        keys[-1] = (*text[stars[-1] :], -1)
-        rank = {k: r for r, k in enumerate(sorted(set(keys)))}
-        ordered = [stars[k] for k in sort_names(np.array([rank[k] for k in keys]), limit, folder, depth, level + 1).tolist()]
-    up = SpillingHeap(limit, folder, f"{level}-up")
-    clock = 0
-    up.push((text[n - 1], 0, -1, n - 1))
-    for k, i in enumerate(ordered):
-        up.push((text[i], 1, k, i))
-    larges: list[int] = []
-    while up.peek() is not None:
-        _, star, _, i = up.pop()
-        if not star:
-            larges.append(i)
-        if i and not small[i - 1]:
-            up.push((text[i - 1], 0, clock, i - 1))
-            clock += 1
-    down = SpillingHeap(limit, folder, f"{level}-down")
-    for k, i in enumerate(reversed(larges)):
-        down.push((-text[i], 1, k, i))
-    result: list[int] = []
-    clock = 0
-    while down.peek() is not None:
-        _, _, _, i = down.pop()
-        result.append(i)
-        if i and small[i - 1]:
-            down.push((-text[i - 1], 0, clock, i - 1))
-            clock += 1
-    return np.array(result[::-1], np.int64)
+    names = names.astype(np.int64)
+    small = s_types(names)
+    stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    if len(stars):
+        # a substring has at least two names that the next one does not
+        stars = stars[sort_names(star_names(names, stars), budget, folder, -(-depth // 2) + 1)]
+    up = SymbolQueue(names, ~small, stars, budget, folder)
+    up.push(np.array([n - 1]), names[-1:])
+    larges = _Sequence(folder)
+    for suffixes, star in up.drain():
+        larges.add(suffixes[~star])
+    top = int(names.max())
+    mirrored = top - names
+    down = SymbolQueue(mirrored, small, np.asarray(larges.read())[::-1], budget, folder)
+    out = _Sequence(folder)
+    for suffixes, _ in down.drain():
+        out.add(suffixes)
+    return np.asarray(out.read())[::-1]
 
 
 def sorted_suffixes(text: np.ndarray, cap: int, budget: int = 256 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -341,7 +412,7 @@ def sorted_suffixes(text: np.ndarray, cap: int, budget: int = 256 << 20) -> Iter
             lengths = np.append(stars[1:], n - 1) - stars + 1
             names = names_of(padded, stars, lengths)
             if names.max() + 1 < len(names):
-                stars = stars[sort_names(names, max(budget // 64, 4), folder, cap)]
+                stars = stars[sort_names(names, budget, folder, -(-cap // 2) + 1)]
             else:
                 stars = stars[np.argsort(names, kind="stable")]
             star_prefix = np.zeros(len(stars), np.uint8)

@@ -53,7 +53,7 @@ MAX_RUN = 64
 HOT_TEXTS = 1000
 NO_ID = np.iinfo(np.int64).max
 #: Text bytes of a chunk, of one range of the key exchange, of one shard, and of a bucket of chunks.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 16 << 20
 RANGE_BYTES = 48 << 20
 SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
