@@ -2,7 +2,8 @@
 
 A byte-pair encoder never merges across pre-tokens, so a text's ids are the ids of its
 pre-tokens in order. The library encodes each distinct pre-token; texts that need the full
-normaliser (characters outside the plain Latin range, special strings) go to it whole.
+normaliser (characters outside the plain Latin range, special strings) go to it whole. What is
+kept is bounded by entries and by bytes.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def reach(text: str) -> int:
 class CachedEncoder:
     """Ids as little-endian unsigned 16-bit bytes (vocabularies here have under 65,536 ids)."""
 
-    def __init__(self, name: str, lower: bool, max_entries: int = 300_000):
+    def __init__(self, name: str, lower: bool, max_entries: int = 300_000, max_bytes: int = 96 << 20):
         self.library = library_tokenizer(name)
         assert self.library.get_vocab_size() <= 1 << 16
         self.lower = lower
@@ -81,7 +82,7 @@ class CachedEncoder:
         self.edges[[i for p, i in pieces.items() if (p.endswith(ends) if lower else p.startswith("\u0120"))]] = True
         self.words: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
-        self.max_entries = max_entries
+        self.max_entries, self.max_bytes, self.held = max_entries, max_bytes, 0
 
     def _library_ids(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -113,9 +114,10 @@ class CachedEncoder:
         return found
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of words that the cache lacks. It has two generations; when it is full the older goes."""
-        if len(self.words) > self.max_entries:
-            self.earlier, self.words = self.words, {}
+        """Ids of words that the cache lacks. It has two generations; when one is full, by entries or by
+        bytes, the older goes."""
+        if len(self.words) > self.max_entries or self.held > self.max_bytes:
+            self.earlier, self.words, self.held = self.words, {}, 0
         new = []
         for w in dict.fromkeys(words):
             p = self.earlier.get(w)
@@ -123,6 +125,7 @@ class CachedEncoder:
                 new.append(w)
             else:
                 self.words[w] = p
+            self.held += 200 + 4 * len(w)
         if new:
             self.words.update(self._new_ids(new))
 

@@ -8,8 +8,10 @@ otherwise. Composed with an input, the only path of finite weight is the model's
 the shortest path finds it position by position. No piece has the word mark after another
 character, so the input is composed word by word and paths of words are kept.
 
-Defined cases: null and empty texts have no pieces and decode to the empty text; repeated rows are
-encoded each; an empty table gives an empty result; columns beside doc_id and text are ignored.
+Defined cases: null and empty texts have no pieces and decode to the empty text; null ids and repeated
+rows are encoded each; of pairs with one score the leftmost is merged first; texts of any length are
+encoded whole, word by word; an empty table gives an empty result; columns beside doc_id and text are
+ignored.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ class Model:
 class Transducer:
     """``encode`` and ``decode`` of a byte-pair model with byte fallback."""
 
-    def __init__(self, name: str = "piece_bpe_32k.model", max_entries: int = 300_000):
+    def __init__(self, name: str = "piece_bpe_32k.model", max_entries: int = 300_000, max_bytes: int = 96 << 20):
         model = Model(vocabulary(name))
         if model.kind != 2 or model.charsmap or model.squeeze:
             raise ValueError("only byte-pair models with the identity normaliser are compiled")
@@ -106,7 +108,7 @@ class Transducer:
         self.n_arcs = 0
         self.paths: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
-        self.max_entries = max_entries
+        self.max_entries, self.max_bytes, self.held = max_entries, max_bytes, 0
         self.word = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
     def _merge(self, symbols: list[str]) -> list[str]:
@@ -180,6 +182,7 @@ class Transducer:
         else:
             found = array("H", self.shortest_path(word)).tobytes()
         self.paths[word] = found
+        self.held += 200 + 4 * len(word)
         return found
 
     def _known(self, word: str) -> bytes:
@@ -195,8 +198,8 @@ class Transducer:
         words = self.word.findall(self.normalise(text))
         parts = list(map(self.paths.get, words))
         if None in parts:
-            if len(self.paths) > self.max_entries:
-                self.earlier, self.paths = self.paths, {}
+            if len(self.paths) > self.max_entries or self.held > self.max_bytes:
+                self.earlier, self.paths, self.held = self.paths, {}, 0
             parts = [self._known(w) if p is None else p for w, p in zip(words, parts)]
         return b"".join(parts)
 
