@@ -5,8 +5,10 @@ interactions of rank `RANK` in time linear in the features. It is trained on at
 `MAX_LABELLED` labelled rows whose id does not fall in the held-out third. Inputs come from the
 text alone.
 
-Defined cases: null and empty texts are scored on their structure; repeated rows are scored
-each; without labelled rows every score is 0.5; an empty table gives an empty result.
+Defined cases: null and empty texts are scored on their structure; repeated rows are scored each; a
+null id is scored, held out and learns nothing; a score of 0.5 predicts 1; texts of any length are
+counted whole; without labelled rows every score is 0.5; columns beside doc_id and text are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -124,7 +126,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int
 def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> tuple[list, np.ndarray]:
     """Features and labels of at most ``max_rows`` rows outside the held-out third, in hash order."""
     bounded_batches(docs.sparkSession)
-    known = labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
 

@@ -289,6 +289,28 @@ def test_induced_sort(seed):
     assert prefix[:-1] == [common(data[a:], data[b:], cap) for a, b in zip(order, order[1:])]
 
 
+def test_recursion_is_reached_and_spills(monkeypatch):
+    depths, spills = [], []
+    plain, spill = induced_sort.sort_names, induced_sort.SpillingFifos._spill
+    monkeypatch.setattr(induced_sort, "sort_names", lambda names, *a: depths.append(len(names)) or plain(names, *a))
+    monkeypatch.setattr(induced_sort.SpillingFifos, "_spill", lambda self, k: spills.append(k) or spill(self, k))
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(97, 101, 120).astype(np.uint8) for _ in range(300)]
+    text = np.concatenate([np.append(parts[k], np.uint8(255)) for k in rng.integers(0, 300, 3000)])
+    order = np.concatenate([b[0] for b in induced_sort.sorted_suffixes(text, 50, 1 << 16)])[::-1]
+    data = text.tobytes()
+    keys = [data[i : i + 50] for i in order.tolist()]
+    assert keys == sorted(keys) and sorted(order.tolist()) == list(range(len(data)))
+    # the shard is several times its budget; each level has at most half the names of the one before
+    assert len(depths) >= 3 and all(2 * b <= a for a, b in zip(depths, depths[1:])) and len(spills) > 20
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_induced_sort_recurses_on_short_strings(seed, monkeypatch):
+    monkeypatch.setattr(induced_sort, "SMALL", 4)
+    test_induced_sort(seed)
+
+
 # tokens
 
 
@@ -537,6 +559,30 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.96
 
 
+def test_null_ids_repeats_and_long_texts_in_every_operator(spark):
+    rng = random.Random(21)
+    long = prose(rng, 70_000)
+    rows = [(None, "one two three four five"), (None, None), (None, "one two three four five"), (3, prose(rng, 60)), (3, prose(rng, 60)), (4, long), (4, long), (5, "w " * 150_000), (6, ""), (7, "x" * 200_000)]
+    df = frame(spark, rows).repartition(2)
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    library = library_tokenizer("word_bpe_49k.json")
+    out = {
+        "simhash": simhash.near_duplicates(df), "quality": quality_classifier.score_quality(df, none), "exact": exact_dedup.exact_groups(df), "passages": suffix_dedup.repeated_passages(df),
+        "tokens": token_store.read_tokens(token_store.write_tokens(df)), "language": language_id.predict_language(df), "pieces": wfst.encode_pieces(df), "counts": token_counts.token_counts(df), "rules": quality_rules.apply_rules(df, none),
+    }
+    for name, result in out.items():
+        got = result.collect()
+        assert sorted((r.doc_id for r in got), key=str) == sorted((i for i, _ in rows), key=str), name
+        if name in ("pieces", "counts", "rules", "quality", "language"):
+            assert len({tuple(r) for r in got if r.doc_id == 4}) == 1, name
+        if name == "passages":
+            assert sorted(map(tuple, got), key=str) == plain_cuts(rows)
+        if name == "counts":
+            assert {r.doc_id: r.n_tokens for r in got if r.doc_id in (4, 5, 7)} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows if i in (4, 5, 7)}
+    packed = packing.pack_documents(df).collect()
+    assert sum(p.length for p in packed) == sum(p.doc_tokens for p in packed if p.start == 0) and sum(p.start == 0 for p in packed) == len(rows)
+
+
 def test_empty_tables(empty, labels, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for df in (
