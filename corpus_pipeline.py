@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its result is
 written as Parquet and reread as the next one's ``docs``. All but the last return the columns of
-``documents``. Null texts fail the rules and go with the first stage; an empty table passes through.
+``documents``, and further columns of any name with them. Null texts fail the rules and go with the
+first stage; null ids stay unless an equal text with an id does; an empty table passes through.
 """
 
 from __future__ import annotations
