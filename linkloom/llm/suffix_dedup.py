@@ -53,7 +53,7 @@ MAX_RUN = 64
 HOT_TEXTS = 1000
 NO_ID = np.iinfo(np.int64).max
 #: Text bytes of a chunk, of one range of the key exchange, of one shard, and of a bucket of chunks.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 48 << 20
 SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
@@ -211,7 +211,7 @@ class Chunk:
         self.texts, self.owners = list(owners), list(owners.values())
         self.low = np.array([self.ids[o].min() for o in self.owners], np.int64)
 
-    def find_runs(self) -> Chunk:
+    def find_runs(self, keep_bytes: bool = True) -> Chunk:
         """Runs of windows with one key: text, first window, windows, key, and place in the chunk's bytes."""
         found: list[list[np.ndarray]] = [[], [], [], [], []]
         self.blocks: list[tuple[int, np.ndarray]] = []
@@ -219,7 +219,8 @@ class Chunk:
         for texts, offsets, parts in self._blocks():
             sizes, data = np.array([len(x) for x in parts]), np.frombuffer(b"".join(parts), np.uint8)
             piece, start, windows, keys = key_runs(sizes, data)
-            self.blocks.append((at, data))
+            if keep_bytes:
+                self.blocks.append((at, data))
             place = at + (np.cumsum(sizes) - sizes)[piece] + start
             for out, x in zip(found, (np.array(texts)[piece], start + np.array(offsets)[piece], windows, keys, place)):
                 out.append(x)
@@ -597,8 +598,11 @@ def _run(docs: DataFrame, finish, result, budget: int) -> DataFrame:
     def key_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                c = _read_chunk(pa.Table.from_batches([b.slice(k, 1)]), id_at, text_at).find_runs()
-                yield hash_rows(c.chunk, c.text, codes_of(c.keys, ranges))
+                c = _read_chunk(pa.Table.from_batches([b.slice(k, 1)]), id_at, text_at).find_runs(keep_bytes=False)
+                found = hash_rows(c.chunk, c.text, codes_of(c.keys, ranges))
+                del c
+                pa.default_memory_pool().release_unused()
+                yield found
 
     def cogrouped(answers: DataFrame, f, schema) -> DataFrame:
         """``f`` of each chunk and what came back to it; chunks to which nothing did included."""
@@ -615,6 +619,8 @@ def _run(docs: DataFrame, finish, result, budget: int) -> DataFrame:
             contents = [r.contents[i] for i in own.tolist()]
             out.append((shard, c.chunk, zstandard.compress(b"".join(contents), 1), _squeeze(np.array([len(x) for x in contents], "<u2")), r.keys[own].astype("<u4").tobytes(), _squeeze(r.low[own].astype("<i8")), None))
         columns = list(zip(*out)) if out else [[]] * 7
+        del c, r
+        pa.default_memory_pool().release_unused()
         return pa.table([pa.array(x, pa.int64() if i < 2 else pa.binary()) for i, x in enumerate(columns)], names=_SHARD_NAMES)
 
     shipped = written(cogrouped(_answers(flags, 0, "hash_range", "flags"), regions, _SHARD), "passage-regions")
