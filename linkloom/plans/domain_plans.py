@@ -125,7 +125,31 @@ def f6(spark, sf):
     return Sp.level_draw(points, "vec_id", "cluster", points.filter("vec_id % 50 = 0"), 0.2, 2, 4)
 
 
-@query("f6_stratified_split")
+def _stratified_sql(columns: list[str], folds: int, test_percent: float, seed: int) -> str:
+    """CTEs of each draw (d), what a split has drawn so far (t) and what is left for the next one (l)."""
+    inner = (100 - test_percent) / 100 / folds
+    ctes, left, parts = [], "pts", []
+    for split, fraction in [(-1, test_percent / 100), *((f, inner) for f in range(folds - 1))]:
+        s, taken = split + 1, "none"
+        for level, c in enumerate(columns):
+            d, order = f"{s}_{level}", hashed(seed + 31 * (split + 2) + level, c)
+            ctes.append(
+                f"""o{d} AS (SELECT {c}, row_number() OVER (ORDER BY {order}, {c}) AS o FROM (SELECT DISTINCT {c} FROM {left} WHERE {c} NOT IN (SELECT {c} FROM {left} JOIN {taken} USING (vec_id)))),
+    n{d} AS (SELECT greatest(1, floor('{fraction / len(columns)!r}'::DOUBLE * count(DISTINCT {c})))::BIGINT AS n FROM {left}),
+    t{d} AS MATERIALIZED (SELECT vec_id FROM {taken} UNION SELECT vec_id FROM {left} WHERE {c} IN (SELECT {c} FROM o{d}, n{d} WHERE o <= n))"""
+            )
+            taken = f"t{d}"
+        ctes.append(f"l{s} AS MATERIALIZED (SELECT * FROM {left} WHERE vec_id NOT IN (SELECT vec_id FROM {taken}))")
+        left = f"l{s}"
+        parts.append(f"SELECT vec_id, {split} AS split FROM {taken}")
+    return ", ".join(ctes) + " " + " UNION ALL ".join([*parts, f"SELECT vec_id, {folds - 1} FROM {left}"])
+
+
+@query(
+    "f6_stratified_split",
+    f"""WITH RECURSIVE {NORMAL}, {clusters_sql(0.58, 'a58')}, {clusters_sql(0.62, 'a62')}, none AS (SELECT vec_id FROM embeddings LIMIT 0),
+    pts AS MATERIALIZED (SELECT vec_id, a58.cluster AS c58, a62.cluster AS c62 FROM a58 JOIN a62 USING (vec_id)), {_stratified_sql(['c58', 'c62'], 3, 20, 8)}""",
+)
 def f6_all(spark, sf):
     return Sp.stratified_split(_level_points(spark, sf), "vec_id", ["c58", "c62"], 3, 20, 8)
 
