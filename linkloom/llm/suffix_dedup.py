@@ -662,8 +662,9 @@ def cut_repeats(docs: DataFrame, budget: int = 128 << 20) -> DataFrame:
         texts = c.rows.column(text_at).to_pylist()
         for row, (starts, ends) in enumerate(cuts):
             if len(starts):
-                # a character that lost some of its bytes goes whole
-                texts[row] = kept_bytes(texts[row].encode(), starts, ends).decode("utf-8", "ignore")
+                # a character that lost some of its bytes goes whole; what is left of two is no third one
+                data = texts[row].encode()
+                texts[row] = "".join(data[a:b].decode("utf-8", "ignore") for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(data)]))
         columns = [c.rows.column(i) for i in range(len(names))]
         columns[text_at] = pa.array(texts, pa.string())
         if "n_chars" in names and pa.types.is_integer(arrow.field("n_chars").type):
