@@ -69,27 +69,21 @@ def curve_keys(ids: list[bytes], table: np.ndarray) -> np.ndarray:
     return hilbert_keys(np.minimum((1 << BITS) - 1, ((v + 1) / 2 * (1 << BITS)).astype(np.int64)))
 
 
-def pieces(lengths: list[int], capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) for documents laid end to end.
+def sequence_sizes(total: int, capacity: int) -> list[int]:
+    """Full sequences of ``capacity`` ids; the rest is cut into powers of two, largest first."""
+    rest = total % capacity
+    return [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length(), -1, -1) if rest >> b & 1]
 
-    Full sequences take ``capacity`` ids; the rest is cut into powers of two, largest first.
-    """
-    total = sum(lengths)
-    sizes, rest = [capacity] * (total // capacity), total % capacity
-    for b in range(capacity.bit_length(), -1, -1):
-        if rest >> b & 1:
-            sizes.append(1 << b)
-    room = iter(sizes)
-    sequence, free, size = -1, 0, 0
-    for d, n in enumerate(lengths):
-        start = 0
-        while start < n:
-            if not free:
-                sequence, size = sequence + 1, next(room)
-                free = size
-            take = min(free, n - start)
-            yield d, start, take, sequence, size - free
-            start, free = start + take, free - take
+
+def pieces(lengths: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, ...]:
+    """(document, place, length, sequence, offset) arrays for documents laid end to end over sequences of
+    ``sizes``: a piece ends where a document or a sequence does. Ids behind the last sequence have none."""
+    documents, sequences = np.cumsum(lengths), np.cumsum(np.array(sizes, np.int64))
+    top = int(sequences[-1]) if len(sizes) else 0
+    ends = np.union1d(documents[documents <= top], sequences)
+    place = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+    sequence = np.searchsorted(sequences, place, side="right")
+    return np.searchsorted(documents, place, side="right"), place, ends - place, sequence, place - (sequences - sizes)[sequence]
 
 
 def _encoder(vocabulary: str, end_id: int, seed: int):
@@ -109,39 +103,36 @@ def _packer(capacity: int, window_ids: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 40
-        sequence = first
-        held: list[tuple] = []
+        sequence = TaskContext.get().partitionId() << 40
+        held: list[tuple] = []  # doc_id, ids, how many of them are packed
         size = 0
 
-        def rows(last: bool) -> Iterator[dict]:
+        def rows(last: bool) -> pa.RecordBatch:
             nonlocal sequence, held, size
             # a window that is not the last packs whole sequences only; the cut document's rest stays
-            lengths = [len(h[1]) // 2 - h[2] for h in held]
-            usable = size if last else size - size % capacity
-            used, cut = 0, []
-            for n in lengths:
-                cut.append(min(n, usable - used))
-                used += cut[-1]
-            top = sequence
-            for d, start, length, seq, offset in pieces(cut, capacity):
-                doc_id, ids, done = held[d]
-                a = done + start
-                crc = zlib.crc32(np.frombuffer(ids, "<u2", length, 2 * a).astype("<u4").tobytes())
-                top = sequence + seq
-                yield {"doc_id": doc_id, "start": a, "length": length, "ids_crc32": crc, "doc_tokens": len(ids) // 2, "sequence_id": top, "offset": offset}
-            sequence = top + 1
-            held = [(h[0], h[1], h[2] + c) for h, n, c in zip(held, lengths, cut) if c < n]
+            sizes = sequence_sizes(size if last else size - size % capacity, capacity)
+            total, done = np.array([len(h[1]) // 2 for h in held]), np.array([h[2] for h in held])
+            ends = np.cumsum(total - done)
+            d, place, length, seq, offset = pieces(total - done, sizes)
+            start = place - (ends - total)[d]
+            crcs = []
+            for k, a, n in zip(d.tolist(), start.tolist(), length.tolist()):
+                crcs.append(zlib.crc32(np.frombuffer(held[k][1], "<u2", n, 2 * a).astype("<u4")))
+            columns = [pa.array([held[k][0] for k in d.tolist()], pa.int64()), *[pa.array(c, pa.int64()) for c in (start, length, crcs, total[d], sequence + seq, offset)]]
+            used = sum(sizes)
+            sequence += len(sizes)
+            held = [(h[0], h[1], max(h[2], t - (e - used))) for h, t, e in zip(held, total.tolist(), ends.tolist()) if e > used]
             size -= used
+            return pa.RecordBatch.from_arrays(columns, schema=PIECES_ARROW)
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.append((doc_id, ids, 0))
                 size += len(ids) // 2
             if size >= window_ids:
-                yield pa.RecordBatch.from_pylist(list(rows(last=False)), schema=PIECES_ARROW)
+                yield rows(last=False)
         if size:
-            yield pa.RecordBatch.from_pylist(list(rows(last=True)), schema=PIECES_ARROW)
+            yield rows(last=True)
 
     return pack
 
