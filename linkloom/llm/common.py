@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship_package
 from ..storage import shared_dir, written
 
-__all__ = ["WHITE", "bounded_batches", "bucketed", "documents", "held_out", "labels", "parts_for", "shuffle_partitions", "spare_name", "written"]
+__all__ = ["WHITE", "bounded_batches", "bucketed", "documents", "embeddings", "held_out", "items", "labels", "parts_for", "shuffle_partitions", "spare_name", "written"]
 
 #: The ASCII white space that separates words in every operator of this package.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -29,6 +29,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def bounded_batches(spark: SparkSession) -> SparkSession:
     """Arrow batches small enough that a batch of long texts stays far below a worker's memory."""
     ship_package(spark)
