@@ -71,28 +71,38 @@ def mixed_clusters(members: DataFrame, cluster: str, side: str) -> DataFrame:
     return members.groupBy(cluster).agg(F.countDistinct(side).alias("sides"), F.count(F.lit(1)).alias("members")).filter("sides > 1")
 
 
-def first_fit(df: DataFrame, key: str, vec: str, atol: float) -> DataFrame:
+def first_fit(df: DataFrame, key: str, vec: str, atol: float, block_rows: int = 1024) -> DataFrame:
     """(key, anchor): in order of key, the first anchor whose values all lie within ``atol``, else a new one.
 
-    Each step depends on all before it, so the order is one group; rows outnumber anchors, and only
-    anchors are held.
+    On the graph of near pairs the anchors are the first independent set in order of key, found in
+    rounds: a row with no earlier neighbour left is an anchor, its later neighbours are not, and the
+    edges of both go. A round decides all such rows at once; rows in an order that follows a chain
+    of neighbours need as many rounds as the chain is long. Equal vectors are one row throughout.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    def fit(batches):
-        anchors, names = [], []
-        for b in batches:
-            out = []
-            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = np.array(v, np.float64)
-                hit = next((n for n, a in zip(names, anchors) if np.all(np.abs(a - x) <= atol)), None)
-                if hit is None:
-                    anchors.append(x)
-                    names.append(k)
-                    hit = k
-                out.append(hit)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], names=[key, "anchor"])
-
-    ordered = df.select(F.col(key).cast("long").alias(key), F.col(vec).cast("array<double>").alias("v")).repartition(1).sortWithinPartitions(key)
-    return ordered.mapInArrow(fit, f"{key} long, anchor long")
+    from .pairwise import pairwise
+
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(vec).cast("array<double>").alias("v"))
+    first = written(rows.groupBy("v").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n")), "vectors")
+    near = written(pairwise(first, "k", "v", "chebyshev", block_rows, -atol).select("i", "j"), "near")
+    left, covered = near, []
+    while not left.isEmpty():
+        heads = left.select(F.col("i").alias("x")).distinct().join(left.select(F.col("j").alias("x")).distinct(), "x", "left_anti")
+        heads = written(heads, "heads")
+        gone = written(left.join(heads.withColumnRenamed("x", "i"), "i", "left_semi").select(F.col("j").alias("x")).distinct(), "covered")
+        covered.append(gone)
+        decided = heads.unionByName(gone)
+        left = written(left.join(decided.withColumnRenamed("x", "i"), "i", "left_anti").join(decided.withColumnRenamed("x", "j"), "j", "left_anti"), "near")
+    out = first.select("k", "v", "n")
+    if covered:
+        later = covered[0]
+        for c in covered[1:]:
+            later = later.unionByName(c)
+        of = near.join(later.withColumnRenamed("x", "i"), "i", "left_anti").join(later.withColumnRenamed("x", "j"), "j", "left_semi")
+        out = out.join(of.groupBy(F.col("j").alias("k")).agg(F.min("i").alias("near")), "k", "left")
+    else:
+        out = out.withColumn("near", F.lit(None).cast("long"))
+    named = written(out.select("k", "v", "n", F.coalesce("near", "k").alias("anchor")), "anchors")
+    alone = named.select(F.col("k").alias(key), "anchor")
+    repeats = named.filter("n > 1").select("v", F.col("k").alias("rep"), "anchor")
+    copies = rows.join(repeats, "v").filter("k <> rep").select(F.col("k").alias(key), "anchor")
+    return alone.unionByName(copies)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
+from ..storage import written
 
 KERNELS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {}
 
@@ -51,6 +52,15 @@ def _cosine_either_way(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(_cosine(a, b), _cosine(a, np.roll(b, b.shape[1] // 2, axis=1)))
 
 
+@kernel("chebyshev")
+def _chebyshev(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The largest difference of two vectors' components, negated: near pairs have the larger value."""
+    far = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T):
+        np.maximum(far, np.abs(x[:, None] - y[None, :]), out=far)
+    return -far
+
+
 def _cells(df: DataFrame, id_col: str, vec_col: str, blocks: int, rows: bool) -> DataFrame:
     """Rows with the grid cells they take part in, as row block or as column block (row <= column)."""
     b = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
@@ -176,17 +186,40 @@ def known_partner_similarity(links: DataFrame, pairs: DataFrame, candidates: Dat
     return candidates.select(left, right).join(best, [left, right], "left")
 
 
-def rule_gated_pairs(df: DataFrame, key: str, first: str, second: str) -> DataFrame:
+def bucket_cells(df: DataFrame, bucket: str, key: str, block_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` as row blocks and as column blocks of a grid in each bucket, with cell (r, c), r <= c.
+
+    A bucket of up to ``block_rows`` rows is one cell. A hot one has as many blocks as its count asks
+    for, so its pairs spread over cells, and each row goes to as many cells as the bucket has blocks.
+    """
+    counts = df.groupBy(bucket).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__n"))
+    # written, so that the join has no aggregate on its key and a hot bucket can be split
+    hot = written(counts.filter("__n > 1"), "hot-buckets")
+    met = df.join(hot, bucket, "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
+    own = met.withColumn("__b", F.pmod(F.xxhash64(key), F.col("__n")).cast("int"))
+    rows = own.withColumn("c", F.explode(F.sequence(F.col("__b"), F.col("__n") - 1))).withColumn("r", F.col("__b"))
+    columns = own.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("__b")))).withColumn("c", F.col("__b"))
+    # new columns on one side, so that both can be grouped together
+    return rows.drop("__n", "__b"), columns.select(*[F.col(c).alias(c) for c in [*df.columns, "r", "c"]])
+
+
+def _met(cells: tuple[DataFrame, DataFrame], bucket: str, key: str) -> DataFrame:
+    """Each pair of rows of a bucket once, as columns a.* and b.*."""
+    a, b = cells[0].alias("a"), cells[1].alias("b")
+    same = (F.col(f"a.{bucket}") == F.col(f"b.{bucket}")) & (F.col("a.r") == F.col("b.r")) & (F.col("a.c") == F.col("b.c"))
+    return a.join(b, same & ((F.col("a.r") != F.col("a.c")) | (F.col(f"a.{key}") < F.col(f"b.{key}"))))
+
+
+def rule_gated_pairs(df: DataFrame, key: str, first: str, second: str, block_rows: int = 4096) -> DataFrame:
     """(i, j, reversed) with equal rule pairs, or equal after swapping one side.
 
-    A join on the direction-free key: pairs never cross buckets.
+    A join on the direction-free key: pairs never cross buckets, and hot buckets are laid on a grid.
     """
     rule = F.concat_ws("|", first, second)
     back = F.concat_ws("|", second, first)
-    side = df.select(F.col(key).alias("id"), F.least(rule, back).alias("bucket"), (rule <= back).alias("forward"), (F.col(first) == F.col(second)).alias("palindrome"))
-    a, b = side.alias("a"), side.alias("b")
-    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")))
-    return met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), (F.col("a.forward") != F.col("b.forward")).alias("reversed"))
+    side = df.select(F.col(key).alias("id"), F.least(rule, back).alias("bucket"), (rule <= back).alias("forward"))
+    met = _met(bucket_cells(side, "bucket", "id", block_rows), "bucket", "id").filter("a.id <> b.id")
+    return met.select(F.least("a.id", "b.id").alias("i"), F.greatest("a.id", "b.id").alias("j"), (F.col("a.forward") != F.col("b.forward")).alias("reversed"))
 
 
 def combined_similarity(pairs: DataFrame, left_sim: DataFrame, right_sim: DataFrame) -> DataFrame:
@@ -203,10 +236,11 @@ def combined_similarity(pairs: DataFrame, left_sim: DataFrame, right_sim: DataFr
     return out.select("l1", "r1", "l2", "r2", F.greatest(left, right).alias("sim"))
 
 
-def sibling_pairs(links: DataFrame, shared: str, entity: str) -> DataFrame:
-    """Distinct pairs of entities that share a partner."""
-    a, b = links.select(shared, F.col(entity).alias("i")), links.select(shared, F.col(entity).alias("j"))
-    return a.join(b, shared).filter("i < j").select("i", "j").distinct()
+def sibling_pairs(links: DataFrame, shared: str, entity: str, block_rows: int = 4096) -> DataFrame:
+    """Distinct pairs of entities that share a partner; a partner of very many is laid on a grid."""
+    side = links.select(F.col(shared).alias("bucket"), F.col(entity).alias("id")).filter(F.col(shared).isNotNull()).distinct()
+    met = _met(bucket_cells(written(side, "partners"), "bucket", "id", block_rows), "bucket", "id")
+    return met.select(F.least("a.id", "b.id").alias("i"), F.greatest("a.id", "b.id").alias("j")).distinct()
 
 
 def containment(left: DataFrame, right: DataFrame, key: str, tokens: str) -> DataFrame:
