@@ -138,10 +138,31 @@ def k13(spark, sf):
     return R.atom_features(atoms, bonds, atoms.filter("p % 5 = 0").select("g", "node"), "g", F.col("label") == 0)
 
 
-@query("k17_canonical_ids")
+def forms_sql(name: str, nodes: str, bonds: str) -> str:
+    """CTEs up to form_<name> (gid, form): of a small graph the least text over all orders of its nodes, labels first.
+
+    ``nodes`` gives (gid, node, label), ``bonds`` (gid, u, v, bond).
+    """
+    return f"""ix_{name} AS MATERIALIZED (SELECT gid, node, label, row_number() OVER (PARTITION BY gid ORDER BY node) AS k, count(*) OVER (PARTITION BY gid) AS n FROM ({nodes})),
+    bx_{name} AS (SELECT b.gid, x.k AS p, y.k AS q, b.bond FROM ({bonds}) b JOIN ix_{name} x ON x.gid = b.gid AND x.node = b.u JOIN ix_{name} y ON y.gid = b.gid AND y.node = b.v),
+    two_{name} AS MATERIALIZED (SELECT gid, p, q, bond FROM bx_{name} UNION SELECT gid, q, p, bond FROM bx_{name}),
+    lab_{name} AS MATERIALIZED (SELECT gid, n, list(label ORDER BY k) AS lab FROM ix_{name} GROUP BY gid, n),
+    adj_{name} AS MATERIALIZED (SELECT x.gid, list(coalesce(t.bond, 0) ORDER BY x.k, y.k) AS adj FROM ix_{name} x JOIN ix_{name} y ON y.gid = x.gid LEFT JOIN two_{name} t ON t.gid = x.gid AND t.p = x.k AND t.q = y.k GROUP BY x.gid),
+    per_{name} AS (SELECT gid, [k] AS o, n FROM ix_{name} UNION ALL SELECT p.gid, list_append(p.o, i.k), p.n FROM per_{name} p JOIN ix_{name} i ON i.gid = p.gid JOIN lab_{name} l ON l.gid = p.gid WHERE NOT list_contains(p.o, i.k) AND i.label >= l.lab[p.o[-1]]),
+    form_{name} AS MATERIALIZED (SELECT p.gid, min(concat(array_to_string(list_transform(o, lambda x: lab[x]), ','), ';', array_to_string(list_transform(o, lambda x: array_to_string(list_transform(o, lambda y: adj[(x - 1) * p.n + y]), ',')), ';'))) AS form
+        FROM per_{name} p JOIN lab_{name} l ON l.gid = p.gid JOIN adj_{name} a ON a.gid = p.gid WHERE len(o) = p.n GROUP BY p.gid)"""
+
+
+@query(
+    "k17_canonical_classes",
+    f"""WITH RECURSIVE {GRAPHS}, {forms_sql('g', 'SELECT g AS gid, node, label FROM atoms', 'SELECT g AS gid, u, v, bond FROM bonds')},
+    c AS (SELECT form, min(gid) AS representative, count(*) AS members FROM form_g GROUP BY form) SELECT gid AS g, representative, members FROM form_g JOIN c USING (form)""",
+)
 def k17(spark, sf):
-    """Ids of isomorphism classes: a search over orders of nodes, tested against all permutations of small graphs."""
-    return canonical(*graphs(spark, sf), "g")[0]
+    """The isomorphism class of each order's graph, by canonical id: its least member and its size."""
+    ids = written(canonical(*graphs(spark, sf), "g")[0], "canonical-ids")
+    classes = written(ids.groupBy("canonical_id").agg(F.min("g").alias("representative"), F.count(F.lit(1)).alias("members")), "classes")
+    return ids.join(classes, "canonical_id").select("g", "representative", "members")
 
 
 RULES = [
@@ -157,6 +178,18 @@ MATCHES = """m AS MATERIALIZED (SELECT e.g, 'break' AS rule, a.node AS m0, b.nod
     UNION ALL SELECT e.g, 'open', e.u, e.v, f.v FROM ends e JOIN ends f ON f.g = e.g AND f.u = e.v JOIN ends h ON h.g = e.g AND h.u = e.u AND h.v = f.v JOIN body c ON c.g = f.g AND c.node = f.v WHERE e.bond = 1 AND f.bond = 1 AND h.bond = 1 AND c.label = 1)"""
 
 
+#: Products of all matches (q), their bonds (after) and those in which no atom has more than six bonds (ok).
+PRODUCTS = """q AS MATERIALIZED (SELECT row_number() OVER () AS product, * FROM m),
+    lhs AS (SELECT product, unnest(CASE rule WHEN 'break' THEN [[m0, m1]] WHEN 'shift' THEN [[m0, m1], [m1, m2]] WHEN 'open' THEN [[m0, m1], [m1, m2], [m0, m2]] ELSE []::BIGINT[][] END) AS e FROM q),
+    rhs AS (SELECT product, unnest(CASE rule WHEN 'shift' THEN [[m0, m1, 1], [m1, m2, 2]] WHEN 'open' THEN [[m0, m1, 2], [m1, m2, 1]] WHEN 'join' THEN [[m0, m1, 1]] ELSE []::BIGINT[][] END) AS e FROM q),
+    gone AS MATERIALIZED (SELECT product, least(e[1], e[2]) AS u, greatest(e[1], e[2]) AS v FROM lhs),
+    after AS MATERIALIZED (SELECT q.product, b.u, b.v, b.bond FROM q JOIN bonds b ON b.g = q.g LEFT JOIN gone ON gone.product = q.product AND gone.u = b.u AND gone.v = b.v WHERE gone.product IS NULL
+        UNION ALL SELECT product, least(e[1], e[2]), greatest(e[1], e[2]), e[3] FROM rhs),
+    full_ AS MATERIALIZED (SELECT product, node, sum(bond) AS s FROM (SELECT product, unnest([u, v]) AS node, bond FROM after) GROUP BY product, node),
+    bad AS (SELECT DISTINCT q.product FROM q JOIN full_ f ON f.product = q.product AND f.node IN (m0, m1, m2) WHERE f.s > 6),
+    ok AS MATERIALIZED (SELECT * FROM q WHERE product NOT IN (SELECT product FROM bad))"""
+
+
 def _bodies(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Atoms with the connected piece they are in, as molecules of one side, and bonds."""
     atoms, bonds = graphs(spark, sf)
@@ -175,15 +208,7 @@ def k8(spark, sf):
 
 @query(
     "k11_rule_products",
-    f"""WITH RECURSIVE {GRAPHS}, {MOLECULES}, {MATCHES}, q AS MATERIALIZED (SELECT row_number() OVER () AS product, * FROM m),
-    lhs AS (SELECT product, unnest(CASE rule WHEN 'break' THEN [[m0, m1]] WHEN 'shift' THEN [[m0, m1], [m1, m2]] WHEN 'open' THEN [[m0, m1], [m1, m2], [m0, m2]] ELSE []::BIGINT[][] END) AS e FROM q),
-    rhs AS (SELECT product, unnest(CASE rule WHEN 'shift' THEN [[m0, m1, 1], [m1, m2, 2]] WHEN 'open' THEN [[m0, m1, 2], [m1, m2, 1]] WHEN 'join' THEN [[m0, m1, 1]] ELSE []::BIGINT[][] END) AS e FROM q),
-    gone AS MATERIALIZED (SELECT product, least(e[1], e[2]) AS u, greatest(e[1], e[2]) AS v FROM lhs),
-    after AS MATERIALIZED (SELECT q.product, b.u, b.v, b.bond FROM q JOIN bonds b ON b.g = q.g LEFT JOIN gone ON gone.product = q.product AND gone.u = b.u AND gone.v = b.v WHERE gone.product IS NULL
-        UNION ALL SELECT product, least(e[1], e[2]), greatest(e[1], e[2]), e[3] FROM rhs),
-    full_ AS MATERIALIZED (SELECT product, node, sum(bond) AS s FROM (SELECT product, unnest([u, v]) AS node, bond FROM after) GROUP BY product, node),
-    bad AS (SELECT DISTINCT q.product FROM q JOIN full_ f ON f.product = q.product AND f.node IN (m0, m1, m2) WHERE f.s > 6),
-    ok AS MATERIALIZED (SELECT * FROM q WHERE product NOT IN (SELECT product FROM bad)),
+    f"""WITH RECURSIVE {GRAPHS}, {MOLECULES}, {MATCHES}, {PRODUCTS},
     two AS MATERIALIZED (SELECT product, u, v FROM after UNION ALL SELECT product, v, u FROM after),
     pc AS (SELECT ok.product, a.node, a.node AS other FROM ok JOIN atoms a ON a.g = ok.g UNION SELECT pc.product, pc.node, two.v FROM pc JOIN two ON two.product = pc.product AND two.u = pc.other),
     np AS (SELECT product, count(DISTINCT root) AS pieces FROM (SELECT product, node, min(other) AS root FROM pc GROUP BY product, node) GROUP BY product),
@@ -209,45 +234,101 @@ def _product_ids(atoms: DataFrame, bonds: DataFrame, rules: list[T.Rule]) -> Dat
     return written(products.join(ids, "product").join(of, "g").select("g", "rule", "nodes", F.concat_ws(">>", "lhs", "canonical_id").alias("generated")), "product-ids")
 
 
-@query("k8_operator_mapping")
+def _known_products(made: DataFrame) -> DataFrame:
+    """(g, generated): of each graph the product of the first match in hash order."""
+    order = F.md5(F.concat_ws(":", "rule", F.array_join("nodes", ",")))
+    return written(made.groupBy("g").agg(F.min_by("generated", order).alias("generated")), "known-products")
+
+
+def _forms(rules: str) -> str:
+    """CTEs up to made (g, rule, m0, m1, m2, h, form) of all products of some rules."""
+    return f"""{PRODUCTS}, {forms_sql('p', "SELECT ok.product AS gid, a.node, a.label FROM ok JOIN atoms a ON a.g = ok.g", 'SELECT product AS gid, u, v, bond FROM after')},
+    made AS MATERIALIZED (SELECT ok.g, ok.rule, m0, m1, m2, md5(concat(rule, ':', concat_ws(',', m0, m1, m2))) AS h, form FROM ok JOIN form_p ON gid = product WHERE {rules})"""
+
+
+@query(
+    "k8_operator_mapping",
+    f"""WITH RECURSIVE {GRAPHS}, {MOLECULES}, {MATCHES}, {_forms('true')}, known AS (SELECT g, arg_min(form, h) AS form FROM made GROUP BY g),
+    f AS (SELECT made.g, rule, min([m0, m1, coalesce(m2, 0)]) AS k FROM made JOIN known ON known.g = made.g AND known.form = made.form GROUP BY made.g, rule)
+    SELECT g, rule, k[1] AS m0, k[2] AS m1, nullif(k[3], 0) AS m2 FROM f""",
+)
 def k8_mapping(spark, sf):
     """(g, rule, m0, m1, m2): the first place at which a rule turns an order's graph into that of its known product.
 
-    The known product comes from one rule and is compared by canonical id, so that any rule which gives
-    the same graph maps. Canonical ids have no SQL; tested against a plain search.
+    The known product comes from one match and is compared by canonical id, so that any rule which
+    gives the same graph maps.
     """
     made = _product_ids(*_bodies(spark, sf), RULES)
-    known = written(made.groupBy("g").agg(F.min_by("generated", F.struct(F.md5(F.concat_ws(":", "rule", F.array_join("nodes", ",")))) ).alias("generated")), "known")
-    first = made.join(known, ["g", "generated"]).groupBy("g", "rule").agg(F.min("nodes").alias("nodes"))
+    first = made.join(_known_products(made), ["g", "generated"]).groupBy("g", "rule").agg(F.min("nodes").alias("nodes"))
     return _numbered(first)
 
 
-@query("n2_graph_negatives")
+@query(
+    "n2_graph_negatives",
+    f"""WITH RECURSIVE {GRAPHS}, {MOLECULES}, {MATCHES}, {_forms("rule <> 'join'")}, {forms_sql('g', 'SELECT g AS gid, node, label FROM atoms', 'SELECT g AS gid, u, v, bond FROM bonds')},
+    gen AS MATERIALIZED (SELECT g AS r, h, l.form AS l, made.form AS p FROM made JOIN form_g l ON l.gid = g), k AS MATERIALIZED (SELECT r, min(l) AS l, arg_min(p, h) AS p FROM gen GROUP BY r),
+    own AS MATERIALIZED (SELECT o_custkey AS pid, o_orderkey AS r FROM orders JOIN k ON k.r = o_orderkey), oth AS MATERIALIZED (SELECT DISTINCT gen.r, gen.l, gen.p FROM gen JOIN k ON k.r = gen.r WHERE gen.p <> k.p),
+    met AS (SELECT DISTINCT o.r AS a, k.r AS b FROM oth o JOIN k ON o.l = k.l AND o.p = k.p AND o.r <> k.r UNION SELECT DISTINCT o.r, k.r FROM oth o JOIN k ON o.p = k.l AND o.l = k.p AND o.r <> k.r),
+    both_ AS (SELECT a, b FROM met UNION SELECT b, a FROM met), crossed AS (SELECT DISTINCT pid, b AS r FROM own JOIN both_ ON r = a EXCEPT SELECT pid, r FROM own),
+    fresh AS (SELECT o.* FROM oth o LEFT JOIN (SELECT DISTINCT l, p, 1 AS x FROM k) f ON f.l = o.l AND f.p = o.p LEFT JOIN (SELECT DISTINCT l, p, 1 AS x FROM k) b ON b.l = o.p AND b.p = o.l WHERE f.x IS NULL AND b.x IS NULL),
+    n AS (SELECT pid, 1 AS crossed, 0 AS fresh FROM crossed UNION ALL SELECT pid, 0, 1 FROM (SELECT DISTINCT pid, l, p FROM fresh JOIN own USING (r)))
+    SELECT pid, sum(crossed)::BIGINT AS crossed, sum(fresh)::BIGINT AS fresh FROM n GROUP BY pid""",
+)
 def n2_graph(spark, sf):
-    """(pid, rid): alternative products of known reactions by their own rules are new reactions, which the owners don't have.
+    """Negatives of each customer: known reactions of others that a rule makes of its own, and new reactions.
 
-    The generator matches rules on graphs and compares products by canonical id; plain-tested.
+    The generator matches rules on graphs and compares products by canonical id: alternative products
+    of a known reaction's graph that no known reaction has are new.
     """
     atoms, bonds = _bodies(spark, sf)
     made = _product_ids(atoms, bonds, [r for r in RULES if r.name != "join"])
-    known = written(made.groupBy("g").agg(F.min("generated").alias("s")).select(F.col("g").cast("string").alias("rid"), "s"), "known-reactions")
+    known = _known_products(made).select(F.col("g").cast("string").alias("rid"), F.col("generated").alias("s"))
     owners = table(spark, sf, "orders").select(F.col("o_custkey").alias("pid"), F.col("o_orderkey").cast("string").alias("rid")).join(known.select("rid"), "rid", "left_semi").select("pid", "rid")
     generated = made.select(F.col("g").cast("string").alias("rid"), "generated").distinct()
     reverse = lambda s: F.concat_ws(">>", F.split(s, ">>")[1], F.split(s, ">>")[0])
-    return N.generated_negatives(owners, known, "pid", "rid", "s", lambda rows: rows.join(generated, "rid"), reverse)[0]
+    negatives, entities = N.generated_negatives(owners, known, "pid", "rid", "s", lambda rows: rows.join(generated, "rid"), reverse)
+    new = entities.select("rid", F.lit(1).alias("new"))
+    return negatives.join(new, "rid", "left").groupBy("pid").agg(F.count_if(F.col("new").isNull()).alias("crossed"), F.count("new").alias("fresh"))
+
+
+PAIRED = f"""pr AS MATERIALIZED (SELECT DISTINCT least(a.o_orderkey, b.o_orderkey) AS i, greatest(a.o_orderkey, b.o_orderkey) AS j FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey WHERE a.o_orderkey IN (SELECT g FROM atoms) AND b.o_orderkey IN (SELECT g FROM atoms)),
+    lb AS MATERIALIZED (SELECT b.g, b.u, b.v, b.bond, r.g IS NOT NULL AS inring, x.tag AS lu, y.tag AS lv FROM bonds b JOIN tagged x ON x.g = b.g AND x.node = b.u JOIN tagged y ON y.g = b.g AND y.node = b.v LEFT JOIN ring r ON r.g = b.g AND r.u = b.u AND r.v = b.v),
+    tb AS MATERIALIZED (SELECT * FROM lb UNION ALL SELECT g, v, u, bond, inring, lv, lu FROM lb),
+    pe AS MATERIALIZED (SELECT pr.i, pr.j, l.u * 10 + r.u AS p, l.v * 10 + r.v AS q, l.u * 1000 + l.v * 100 + r.u * 10 + r.v AS k FROM pr JOIN lb l ON l.g = pr.i JOIN tb r ON r.g = pr.j AND r.bond = l.bond AND r.inring = l.inring AND r.lu = l.lu AND r.lv = l.lv)"""
+#: A further bond next to what is there, whose ends are there already or take atoms that are free on both sides.
+GROWN = """SELECT s.i, s.j, list_sort(list_append(s.ks, e.k)) AS ks, list_sort(list_distinct(list_concat(s.ps, [e.p, e.q]))) AS ps FROM st s JOIN pe e ON e.i = s.i AND e.j = s.j
+        WHERE NOT list_contains(s.ks, e.k) AND (list_contains(s.ps, e.p) OR list_contains(s.ps, e.q))
+        AND (list_contains(s.ps, e.p) OR len(list_filter(s.ps, lambda z: z // 10 = e.p // 10 OR z % 10 = e.p % 10)) = 0) AND (list_contains(s.ps, e.q) OR len(list_filter(s.ps, lambda z: z // 10 = e.q // 10 OR z % 10 = e.q % 10)) = 0)"""
+SIZED = "sz AS (SELECT g, count(*) AS n FROM atoms GROUP BY g)"
 
 
-@query("k4_common_subgraph")
+@query(
+    "k4_common_subgraph",
+    f"""WITH RECURSIVE {GRAPHS}, {RINGS}, tagged AS MATERIALIZED (SELECT g, node, label AS tag FROM atoms), {PAIRED},
+    st AS (SELECT i, j, [k] AS ks, list_sort([p, q]) AS ps FROM pe UNION {GROWN}), big AS (SELECT i, j, max([len(ks), len(ps)]) AS m FROM st GROUP BY i, j),
+    lone AS (SELECT DISTINCT i, j FROM pr JOIN atoms a ON a.g = i JOIN atoms b ON b.g = j AND b.label = a.label), {SIZED}
+    SELECT pr.i, pr.j, coalesce(m[1], 0) AS bonds, coalesce(m[2], CASE WHEN lone.i IS NULL THEN 0 ELSE 1 END) AS atoms, true AS whole, round(coalesce(m[2], CASE WHEN lone.i IS NULL THEN 0 ELSE 1 END) / greatest(x.n, y.n), 6) AS sim
+    FROM pr LEFT JOIN big ON big.i = pr.i AND big.j = pr.j LEFT JOIN lone ON lone.i = pr.i AND lone.j = pr.j JOIN sz x ON x.g = pr.i JOIN sz y ON y.g = pr.j""",
+)
 def k4(spark, sf):
-    """(i, j, bonds, atoms, whole, sim) for orders of one customer: branch and bound, tested against exhaustive search."""
+    """The largest connected common subgraph of any two orders of one customer, by branch and bound."""
     atoms, bonds = graphs(spark, sf)
     found = S.common_subgraphs(_order_pairs(spark, sf, atoms), atoms, _with_rings(bonds), "g")
     return S.subgraph_similarity(found, atoms, "g").select("i", "j", "bonds", "atoms", "whole", r6("sim").alias("sim"))
 
 
-@query("k4_centre_subgraph")
+@query(
+    "k4_centre_subgraph",
+    f"""WITH RECURSIVE {GRAPHS}, {RINGS}, tagged AS MATERIALIZED (SELECT g, node, label * 2 + CASE WHEN p % 5 = 0 THEN 1 ELSE 0 END AS tag FROM atoms), {PAIRED},
+    ce AS MATERIALIZED (SELECT g, node, tag, row_number() OVER (PARTITION BY g ORDER BY node) AS k, count(*) OVER (PARTITION BY g) AS n FROM tagged WHERE tag % 2 = 1),
+    se AS (SELECT DISTINCT i, j, 0 AS k, x.n, []::BIGINT[] AS ps FROM pr JOIN ce x ON x.g = i JOIN ce y ON y.g = j AND y.n = x.n
+        UNION ALL SELECT s.i, s.j, s.k + 1, s.n, list_append(s.ps, x.node * 10 + y.node) FROM se s JOIN ce x ON x.g = s.i AND x.k = s.k + 1 JOIN ce y ON y.g = s.j AND y.tag = x.tag WHERE len(list_filter(s.ps, lambda z: z % 10 = y.node)) = 0),
+    st AS (SELECT i, j, []::BIGINT[] AS ks, list_sort(ps) AS ps FROM se WHERE k = n UNION {GROWN}), big AS (SELECT i, j, max([len(ks), len(ps)]) AS m FROM st GROUP BY i, j), {SIZED}
+    SELECT pr.i, pr.j, coalesce(m[1], 0) AS bonds, coalesce(m[2], 0) AS atoms, true AS whole, round(coalesce(m[2], 0) / greatest(x.n, y.n), 6) AS sim
+    FROM pr LEFT JOIN big ON big.i = pr.i AND big.j = pr.j JOIN sz x ON x.g = pr.i JOIN sz y ON y.g = pr.j""",
+)
 def k4_centre(spark, sf):
-    """The same with the lines of the first rule's pattern as centres, which must be laid on each other."""
+    """The same with some lines as centres, which must be laid on each other."""
     atoms, bonds = graphs(spark, sf)
     centre = atoms.filter("p % 5 = 0").select("g", "node")
     found = S.common_subgraphs(_order_pairs(spark, sf, atoms), atoms, _with_rings(bonds), "g", centre=centre)
