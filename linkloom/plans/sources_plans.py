@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
 from ..operators import determinism as D
 from ..operators import links as L
+from ..operators.determinism import ranked
+from ..operators.pairwise import pairwise
 from ..operators.splits import first_rows
 from ..registry import query, table
 from ..sources import files as S
-from ..storage import shared_dir
-from .fixtures import HIER, LINKS, SCORED, hashed, hier, scored
+from ..sources import npy
+from ..storage import shared_dir, written
+from .fixtures import HIER, LINKS, PAIRS, SCORED, hashed, hier, scored
 
 
 def _place(spark, name):
@@ -46,6 +50,15 @@ def s3(spark, sf):
     return table(spark, sf, "events").select("event_id", F.explode(props).alias("name", "k")).filter("name = 'k' AND k > 50").select("event_id", "k")
 
 
+@query("s3_json_store", "SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM customer")
+def s3_store(spark, sf):
+    """Customers as JSON objects in files, written by partition and read back in ranges of bytes."""
+    path = _place(spark, "s3")
+    S.write_json_store(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey"), "c_custkey", path)
+    back = S.read_json_store(spark, path, T.StructType.fromDDL("c_name string, c_acctbal double, c_nationkey int"), 1 << 20)
+    return back.select(F.col("key").cast("long").alias("c_custkey"), "c_name", "c_acctbal", "c_nationkey")
+
+
 @query("s4_nested_records", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def s4(spark, sf):
     enzyme = F.to_json(F.struct(F.col("n_name").alias("uniprot_id"), F.array(F.col("n_regionkey").cast("string")).alias("ec")))
@@ -53,6 +66,27 @@ def s4(spark, sf):
     return kept.select("n_nationkey", F.col("e.uniprot_id").alias("n_name"), F.col("e.ec")[0].cast("int").alias("n_regionkey"))
 
 
+@query("s5_vector_files", "SELECT vec_id, len(embedding)::INTEGER AS size, round(embedding[1]::DOUBLE, 6) AS first, round(embedding[64]::DOUBLE, 6) AS last FROM embeddings")
+def s5(spark, sf):
+    """One file a vector, as they come from an encoder, read back by file name."""
+    path = _place(spark, "s5")
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    npy.write_rows(ranked(rows, "row", "vec_id"), "row", "embedding", path, block_rows=1)
+    names = ranked(rows.select("vec_id"), "row", "vec_id")
+    found = S.read_vectors(spark, f"{path}/*.npy").select(X.trailing_number(F.col("id")).alias("row"), "embedding")
+    r6 = lambda k: F.round(F.element_at("embedding", k).cast("double"), 6)
+    return names.join(found, "row").select("vec_id", F.size("embedding").alias("size"), r6(1).alias("first"), r6(64).alias("last"))
+
+
+@query("s13_matrix_files", f"WITH {PAIRS}, r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings) SELECT a.k AS i, b.k AS j, round(sim, 6) AS sim FROM pairs JOIN r a ON a.vec_id = i JOIN r b ON b.vec_id = j WHERE sim <> 0")
+def s13(spark, sf):
+    """A similarity matrix as blocks of rows in files, read back in ranges of bytes."""
+    path = _place(spark, "s13")
+    numbered = written(ranked(table(spark, sf, "embeddings").select("vec_id", "embedding"), "row", "vec_id"), "numbered")
+    S.write_matrix(pairwise(numbered, "row", "embedding", "cosine"), numbered.count(), path, block_rows=256, kind="<f8")
+    return S.read_matrix(spark, path).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
 @query("s6_cached_table", "SELECT vec_id, label FROM embeddings WHERE label < 5")
 def s6(spark, sf):
     path = _place(spark, "s6")
@@ -72,6 +106,18 @@ def s7(spark, sf):
     return S.fill_headers(lines, ["conv_id"], "turn", "text").select("member", F.col("cluster").cast("long").alias("cluster"))
 
 
+@query("s7_cluster_report_file", "SELECT concat('o', o_orderkey) AS member, o_custkey AS cluster FROM orders")
+def s7_file(spark, sf):
+    """Orders as members of their customers' clusters, in report files that are read in splits."""
+    path = _place(spark, "s7")
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey")
+    heads = o.select("o_custkey", F.lit(None).cast("long").alias("o_orderkey")).distinct()
+    text = F.when(F.col("o_orderkey").isNull(), F.concat(F.lit(">Cluster "), "o_custkey")).otherwise(F.concat(F.lit("0\t10aa, >o"), "o_orderkey", F.lit("... at 90%")))
+    placed = o.unionByName(heads).repartitionByRange("o_custkey").sortWithinPartitions("o_custkey", F.asc_nulls_first("o_orderkey"))
+    S.write_lines(placed.select(text.alias("line")), "line", path)
+    return S.read_cluster_report(spark, path).select("member", F.col("cluster").cast("long").alias("cluster"))
+
+
 @query("s8_fasta_rows", "SELECT concat('>', p_partkey, chr(10), p_name) AS record FROM part")
 def s8(spark, sf):
     return table(spark, sf, "part").select(S.fasta(F.col("p_partkey").cast("string"), F.col("p_name")).alias("record"))
