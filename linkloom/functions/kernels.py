@@ -1,4 +1,4 @@
-"""Pair kernels on sequences, as Arrow UDFs, and a registry for kernels that need other libraries."""
+"""Pair kernels on sequences, one pair or a block of pairs at a time, and a registry of them."""
 
 from __future__ import annotations
 
@@ -121,6 +121,86 @@ def sequence_identity(a: str, b: str) -> float | None:
     return float((x[:at] == y[:at]).sum() + (x[at:] == y[at + gap :]).sum()) / len(x)
 
 
+def _classes(sequences: list[str]) -> dict[int, tuple[list[int], np.ndarray]]:
+    """Places and letters of the sequences of each length."""
+    by: dict[int, list[int]] = {}
+    for k, s in enumerate(sequences):
+        by.setdefault(len(s), []).append(k)
+    return {n: (at, np.frombuffer("".join(sequences[k] for k in at).encode("latin-1", "replace"), np.uint8).reshape(len(at), n)) for n, at in by.items()}
+
+
+#: Numbers that one array of a block of pairs may hold.
+_CELLS = 4 << 20
+
+
+def _by_length(xs: list[str], ys: list[str], f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Matrix of f over pairs of length classes (shorter first), a slice of the first class at a time."""
+    out = np.empty((len(xs), len(ys)))
+    for n, (at, x) in _classes(xs).items():
+        for m, (to, y) in _classes(ys).items():
+            step = max(1, _CELLS // max(1, len(to) * (max(n, m) + 1)))
+            for k in range(0, len(at), step):
+                part = x[k : k + step]
+                out[np.ix_(at[k : k + step], to)] = f(part, y) if n <= m else f(y, part).T
+    return out
+
+
+def _unknown(xs: list[str]) -> np.ndarray:
+    return np.array([not known(x) for x in xs], bool)
+
+
+def identity_matrix(xs: list[str], ys: list[str]) -> np.ndarray:
+    """`sequence_identity` of all pairs of two lists as array operations by length; nan for unknown letters."""
+    score = blosum62()
+
+    def block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, gap = x.shape[1], y.shape[1] - x.shape[1]
+        if not n:
+            return np.zeros((len(x), len(y)))
+        a, b, c = x[:, None, :], y[None, :, :n], y[None, :, gap:]
+        start = np.zeros((len(x), len(y), 1))
+        before = np.concatenate([start, np.cumsum(score[a, b], axis=2)], axis=2)
+        after = np.concatenate([start, np.cumsum(score[a, c], axis=2)], axis=2)
+        at = np.argmax(before + (after[:, :, -1:] - after), axis=2)[:, :, None]
+        left = np.concatenate([start, np.cumsum(a == b, axis=2)], axis=2)
+        right = np.concatenate([start, np.cumsum(a == c, axis=2)], axis=2)
+        pick = lambda m: np.take_along_axis(m, at, axis=2)[:, :, 0]
+        return (pick(left) + right[:, :, -1] - pick(right)) / n
+
+    out = _by_length(xs, ys, block)
+    out[_unknown(xs)] = np.nan
+    out[:, _unknown(ys)] = np.nan
+    return out
+
+
+def blosum_matrix(xs: list[str], ys: list[str]) -> np.ndarray:
+    """`blosum_score` of all pairs of two lists: the table of a whole block of pairs, a row at a time."""
+    score = blosum62()
+
+    def block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, m = x.shape[1], y.shape[1]
+        j = np.arange(m + 1)
+        if not n:
+            return np.full((len(x), len(y)), 0.0 if not m else GAP_OPEN + GAP_EXTEND * (m - 1))
+        best = np.broadcast_to(np.where(j == 0, 0.0, GAP_OPEN + GAP_EXTEND * (j - 1)), (len(x), len(y), m + 1))
+        down = np.full((len(x), len(y), m + 1), -np.inf)
+        for i in range(n):
+            down = np.maximum(best + GAP_OPEN, down + GAP_EXTEND)
+            here = down.copy()
+            here[:, :, 1:] = np.maximum(here[:, :, 1:], best[:, :, :-1] + score[x[:, i, None, None], y[None]])
+            here[:, :, 0] = GAP_OPEN + GAP_EXTEND * i
+            lead = np.maximum.accumulate(here - GAP_EXTEND * j, axis=2)
+            right = np.full(here.shape, -np.inf)
+            right[:, :, 1:] = lead[:, :, :-1] + GAP_OPEN + GAP_EXTEND * (j[1:] - 1)
+            best = np.maximum(here, right)
+        return best[:, :, -1]
+
+    out = _by_length(xs, ys, block)
+    out[_unknown(xs)] = UNKNOWN
+    out[:, _unknown(ys)] = UNKNOWN
+    return out
+
+
 def pair_kernel(name: str) -> Callable[[Column, Column], Column]:
     """A registered kernel as a column function, evaluated in Arrow batches."""
     f = KERNELS.get(name)
@@ -134,15 +214,3 @@ def pair_kernel(name: str) -> Callable[[Column, Column], Column]:
         return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)], dtype="float64")
 
     return lambda a, b: run(a, b)
-
-
-def _needs(library: str, name: str) -> None:
-    def missing(*_):
-        raise ImportError(f"kernel {name} needs {library}, which is not installed; register an implementation")
-
-    KERNELS.setdefault(name, missing)
-
-
-for _name in ("morgan", "mcs", "rcmcs", "aligned_tanimoto", "standardise", "operator_map", "apply_rule", "r_hop_fragment", "atom_features"):
-    _needs("rdkit", _name)
-_needs("drfp", "drfp")

@@ -121,7 +121,7 @@ def aligned_tanimoto(parts: DataFrame, reaction: str, gate: str, slot: str, word
         if a.num_rows and b.num_rows:
             (ids, w, n), (others, x, m) = numbers(a), numbers(b)
             own, theirs = (np.bitwise_count(v).sum(axis=2, dtype=np.int64) for v in (w, x))
-            inside = a.column("r")[0].as_py() == a.column("c")[0].as_py()
+            inside = a.column("cell_row")[0].as_py() == a.column("cell_column")[0].as_py()
             for k, one_id in enumerate(ids):
                 both = np.bitwise_count(w[k][None] & x).sum(axis=2, dtype=np.int64)
                 either = own[k][None] + theirs - both
@@ -136,5 +136,5 @@ def aligned_tanimoto(parts: DataFrame, reaction: str, gate: str, slot: str, word
         join = lambda c, kind: pa.array(np.concatenate(out[c]) if out[c] else [], kind)
         return pa.table({"i": join("i", pa.int64()), "j": join("j", pa.int64()), "sim": join("sim", pa.float64())})
 
-    key = ["bucket", "r", "c"]
+    key = ["bucket", "cell_row", "cell_column"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(cell, "i long, j long, sim double")

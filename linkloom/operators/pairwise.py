@@ -98,8 +98,11 @@ def pairwise(df: DataFrame, id_col: str, vec_col: str, kernel: str = "cosine", b
     return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(cell, "i long, j long, sim double")
 
 
-def string_pairs(df: DataFrame, column: str, f: Callable[[str, str], float | None], out: str, block_rows: int = 256) -> DataFrame:
-    """(a, b, out) for all a < b of distinct strings, on the same grid of blocks."""
+def string_pairs(df: DataFrame, column: str, f: Callable[[list[str], list[str]], np.ndarray], out: str, at_least: float | None = None, block_rows: int = 256) -> DataFrame:
+    """(a, b, out) for all a < b of distinct strings, on the same grid of blocks; those of ``at_least``, if given.
+
+    ``f`` gives the matrix of two lists of strings; nan is null, which no threshold keeps.
+    """
     ship_package(df.sparkSession)
     distinct = df.select(F.col(column).alias("s")).filter(F.col(column).isNotNull()).distinct()
     blocks = max(1, -(-distinct.count() // block_rows))
@@ -110,12 +113,19 @@ def string_pairs(df: DataFrame, column: str, f: Callable[[str, str], float | Non
         return placed.select(F.concat("s", F.lit("")).alias("x" if rows else "y"), (F.col("b") * blocks + F.col("o") if rows else F.col("o") * blocks + F.col("b")).alias("cell"))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), out: pa.array([], pa.float64())})
         xs, ys = left.column("x").to_pylist(), right.column("y").to_pylist()
-        inner = left.column("cell")[0].as_py() % (blocks + 1) == 0
-        met = [(min(x, y), max(x, y)) for x in xs for y in ys if not inner or x < y]
-        return pa.table({"a": pa.array([p[0] for p in met], pa.string()), "b": pa.array([p[1] for p in met], pa.string()), out: pa.array([f(*p) for p in met], pa.float64())})
+        if not xs or not ys:
+            return pa.table({"a": pa.array([], pa.string()), "b": pa.array([], pa.string()), out: pa.array([], pa.float64())})
+        values = f(xs, ys)
+        rank = {s: k for k, s in enumerate(sorted({*xs, *ys}))}
+        i, j = np.array([rank[x] for x in xs]), np.array([rank[y] for y in ys])
+        keep = (i[:, None] < j[None, :]) if left.column("cell")[0].as_py() % (blocks + 1) == 0 else np.ones(values.shape, bool)
+        if at_least is not None:
+            keep &= values >= at_least
+        p, q = np.nonzero(keep)
+        names, first = sorted(rank), np.minimum(i[p], j[q])
+        take = lambda at: pa.array(names, pa.string()).take(pa.array(at))
+        return pa.table({"a": take(first), "b": take(np.maximum(i[p], j[q])), out: pa.array(values[p, q], pa.float64(), from_pandas=True)})
 
     return side(True).groupBy("cell").cogroup(side(False).groupBy("cell")).applyInArrow(cell, f"a string, b string, {out} double")
 
@@ -187,7 +197,7 @@ def known_partner_similarity(links: DataFrame, pairs: DataFrame, candidates: Dat
 
 
 def bucket_cells(df: DataFrame, bucket: str, key: str, block_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``df`` as row blocks and as column blocks of a grid in each bucket, with cell (r, c), r <= c.
+    """The rows of ``df`` as row blocks and as column blocks of a grid in each bucket, with its cell (cell_row <= cell_column).
 
     A bucket of up to ``block_rows`` rows is one cell. A hot one has as many blocks as its count asks
     for, so its pairs spread over cells, and each row goes to as many cells as the bucket has blocks.
@@ -197,17 +207,18 @@ def bucket_cells(df: DataFrame, bucket: str, key: str, block_rows: int = 4096) -
     hot = written(counts.filter("__n > 1"), "hot-buckets")
     met = df.join(hot, bucket, "left").withColumn("__n", F.coalesce("__n", F.lit(1)))
     own = met.withColumn("__b", F.pmod(F.xxhash64(key), F.col("__n")).cast("int"))
-    rows = own.withColumn("c", F.explode(F.sequence(F.col("__b"), F.col("__n") - 1))).withColumn("r", F.col("__b"))
-    columns = own.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("__b")))).withColumn("c", F.col("__b"))
+    rows = own.withColumn("cell_column", F.explode(F.sequence(F.col("__b"), F.col("__n") - 1))).withColumn("cell_row", F.col("__b"))
+    columns = own.withColumn("cell_row", F.explode(F.sequence(F.lit(0), F.col("__b")))).withColumn("cell_column", F.col("__b"))
     # new columns on one side, so that both can be grouped together
-    return rows.drop("__n", "__b"), columns.select(*[F.col(c).alias(c) for c in [*df.columns, "r", "c"]])
+    return rows.drop("__n", "__b"), columns.select(*[F.col(c).alias(c) for c in [*df.columns, "cell_row", "cell_column"]])
 
 
-def _met(cells: tuple[DataFrame, DataFrame], bucket: str, key: str) -> DataFrame:
-    """Each pair of rows of a bucket once, as columns a.* and b.*."""
-    a, b = cells[0].alias("a"), cells[1].alias("b")
-    same = (F.col(f"a.{bucket}") == F.col(f"b.{bucket}")) & (F.col("a.r") == F.col("b.r")) & (F.col("a.c") == F.col("b.c"))
-    return a.join(b, same & ((F.col("a.r") != F.col("a.c")) | (F.col(f"a.{key}") < F.col(f"b.{key}"))))
+def bucket_pairs(df: DataFrame, bucket: str, key: str, block_rows: int = 4096) -> DataFrame:
+    """Each pair of rows of a bucket with different keys once, as columns a.* and b.*."""
+    rows, columns = bucket_cells(df, bucket, key, block_rows)
+    a, b = rows.alias("a"), columns.alias("b")
+    same = (F.col(f"a.{bucket}") == F.col(f"b.{bucket}")) & (F.col("a.cell_row") == F.col("b.cell_row")) & (F.col("a.cell_column") == F.col("b.cell_column"))
+    return a.join(b, same & (F.col(f"a.{key}") != F.col(f"b.{key}")) & ((F.col("a.cell_row") != F.col("a.cell_column")) | (F.col(f"a.{key}") < F.col(f"b.{key}"))))
 
 
 def rule_gated_pairs(df: DataFrame, key: str, first: str, second: str, block_rows: int = 4096) -> DataFrame:
@@ -218,7 +229,7 @@ def rule_gated_pairs(df: DataFrame, key: str, first: str, second: str, block_row
     rule = F.concat_ws("|", first, second)
     back = F.concat_ws("|", second, first)
     side = df.select(F.col(key).alias("id"), F.least(rule, back).alias("bucket"), (rule <= back).alias("forward"))
-    met = _met(bucket_cells(side, "bucket", "id", block_rows), "bucket", "id").filter("a.id <> b.id")
+    met = bucket_pairs(side, "bucket", "id", block_rows)
     return met.select(F.least("a.id", "b.id").alias("i"), F.greatest("a.id", "b.id").alias("j"), (F.col("a.forward") != F.col("b.forward")).alias("reversed"))
 
 
@@ -239,7 +250,7 @@ def combined_similarity(pairs: DataFrame, left_sim: DataFrame, right_sim: DataFr
 def sibling_pairs(links: DataFrame, shared: str, entity: str, block_rows: int = 4096) -> DataFrame:
     """Distinct pairs of entities that share a partner; a partner of very many is laid on a grid."""
     side = links.select(F.col(shared).alias("bucket"), F.col(entity).alias("id")).filter(F.col(shared).isNotNull()).distinct()
-    met = _met(bucket_cells(written(side, "partners"), "bucket", "id", block_rows), "bucket", "id")
+    met = bucket_pairs(written(side, "partners"), "bucket", "id", block_rows)
     return met.select(F.least("a.id", "b.id").alias("i"), F.greatest("a.id", "b.id").alias("j")).distinct()
 
 

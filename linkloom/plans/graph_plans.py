@@ -335,6 +335,33 @@ def k4_centre(spark, sf):
     return S.subgraph_similarity(found, atoms, "g").select("i", "j", "bonds", "atoms", "whole", r6("sim").alias("sim"))
 
 
+ALIGNED = """al AS MATERIALIZED (SELECT o_custkey AS r, c_mktsegment AS gate, o_orderkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS slot, count(*) OVER (PARTITION BY o_custkey) AS slots FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (SELECT g FROM atoms)),
+    sl AS MATERIALIZED (SELECT a.r, b.r AS s, least(a.g, b.g) AS i, greatest(a.g, b.g) AS j FROM al a JOIN al b ON a.gate = b.gate AND a.slots = b.slots AND a.slot = b.slot AND a.r < b.r)"""
+
+
+@query(
+    "k4_reaction_similarity",
+    f"""WITH RECURSIVE {GRAPHS}, {RINGS}, tagged AS MATERIALIZED (SELECT g, node, label AS tag FROM atoms), {ALIGNED}, {'pr AS MATERIALIZED (SELECT DISTINCT i, j FROM sl)' + PAIRED[PAIRED.index(','  + chr(10)):]},
+    st AS (SELECT i, j, [k] AS ks, list_sort([p, q]) AS ps FROM pe UNION {GROWN}), big AS (SELECT i, j, max([len(ks), len(ps)]) AS m FROM st GROUP BY i, j),
+    lone AS (SELECT DISTINCT i, j FROM pr JOIN atoms a ON a.g = i JOIN atoms b ON b.g = j AND b.label = a.label), {SIZED},
+    f AS (SELECT pr.i, pr.j, coalesce(m[2], CASE WHEN lone.i IS NULL THEN 0 ELSE 1 END) AS n, greatest(x.n, y.n) AS w FROM pr LEFT JOIN big ON big.i = pr.i AND big.j = pr.j LEFT JOIN lone ON lone.i = pr.i AND lone.j = pr.j JOIN sz x ON x.g = pr.i JOIN sz y ON y.g = pr.j)
+    SELECT r, s, round(sum(n) / sum(w), 6) AS sim, true AS whole FROM sl JOIN f ON f.i = sl.i AND f.j = sl.j GROUP BY r, s""",
+)
+def k4_reactions(spark, sf):
+    """Customers of one segment with as many orders: common subgraphs of the orders aligned by number, weighted by size."""
+    from ..operators.pairwise import bucket_pairs
+
+    atoms, bonds = graphs(spark, sf)
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "c_mktsegment", F.col("o_orderkey").cast("long").alias("g"))
+    mine = Window.partitionBy("o_custkey")
+    parts = orders.join(atoms.select("g").distinct(), "g", "left_semi").withColumn("slot", F.row_number().over(mine.orderBy("g"))).withColumn("slots", F.count(F.lit(1)).over(mine))
+    aligned = written(parts.select(F.col("o_custkey").alias("r"), "g", F.concat_ws("|", "c_mktsegment", "slots", "slot").alias("bucket")), "aligned")
+    met = bucket_pairs(aligned, "bucket", "r")
+    slots = written(met.select(F.least("a.r", "b.r").alias("r"), F.greatest("a.r", "b.r").alias("s"), F.least("a.g", "b.g").alias("i"), F.greatest("a.g", "b.g").alias("j")), "slots")
+    found = S.common_subgraphs(slots, atoms, _with_rings(bonds), "g")
+    return S.aligned_subgraph_similarity(S.subgraph_similarity(found, atoms, "g"), slots).select("r", "s", r6("sim").alias("sim"), "whole")
+
+
 def _with_rings(bonds: DataFrame) -> DataFrame:
     """Bonds with whether they are in a ring: ring bonds match ring bonds only."""
     rings = R.bond_rings(bonds, "g").select("g", "u", "v", F.lit(True).alias("r"))

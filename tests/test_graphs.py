@@ -336,8 +336,8 @@ def test_a_bucket_of_all_rows_spreads_over_cells(spark):
     pairs = pairwise.rule_gated_pairs(df, "k", "f", "g", block_rows=20)
     assert {(r.i, r.j) for r in pairs.collect()} == set(itertools.combinations(range(n), 2)) and pairs.count() == n * (n - 1) // 2
     rows, columns = pairwise.bucket_cells(df, "f", "k", 20)
-    sizes = [r["count"] for r in rows.groupBy("r", "c").count().collect()]
-    assert len(sizes) == 15 * 16 // 2 and max(sizes) < 5 * 20 and columns.filter("r > c").isEmpty()
+    sizes = [r["count"] for r in rows.groupBy("cell_row", "cell_column").count().collect()]
+    assert len(sizes) == 15 * 16 // 2 and max(sizes) < 5 * 20 and columns.filter("cell_row > cell_column").isEmpty()
     siblings = pairwise.sibling_pairs(df.unionByName(df), "f", "k", block_rows=20)
     assert siblings.count() == n * (n - 1) // 2
     sides = spark.createDataFrame([(1, "a", "b"), (2, "b", "a"), (3, "a", "b"), (4, "a", "a"), (5, "a", "a")], "k long, f string, g string")

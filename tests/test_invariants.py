@@ -202,8 +202,30 @@ def test_alignment_kernels():
         a, b = ("".join(rng.choice("ARNDCWYV") for _ in range(rng.randint(1, 12))) for _ in range(2))
         assert kernels.blosum_score(a, b) == plain_affine(a, b, lambda x, y: kernels.blosum62()[ord(x), ord(y)], -11.0, -1.0)
         assert kernels.sequence_identity(a, b) == plain_identity(a, b)
-    with pytest.raises(ImportError):
-        kernels.KERNELS["morgan"]("C", "C")
+
+
+def test_blocks_of_pairs_equal_single_pairs(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(4)
+    words = lambda n: ["".join(rng.choice("ARNDCWYVJ" if rng.random() < 0.1 else "ARNDCWYV") for _ in range(rng.randint(0, 9))) for _ in range(n)]
+    for cells in (40, 4 << 20):
+        monkeypatch.setattr(kernels, "_CELLS", cells)
+        xs, ys = words(30), words(20)
+        for many, one in ((kernels.identity_matrix, kernels.sequence_identity), (kernels.blosum_matrix, kernels.blosum_score)):
+            got = many(xs, ys)
+            expected = np.array([[np.nan if (v := one(x, y)) is None else v for y in ys] for x in xs])
+            assert np.array_equal(got, expected, equal_nan=True)
+
+
+def test_string_pairs_by_threshold(spark):
+    words = ["ACDE", "ACDF", "WWWW", "ACD", "", "JJ"]
+    df = spark.createDataFrame([(w,) for w in words + words], "s string")
+    for rows in (2, 256):
+        pairs = {(r.a, r.b): r.x for r in pairwise.string_pairs(df, "s", kernels.identity_matrix, "x", block_rows=rows).collect()}
+        assert len(pairs) == 15 and all(pairs[a, b] == kernels.sequence_identity(a, b) for a, b in pairs)
+        near = {(r.a, r.b) for r in pairwise.string_pairs(df, "s", kernels.identity_matrix, "x", 0.75, rows).collect()}
+        assert near == {p for p, v in pairs.items() if v is not None and v >= 0.75}
 
 
 def test_fragments_and_tokens_of_reactions(spark):
