@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.config import flatten_rows, unflatten_rows
 from ..operators import pairwise as P
 from ..operators.links import assemble, links
 from ..registry import query, table
@@ -252,3 +253,29 @@ def p13(spark, sf):
 
     chosen = unflatten_config({"filter/label": "y", "filter/value": "1"})["filter"]
     return scored(spark, sf).filter(F.col(chosen["label"]) == chosen["value"]).select("doc_id", "y")
+
+
+def _settings(spark, sf):
+    """Events as nested settings: who, what, and their own properties."""
+    e = table(spark, sf, "events")
+    who = F.struct(F.col("user_id").alias("id"), F.struct(F.col("event_type").alias("kind")).alias("action"))
+    return e.select("event_id", who.alias("user"), F.when(F.col("value") < 50, F.col("value")).alias("value"), F.from_json("props", "map<string,int>").alias("props"))
+
+
+@query(
+    "p13_flat_settings",
+    """WITH e AS (SELECT event_id, user_id, event_type, CASE WHEN value < 50 THEN value END AS value, CAST(props->>'k' AS INTEGER) AS k FROM events)
+    SELECT event_id, 'user/id' AS name, user_id::VARCHAR AS value FROM e UNION ALL SELECT event_id, 'user/action/kind', event_type FROM e
+    UNION ALL SELECT event_id, 'value', coalesce(value::VARCHAR, 'None') FROM e UNION ALL SELECT event_id, 'props/k', k::VARCHAR FROM e""",
+)
+def p13_flat(spark, sf):
+    """Nested settings as rows of flat names."""
+    return flatten_rows(_settings(spark, sf), "event_id")
+
+
+@query("p13_nested_settings", "SELECT event_id, user_id, event_type, CASE WHEN value < 50 THEN value END AS value, CAST(props->>'k' AS INTEGER) AS k FROM events")
+def p13_nested(spark, sf):
+    """The tree built again from rows of flat names."""
+    nested = _settings(spark, sf)
+    back = unflatten_rows(flatten_rows(nested, "event_id"), "event_id", nested.drop("event_id").schema)
+    return back.select("event_id", F.col("user.id").alias("user_id"), F.col("user.action.kind").alias("event_type"), "value", F.col("props")["k"].alias("k"))
