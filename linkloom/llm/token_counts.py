@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 from .subwords import UNSETTLED, WORD_PATTERN, library_tokenizer, vocabulary
 
+#: Characters up to which every prefix of a pre-token has its count kept.
+_LONG = 512
 _SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 
 
@@ -124,6 +127,9 @@ class PrefixCounter:
         closed = {p[: -len(self.suffix)] for p in usable if self.suffix and p.endswith(self.suffix) and p != self.suffix}
         self.open, self.closed = frozenset(p for p in usable if not (self.suffix and p.endswith(self.suffix) and p != self.suffix)), frozenset(closed)
         self.longest = max(map(len, self.open | self.closed))
+        #: Ends of pieces: what goes on to a longer piece when read backwards.
+        self.open_tails, self.closed_tails = (frozenset(p[k:] for p in ps for k in range(len(p))) for ps in (self.open, self.closed))
+        self.rewritten: dict[str, str] = {}
         self.letters = byte_alphabet()
         self.library = library_tokenizer(name)
         #: Two generations of tables; when the bytes of one reach the bound the older goes.
@@ -134,11 +140,15 @@ class PrefixCounter:
     def _ends(self, word: str) -> tuple[list[str], list[int]]:
         """Last open piece and open count of every prefix of a byte-level word."""
         last, count = [""], [0]
-        allows, pieces, longest = self.pairs.allows, self.open, self.longest
+        allows, pieces, tails = self.pairs.allows, self.open, self.open_tails
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = word[start:end]
-                if piece in pieces and (not start or last[start] and allows(last[start], piece)):
+            start, found = end - 1, []
+            while start >= 0 and (piece := word[start:end]) in tails:
+                if piece in pieces:
+                    found.append((start, piece))
+                start -= 1
+            for start, piece in reversed(found):
+                if not start or last[start] and allows(last[start], piece):
                     last.append(piece)
                     count.append(count[start] + 1)
                     break
@@ -148,22 +158,50 @@ class PrefixCounter:
 
     def _close(self, word: str, end: int, last: list[str], count: list[int]) -> int:
         """Count of the prefix up to ``end`` as a word of its own."""
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if piece in self.closed and (not start or self.pairs.allows(last[start], piece + self.suffix)):
+        start, found = end - 1, []
+        while start >= 0 and (piece := word[start:end]) in self.closed_tails:
+            if piece in self.closed:
+                found.append((start, piece))
+            start -= 1
+        for start, piece in reversed(found):
+            if not start or self.pairs.allows(last[start], piece + self.suffix):
                 return count[start] + 1
         raise ValueError("a byte has no closing piece")
 
+    def _word(self, token: str) -> tuple[str, list[int]]:
+        """The byte-level form of a pre-token, and where each of its characters ends there."""
+        word, at = [], [0]
+        for c in token:
+            word += [self.letters[b] for b in c.encode()]
+            at.append(len(word))
+        return "".join(word), at
+
+    def total(self, token: str) -> int:
+        """Count of a whole pre-token; of a long one only the last prefix is closed, and nothing is kept."""
+        if len(token) <= _LONG:
+            return self.table(token)[-1]
+        word, _ = self._word(token)
+        return self._close(word, len(word), *self._ends(word))
+
+    def within(self, token: str, budget: int) -> int:
+        """Characters of the longest prefix of a pre-token with at most ``budget`` tokens."""
+        if len(token) <= _LONG:
+            return max(k for k, c in enumerate(self.table(token)) if c <= budget)
+        # a token is at most so many bytes, and a prefix closes behind one of the last so many
+        word, at = self._word(token[: (budget + 1) * self.longest])
+        last, count = self._ends(word)
+        for k in range(len(at) - 1, 0, -1):
+            if min(count[max(0, at[k] - self.longest) : at[k]]) < budget and self._close(word, at[k], last, count) <= budget:
+                return k
+        return 0
+
     def table(self, token: str) -> bytes | tuple[int, ...]:
         """Counts at every prefix, in characters, of a lower-case pre-token; kept for reuse."""
         known = self.tables.get(token)
         if known is None:
             known = self.earlier.get(token)
             if known is None:
-                word, at = "", [0]
-                for c in token:
-                    word += "".join([self.letters[b] for b in c.encode()])
-                    at.append(len(word))
+                word, at = self._word(token)
                 last, count = self._ends(word)
                 counts = tuple([self._close(word, e, last, count) if e else 0 for e in at])
                 known = bytes(counts) if max(counts) < 256 else counts
@@ -195,7 +233,7 @@ class PrefixCounter:
         """Ends of pre-tokens, and the exact token count of the text up to each."""
         ends, counts, n = [0], [0], 0
         for token, _, end in self.pretokens(text or ""):
-            n += 1 if token is None else self.table(token)[-1]
+            n += 1 if token is None else self.total(token)
             ends.append(end)
             counts.append(n)
         return ends, counts
@@ -205,9 +243,9 @@ class PrefixCounter:
         n = 0
         for token, a, b in self.pretokens(text):
             if b <= length:
-                n += 1 if token is None else self.table(token)[-1]
+                n += 1 if token is None else self.total(token)
             else:
-                return n + (self.table(token)[length - a] if token is not None and a < length else 0)
+                return n + (self.total(token[: length - a]) if token is not None and a < length else 0)
         return n
 
     def truncate(self, text: str, budget: int) -> str:
@@ -224,30 +262,79 @@ class PrefixCounter:
             tokens = WORD_PATTERN.findall((_SPECIAL.sub(" ", text) if special else text).lower())
             found = list(map(self.tables.get, tokens))
             if None in found:
-                found = [self.table(t) if n is None else n for t, n in zip(tokens, found)]
+                found = [n or (self.table(t) if len(t) <= _LONG else (self.total(t),)) for t, n in zip(tokens, found)]
             return special + sum([t[-1] for t in found])
-        return sum(1 if t is None else self.table(t)[-1] for t, _, _ in self.pretokens(text))
+        return sum(1 if t is None else self.total(t) for t, _, _ in self.pretokens(text))
 
     def fit(self, text: str | None, budget: int) -> int:
-        """Characters of the longest prefix with at most ``budget`` tokens. It ends in no special string;
-        of a text that the normaliser rewrites it ends where a pre-token begins, by the library's offsets."""
+        """Characters of the longest prefix with at most ``budget`` tokens.
+
+        It ends in no special string, and between no characters that the normaliser composes.
+        """
         text = text or ""
-        if not settled(text):
-            found = self.library.encode(text, add_special_tokens=False)
-            if len(found.ids) <= budget:
-                return len(text)
-            k = budget
-            while k and found.word_ids[k - 1] == found.word_ids[k]:
-                k -= 1
-            return found.offsets[k][0]
-        n = 0
-        for token, start, _ in self.pretokens(text):
-            counts = self.table(token) if token is not None else (0, 1)
-            if n + counts[-1] > budget:
-                return start + (max(k for k, c in enumerate(counts) if n + c <= budget) if token is not None else 0)
-            n += counts[-1]
+        n, place = 0, None if settled(text) else self._places(text)
+        for token, start, end in self.pretokens(text):
+            cost = 1 if token is None else self.total(token)
+            if n + cost > budget:
+                more = self.within(token, budget - n) if token is not None else 0
+                return start + more if place is None else place(start, end, more)
+            n += cost
         return len(text)
 
+    def _places(self, text: str) -> Callable[[int, int, int], int]:
+        """Where in ``text`` the first ``more`` characters of the pre-token at [start, end) end.
+
+        `pretokens` counts characters of each part as the normaliser rewrites it. Runs that compose
+        with nothing outside them are rewritten one by one, and white space once a run.
+        """
+        bounds = [0, *(x for m in _SPECIAL.finditer(text) for x in m.span()), len(text)]
+        parts = list(zip(bounds[::2], bounds[1::2]))
+
+        def place(start: int, end: int, more: int) -> int:
+            a, b = max((p for p in parts if p[0] <= start), default=(0, len(text)))
+            if (start, end) in {m.span() for m in _SPECIAL.finditer(text)}:
+                return start
+            part, want, at, done, white = text[a:b], start - a + more, 0, 0, False
+            if part.isascii() or not UNSETTLED.search(part):
+                return a + want
+            for run in composed_runs(part):
+                new = self.rewritten.get(run)
+                if new is None:
+                    new = self.library.normalizer.normalize_str(run)
+                    if len(self.rewritten) < 1 << 16:
+                        self.rewritten[run] = new
+                size = len(new) - (white and new.startswith(" "))
+                if done + size > want:
+                    break
+                done, at, white = done + size, at + len(run), new.endswith(" ")
+            return a + at
+
+        return place
+
+
+@lru_cache(1)
+def _composing() -> frozenset[str]:
+    """Characters that may be composed with one before them."""
+    second = {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for k in range(0x110000):
+        made = unicodedata.decomposition(chr(k))
+        if made and made[0] != "<":
+            second.update(chr(int(x, 16)) for x in made.split()[1:])
+    return frozenset(second)
+
+
+def composed_runs(text: str) -> Iterator[str]:
+    """``text`` in pieces between which nothing is composed: characters, if it is composed already."""
+    if unicodedata.is_normalized("NFC", text):
+        yield from text
+        return
+    second, start = _composing(), 0
+    for k in range(1, len(text)):
+        if not unicodedata.combining(text[k]) and text[k] not in second:
+            yield text[start:k]
+            start = k
+    yield text[start:]
+
 
 def settled(text: str) -> bool:
     """Whether the splitting pattern alone says what the library's normaliser and splitter do."""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -410,6 +411,34 @@ def test_longest_prefix_within_a_budget(spark):
     assert got[1].over_limit and ids(rows[0][1][: got[1].fit_chars]) == 100 and got[2].fit_chars == 0 and got[None].fit_chars == 5
 
 
+def test_longest_prefix_in_every_script():
+    counter, library = token_counts.PrefixCounter(), library_tokenizer("word_bpe_49k.json")
+    ids = lambda s: len(library.encode(s, add_special_tokens=False).ids)
+    rng = random.Random(3)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    cjk, thai, signs = "".join(map(chr, range(0x4E00, 0x5000))), "กขคงจฉชซญดตถทนบปพมยรลวสหอะาิีึืุูเแโใไ่้", "🙂🚀👍🏽❤️✨"
+    texts = ["İstanbul naïve ΣΑΣ x \u2003 y", "a <|endoftext|> 你好世界 <|startoftext|>é", unicodedata.normalize("NFD", "über éction 각각 naïve") + " ok", "\x1c x \x85 y's ３４５ Ⅷ ㎏"]
+    texts += [some(cjk, 20) + " " + some(thai, 25) + some(signs, 6), some(signs, 12) + "'re " + some(thai, 5)]
+    for text in texts:
+        assert counter.count(text) == ids(text)
+        ends = [0]
+        for part in re.split(r"(<\|(?:start|end)oftext\|>)", text):
+            for run in [part] if part.startswith("<|") else token_counts.composed_runs(part) if part else []:
+                ends.append(ends[-1] + len(run))
+        for budget in range(ids(text) + 2):
+            assert counter.fit(text, budget) == max(k for k in ends if ids(text[:k]) <= budget)
+
+
+def test_long_unspaced_texts_are_counted_and_cut_whole():
+    counter, library = token_counts.PrefixCounter(), library_tokenizer("word_bpe_49k.json")
+    ids = lambda s: len(library.encode(s, add_special_tokens=False).ids)
+    rng = random.Random(4)
+    for text in ("".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(30_000)), "x" * 20_000, "é" * 9_000, "an the" + "ab" * 5_000):
+        cut = counter.fit(text, 2048)
+        assert counter.count(text) == ids(text) and len(counter.tables) < 50
+        assert ids(text[:cut]) <= 2048 and (cut == len(text) or all(ids(text[:k]) > 2048 for k in range(cut + 1, cut + 40)))
+
+
 def test_packing(docs, rows):
     pieces = packing.pack_documents(docs, window_ids=1500).collect()
     library, by_doc, sequences = library_tokenizer("byte_bpe_50k.json"), {}, {}
