@@ -1,10 +1,11 @@
-"""Graph-level vectors from node rows: attention weights, weighted means, the last node."""
+"""Node states by message passing, and graph-level vectors from node rows: attention weights, weighted means, the last node."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import linear
 from ..storage import written
 
 
@@ -36,3 +37,29 @@ def last_node(nodes: DataFrame, graph: str, order: str, vector: str) -> DataFram
     """(graph, pooled): the vector of the last node, which stands for the whole graph."""
     last = nodes.groupBy(graph).agg(F.max(F.struct(order, vector)).alias("m"))
     return last.select(graph, F.col(f"m.{vector}").alias("pooled"))
+
+
+def message_passing(nodes: DataFrame, ends: DataFrame, graph: str, vector: str, layers: list[tuple[list[list[float]], list[list[float]], list[float]]]) -> DataFrame:
+    """(graph, node, layer, state): hidden states of all nodes, layer 0 as given.
+
+    A layer is relu(A h + B sum of the neighbours' h + b) with fixed weights (A, B, b), which a model
+    of known size has. ``ends`` has (graph, u, v) from each end; neighbours are added up by tasks
+    before the exchange, so a node of many is no hot group.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    h = written(nodes.select(graph, "node", F.col(vector).cast("array<double>").alias("h")), "states")
+    out = [h.select(graph, "node", F.lit(0).alias("layer"), F.col("h").alias("state"))]
+    for k, (own, others, bias) in enumerate(layers, 1):
+        theirs = ends.select(graph, "u", "v").join(h.select(graph, F.col("node").alias("v"), "h"), [graph, "v"])
+        sums = theirs.groupBy(graph, F.col("u").alias("node")).agg(Summarizer.sum(array_to_vector("h")).alias("s")).select(graph, "node", vector_to_array("s").alias("s"))
+        none = F.array(*[F.lit(0.0)] * len(others[0]))
+        met = h.join(sums, [graph, "node"], "left").withColumn("s", F.coalesce("s", none))
+        mixed = F.zip_with(linear(own, bias, F.col("h")), linear(others, [0.0] * len(bias), F.col("s")), lambda a, b: F.greatest(a + b, F.lit(0.0)))
+        h = written(met.select(graph, "node", mixed.alias("h")), "states")
+        out.append(h.select(graph, "node", F.lit(k).alias("layer"), F.col("h").alias("state")))
+    all_ = out[0]
+    for more in out[1:]:
+        all_ = all_.unionByName(more)
+    return all_

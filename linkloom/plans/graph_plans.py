@@ -399,3 +399,48 @@ def m5_last(spark, sf):
     nodes = _line_nodes(spark, sf)
     mean, last = A.weighted_mean(nodes, "g", "v"), A.last_node(nodes, "g", "k", "v")
     return mean.select("g", r6(F.col("pooled")[0]).alias("mean")).join(last.select("g", r6(F.col("pooled")[0]).alias("last")), "g")
+
+
+#: Fixed weights of two layers of three values: own state, sum of the neighbours', bias.
+LAYERS = [
+    ([[0.5, 0.25, 0.0], [0.0, 0.5, -0.25], [0.25, 0.0, 0.5]], [[0.25, 0.0, 0.125], [0.125, -0.25, 0.0], [0.0, 0.125, 0.25]], [0.5, 0.25, -0.125]),
+    ([[0.25, -0.5, 0.25], [0.5, 0.25, 0.0], [0.0, 0.25, 0.5]], [[0.125, 0.25, 0.0], [0.0, 0.125, 0.125], [-0.125, 0.0, 0.25]], [0.0, -0.25, 0.5]),
+]
+
+
+def _layer_sql(k: int) -> str:
+    own, others, bias = LAYERS[k - 1]
+    state = lambda i: f"greatest(0.0::DOUBLE, {' + '.join(f'{w!r} * h.{c}' for w, c in zip(own[i], 'xyz'))} + {' + '.join(f'{w!r} * coalesce(s.{c}, 0)' for w, c in zip(others[i], 'xyz'))} + {bias[i]!r})"
+    return f"""s{k} AS (SELECT e.g, e.u AS node, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM ends e JOIN h{k - 1} h ON h.g = e.g AND h.node = e.v GROUP BY e.g, e.u),
+    h{k} AS MATERIALIZED (SELECT h.g, h.node, {', '.join(f'{state(i)} AS {c}' for i, c in enumerate('xyz'))} FROM h{k - 1} h LEFT JOIN s{k} s ON s.g = h.g AND s.node = h.node)"""
+
+
+STATES = f"""{GRAPHS}, h0 AS MATERIALIZED (SELECT g, node, {', '.join(f'CASE WHEN label = {i} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS {c}' for i, c in enumerate('xyz'))} FROM atoms), {_layer_sql(1)}, {_layer_sql(2)},
+    states AS MATERIALIZED ({' UNION ALL '.join(f'SELECT g, node, {k} AS layer, x, y, z FROM h{k}' for k in range(3))})"""
+
+
+def _states(spark, sf) -> DataFrame:
+    atoms, bonds = graphs(spark, sf)
+    hot = F.array(*[F.when(F.col("label") == i, 1.0).otherwise(0.0) for i in range(3)])
+    ends = written(Fp.both_ways(bonds, "g"), "ends")
+    return A.message_passing(atoms.withColumn("h", hot), ends, "g", "h", LAYERS)
+
+
+@query("m4_message_passing", f"WITH {STATES} SELECT g, node, layer, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM states")
+def m4(spark, sf):
+    """Hidden states of atoms from one-hot labels, over two layers of fixed weights."""
+    return _states(spark, sf).select("g", "node", "layer", *[r6(F.col("state")[i]).alias(c) for i, c in enumerate("xyz")])
+
+
+@query(
+    "m5_layer_attention",
+    f"""WITH {STATES}, n AS (SELECT g, max(node) AS node FROM atoms GROUP BY g), v AS (SELECT s.*, exp(0.5::DOUBLE * x - 0.25::DOUBLE * y + z) AS e FROM states s JOIN n ON n.g = s.g AND n.node = s.node), t AS (SELECT g, sum(e) AS t FROM v GROUP BY g)
+    SELECT v.g, round(sum(x * e / t), 6) AS x, round(sum(y * e / t), 6) AS y, round(sum(z * e / t), 6) AS z FROM v JOIN t ON t.g = v.g GROUP BY v.g""",
+)
+def m5_layers(spark, sf):
+    """The last node's states of all layers, weighted by attention over the layers."""
+    states = written(_states(spark, sf), "layer-states")
+    last = states.join(states.groupBy("g").agg(F.max("node").alias("node")), ["g", "node"])
+    h = F.col("state")
+    pooled = A.attention_pooled(last, "g", "state", 0.5 * h[0] - 0.25 * h[1] + h[2])
+    return pooled.select("g", *[r6(F.col("pooled")[i]).alias(c) for i, c in enumerate("xyz")])

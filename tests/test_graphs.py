@@ -342,3 +342,22 @@ def test_a_bucket_of_all_rows_spreads_over_cells(spark):
     assert siblings.count() == n * (n - 1) // 2
     sides = spark.createDataFrame([(1, "a", "b"), (2, "b", "a"), (3, "a", "b"), (4, "a", "a"), (5, "a", "a")], "k long, f string, g string")
     assert {tuple(r) for r in pairwise.rule_gated_pairs(sides, "k", "f", "g", 2).collect()} == {(1, 2, True), (1, 3, False), (2, 3, True), (4, 5, False)}
+
+
+def test_message_passing_equals_matrix_products(spark):
+    rng = random.Random(12)
+    many = {g: random_graph(rng, rng.randint(1, 7), share=0.5) for g in range(8)}
+    atoms, bonds = tables(spark, many)
+    weights = [[[[rng.uniform(-1, 1) for _ in range(a)] for _ in range(b)] for _ in range(2)] + [[rng.uniform(-1, 1) for _ in range(b)]] for a, b in ((3, 4), (4, 2))]
+    nodes = atoms.withColumn("h", F.array(*[(F.col("label") == i).cast("double") for i in range(3)]))
+    got = {(r.g, r.node, r.layer): r.state for r in pooling.message_passing(nodes, fingerprints.both_ways(bonds, "g"), "g", "h", [tuple(w) for w in weights]).collect()}
+    for g, (a, b) in many.items():
+        adjacent = np.zeros((len(a), len(a)))
+        for u, v in b:
+            adjacent[u, v] = adjacent[v, u] = 1
+        h = np.eye(3)[list(a.values())]
+        for k in range(3):
+            assert all(np.allclose(got[g, n, k], h[n]) for n in a)
+            if k < 2:
+                own, others, bias = map(np.array, weights[k])
+                h = np.maximum(0, h @ own.T + adjacent @ h @ others.T + bias)
