@@ -1,12 +1,21 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is compiled from the model file: the normaliser (spaces to the word mark, a mark
-in front), an arc for each piece whose input is the piece and whose output is its id, and byte
-fallback arcs for characters without a piece. States are pieces: an arc between two pieces has
-weight 0 (the tropical one) if the model keeps that pair apart, and no weight (the tropical zero)
-otherwise. Composed with an input, the only path of finite weight is the model's encoding, and
-the shortest path finds it position by position. No piece has the word mark after another
-character, so the input is composed word by word and paths of words are kept.
+Three transducers are compiled from the model file, over the tropical semiring (weights add along a
+path, the least path counts, no arc is the semiring's zero):
+
+* the normaliser: an arc without input that writes the word mark in front, an arc from each space to
+  the mark, and any other character to itself, all of weight 0;
+* the pieces: a trie whose states are prefixes of pieces; where a piece ends, an arc without input
+  writes its id with weight 0 and returns to the root. From the root, byte fallback arcs read any
+  character, write the ids of its bytes and weigh one a byte;
+* the pairs: an acceptor whose states are the last id. Its arc from piece a to piece b weighs 0 if
+  the model leaves that pair apart and is missing otherwise; after a fallback arc any piece may
+  follow. It has as many arcs as pairs of pieces, so arcs are made when a composition asks for them.
+
+An input is composed with the three as the search needs states (place in the text, last id), and the
+shortest path is found in order of distance, of equal ones the furthest place first. A path of weight 0
+is the model's encoding; characters that no piece holds add their bytes. No piece has the word mark
+after another character, so the input is composed word by word and paths of words are kept.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; null ids and repeated
 rows are encoded each; of pairs with one score the leftmost is merged first; texts of any length are
@@ -17,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from array import array
@@ -33,6 +43,10 @@ from .subwords import vocabulary
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
+#: The tropical semiring: the weight of an arc that is free and of one that is missing.
+ONE, ZERO = 0.0, math.inf
+#: State of the pairs before the first piece and after a fallback arc: every piece may follow.
+FREE = -1
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -95,17 +109,15 @@ class Transducer:
         if self.user or len(self.bytes) != 256:
             raise ValueError("the model has user pieces or lacks byte pieces")
         self.text = [None if kind in (_CONTROL, _UNKNOWN) else bytes([int(p[3:5], 16)]) if kind == _BYTE else p.encode() for p, _, kind in model.pieces]
-        self.longest = max(map(len, self.ids))
-        self.letters = frozenset(p for p in self.ids if len(p) == 1)
         #: Neighbouring characters inside some piece; between any others every path has a state.
         self.inside = frozenset(p[i : i + 2] for p in self.ids for i in range(len(p) - 1))
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece spans words")
-        #: Pieces that encode as themselves, and the ends of those: arcs into a place are found backwards.
-        self.usable = {p: i for p, i in self.ids.items() if self._merge([*p]) == [p]}
-        self.tails = frozenset(p[i:] for p in self.usable for i in range(len(p)))
-        self.arcs: dict[str, dict[str, bool]] = {}
-        self.n_arcs = 0
+        #: Normaliser: what is written before the text, and the characters that aren't written as they are.
+        self.opening, self.rewritten = MARK if self.prefix else "", {" ": MARK}
+        self._compile_pieces()
+        #: Arcs of the pairs made so far: the last id and the next one, in 16 bits each, to the weight.
+        self.pairs: dict[int, float] = {}
         self.paths: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
         self.max_entries, self.max_bytes, self.held = max_entries, max_bytes, 0
@@ -125,49 +137,86 @@ class Transducer:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def arc(self, a: str, b: str) -> bool:
-        """Whether the arc from piece ``a`` to piece ``b`` has a finite weight; the answer is kept."""
-        if self.n_arcs > 4 * self.max_entries:
-            self.arcs.clear()
-            self.n_arcs = 0
-        self.n_arcs += 1
-        ok = self.arcs.setdefault(a, {})[b] = self._merge([*a, *b]) == [a, b]
-        return ok
+    def _compile_pieces(self) -> None:
+        """``step[q]`` has the reading arcs of trie state q, ``written[q]`` the id of its writing arc or FREE.
 
-    def shortest_path(self, word: str) -> list[int]:
-        """Output ids on the path of finite weight through ``word``.
-
-        ``last[e]`` is the piece of the arc into position e on the shortest path to it, and
-        ``begin[e]`` its start; no piece means a byte fallback arc, after which any may follow.
+        A piece that doesn't encode as itself is on no path and gets no writing arc.
         """
-        usable, letters, tails, arcs = self.usable, self.letters, self.tails, self.arcs
-        last: list[str | None] = [None]
-        begin = [0]
-        for e in range(1, len(word) + 1):
-            if word[e - 1] not in letters:
-                last.append(None)
-                begin.append(e - 1)
+        self.step: list[dict[str, int]] = [{}]
+        self.written = [FREE]
+        for piece, i in self.ids.items():
+            if self._merge([*piece]) != [piece]:
                 continue
-            for s in range(e - 1, -1, -1):
-                piece = word[s:e]
-                if piece not in tails:
-                    raise ValueError("a character has no path")
-                if piece in usable:
-                    before = last[s]
-                    if before is None:
-                        break
-                    row = arcs.get(before)
-                    ok = row.get(piece) if row is not None else None
-                    if ok or ok is None and self.arc(before, piece):
-                        break
-            last.append(piece)
-            begin.append(s)
+            q = 0
+            for c in piece:
+                q = self.step[q].setdefault(c, len(self.step))
+                if q == len(self.step):
+                    self.step.append({})
+                    self.written.append(FREE)
+            self.written[q] = i
+        self.name = {i: p for p, i in self.ids.items()}
+
+    def pair_weight(self, a: int, b: int) -> float:
+        """Weight of the pairs' arc from state ``a`` that reads piece ``b``."""
+        if a == FREE:
+            return ONE
+        weight = self.pairs.get(a << 16 | b)
+        if weight is None:
+            if len(self.pairs) > 2 * self.max_entries:
+                self.pairs.clear()
+            x, y = self.name[a], self.name[b]
+            weight = self.pairs[a << 16 | b] = ONE if self._merge([*x, *y]) == [x, y] else ZERO
+        return weight
+
+    def piece_arcs(self, word: str, s: int) -> list[tuple[int, int]]:
+        """(end, id) of the pieces that the trie reads in ``word`` from place ``s``, short ones first; each weighs 0."""
+        step, written, q, found = self.step, self.written, 0, []
+        for e in range(s, len(word)):
+            q = step[q].get(word[e])
+            if q is None:
+                break
+            if written[q] != FREE:
+                found.append((e + 1, written[q]))
+        return found
+
+    def fallback_arc(self, c: str) -> tuple[list[int], float]:
+        """Ids and weight of the fallback arc that reads ``c``."""
+        ids = [self.bytes[b] for b in c.encode()]
+        return ids, float(len(ids))
+
+    def shortest_path(self, word: str) -> tuple[list[int], float]:
+        """Output ids and weight of the least path through the composition with ``word``.
+
+        ``waiting`` has arcs by the distance at which they arrive: a state and the one before it. Arcs of
+        weight 0 stay at the distance in hand, fallback arcs wait for theirs, so states are settled in
+        order of distance and the first one at the end of the word has the least.
+        """
+        came: dict[tuple[int, int], tuple[int, int] | None] = {}
+        waiting: dict[float, list] = {ONE: [((0, FREE), None)]}
+        while waiting:
+            distance = min(waiting)
+            arcs, settled = waiting.pop(distance), []
+            while arcs:
+                state, before = arcs.pop()
+                place, last = state
+                if state in came or before is not None and last != FREE and self.pair_weight(before[1], last) == ZERO:
+                    continue
+                came[state] = before
+                if place == len(word):
+                    return self._outputs(word, came, state), distance
+                settled.append(state)
+                for arc in self.piece_arcs(word, place):
+                    arcs.append((arc, state))
+            for state in settled:
+                weight = self.fallback_arc(word[state[0]])[1]
+                waiting.setdefault(distance + weight, []).append(((state[0] + 1, FREE), state))
+        raise ValueError("a word has no path")
+
+    def _outputs(self, word: str, came: dict, state: tuple[int, int]) -> list[int]:
         out: list[int] = []
-        e = len(word)
-        while e:
-            s, piece = begin[e], last[e]
-            out += [usable[piece]] if piece is not None else [self.bytes[b] for b in reversed(word[s:e].encode())]
-            e = s
+        while (before := came[state]) is not None:
+            out += [state[1]] if state[1] != FREE else self.fallback_arc(word[before[0]])[0][::-1]
+            state = before
         return out[::-1]
 
     def path(self, word: str) -> bytes:
@@ -180,7 +229,7 @@ class Transducer:
         if len(cuts) > 2:
             found = b"".join([self._known(word[a:b]) for a, b in zip(cuts, cuts[1:])])
         else:
-            found = array("H", self.shortest_path(word)).tobytes()
+            found = array("H", self.shortest_path(word)[0]).tobytes()
         self.paths[word] = found
         self.held += 200 + 4 * len(word)
         return found
@@ -189,7 +238,9 @@ class Transducer:
         return self.paths.get(word) or self.path(word)
 
     def normalise(self, text: str) -> str:
-        return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
+        for read, write in self.rewritten.items():
+            text = text.replace(read, write)
+        return self.opening + text if text else text
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 16-bit bytes."""

@@ -489,6 +489,48 @@ def test_transducer_on_random_strings():
         assert np.frombuffer(fst.encode(text), "<u2").tolist() == ids and fst.decode(fst.encode(text)) == sp.decode(ids)
 
 
+def test_shortest_path_is_the_least_of_all_paths():
+    """Every path of short words through arcs of pieces, fallbacks and pairs, listed without pruning."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    fst, rng = wfst.Transducer(), random.Random(8)
+    piece_of = {p: i for p, i in fst.ids.items() if fst._merge([*p]) == [p]}
+
+    def paths(word, last=wfst.FREE):
+        if not word:
+            yield [], 0.0
+            return
+        for e in range(1, len(word) + 1):
+            i = piece_of.get(word[:e])
+            if i is not None and fst.pair_weight(last, i) < wfst.ZERO:
+                for ids, weight in paths(word[e:], i):
+                    yield [i, *ids], weight
+        ids, own = fst.fallback_arc(word[0])
+        for more, weight in paths(word[1:]):
+            yield [*ids, *more], own + weight
+
+    fallbacks = 0
+    for _ in range(150):
+        word = wfst.MARK + "".join(rng.choice("aeinrstthé你\n🙂龘") for _ in range(rng.randint(1, 6)))
+        found = sorted(paths(word), key=lambda p: p[1])
+        ids, weight = fst.shortest_path(word)
+        assert (ids, weight) == found[0] and (len(found) == 1 or found[1][1] > weight)
+        assert ids == sp.encode(word[1:])
+        fallbacks += weight > 0
+    assert 20 < fallbacks < 150
+    assert fst.normalise("a  b") == "▁a▁▁b" and fst.normalise("") == ""
+
+
+def test_long_words_have_a_path():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    fst, rng = wfst.Transducer(), random.Random(9)
+    for text in ("x" * 20_000, "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(20_000)), "anthing" * 3_000, "ก็ที่" * 3_000, "🙂" * 5_000):
+        assert np.frombuffer(fst.encode(text), "<u2").tolist() == sp.encode(text)
+
+
 # models
 
 
