@@ -1,14 +1,15 @@
-"""Quality classifier: a factorisation machine over hashed words, structure and length.
+"""Quality classifier: a factorisation machine over hashed words, structure and metadata.
 
 Score = sigmoid(w0 + <w, x> + 1/2 * sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)): all pairwise
 interactions of rank `RANK` in time linear in the features. It is trained on at most
-`MAX_LABELLED` labelled rows whose id does not fall in the held-out third. Inputs come from the
-text alone.
+`MAX_LABELLED` labelled rows whose id does not fall in the held-out third. Inputs are the words and
+statistics of the text and one field of metadata, the stated length (`n_chars`).
 
 Defined cases: null and empty texts are scored on their structure; repeated rows are scored each; a
 null id is scored, held out and learns nothing; a score of 0.5 predicts 1; texts of any length are
-counted whole; without labelled rows every score is 0.5; columns beside doc_id and text are ignored;
-an empty table gives an empty result.
+counted whole; without labelled rows every score is 0.5; a stated length that is null, negative or
+not finite, and a table without one numeric column of that name, count as not stated; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import bounded_batches, held_out
 
@@ -31,11 +33,12 @@ RANK = 8
 MAX_LABELLED = 6000
 SYMBOLS = (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")
 N_STRUCTURE = 10
-SIZE = N_WORDS + N_STRUCTURE
+N_METADATA = 2
+SIZE = N_WORDS + N_STRUCTURE + N_METADATA
 
 
 class Features:
-    """Sparse rows: hashed words with weight sqrt(count / words), then structure statistics."""
+    """Sparse rows: hashed words with weight sqrt(count / words), then structure statistics and metadata."""
 
     def __init__(self, max_entries: int = 300_000):
         self.buckets: dict[bytes, int] = {}
@@ -49,7 +52,7 @@ class Features:
             b = self.buckets[word] = zlib.crc32(word) & (N_WORDS - 1)
         return b
 
-    def row(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def row(self, text: str | None, n_chars: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         data = (text or "").encode()
         words = data.lower().split()
         n = len(words)
@@ -63,10 +66,12 @@ class Features:
             (len(lines) - len(set(lines))) / max(len(lines), 1), 1 - len(set(windows)) / max(len(windows), 1), digits / size * 10,
             len(lines) / max(n, 1) * 10, (data.count(b".") + data.count(b",")) / max(n, 1),
         ])
+        stated = n_chars is not None and 0 <= n_chars < np.inf
+        metadata = np.array([np.log1p(n_chars) / 8 if stated else 0.0, 0.0 if stated else 1.0])
         counts = np.bincount(np.fromiter(map(self._bucket, words), np.int64, n), minlength=1) if n else np.zeros(1)
         index = np.flatnonzero(counts)
         weight = np.sqrt(counts[index] / max(n, 1)) if n else np.zeros(0)
-        return np.concatenate([index, np.arange(N_WORDS, SIZE)]), np.concatenate([weight, structure])
+        return np.concatenate([index, np.arange(N_WORDS, SIZE)]), np.concatenate([weight, structure, metadata])
 
 
 @dataclass
@@ -123,23 +128,31 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int
     return model
 
 
+def stated_length(docs: DataFrame) -> Column:
+    """``n_chars`` as a double; null where the table has no such column, or not one of numbers."""
+    same = [f for f in docs.schema.fields if f.name.lower() == "n_chars"]
+    if len(same) != 1 or not isinstance(same[0].dataType, NumericType):
+        return F.lit(None).cast("double").alias("n_chars")
+    return F.col(f"`{same[0].name}`").cast("double").alias("n_chars")
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> tuple[list, np.ndarray]:
     """Features and labels of at most ``max_rows`` rows outside the held-out third, in hash order."""
     bounded_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", stated_length(docs)).join(F.broadcast(known), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
         for b in batches:
-            rows = [make.row(t) for t in b.column("text").to_pylist()]
+            rows = list(map(make.row, b.column("text").to_pylist(), b.column("n_chars").to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("quality"), pa.array([r[0].astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary())],
                 names=["doc_id", "quality", "i", "v"],
             )
 
-    found = sorted(tuple(r) for r in texts.select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, i binary, v binary").collect())
+    found = sorted(tuple(r) for r in texts.select("doc_id", "quality", "text", "n_chars").mapInArrow(features, "doc_id long, quality int, i binary, v binary").collect())
     rows = [(np.frombuffer(r[2], "<i4").astype(np.int64), np.frombuffer(r[3], "<f4").astype(np.float64)) for r in found]
     return rows, np.array([r[1] for r in found], np.float64)
 
@@ -153,8 +166,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELL
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
         for b in batches:
-            p = model.value.probability([make.row(t) for t in b.column(2).to_pylist()])
+            p = model.value.probability(list(map(make.row, b.column(2).to_pylist(), b.column(3).to_pylist())))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text", stated_length(docs))
     return source.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")

@@ -33,7 +33,7 @@ def words_of(text):
 # op2
 
 
-def plain_quality(model, text):
+def plain_quality(model, text, n_chars):
     data = (text or "").encode()
     words = [w.lower() for w in words_of(text)]
     n, size = len(words), max(len(data), 1)
@@ -48,6 +48,7 @@ def plain_quality(model, text):
         math.log(1 + n) / 8, len(data) / max(n, 1) / 10, 10 * symbols / size, math.log(1 + symbols) / 6, len(set(words)) / max(n, 1),
         (len(lines) - len(set(lines))) / max(len(lines), 1), 1 - len(set(windows)) / max(len(windows), 1),
         10 * len(re.findall(rb"[0-9]", data)) / size, 10 * len(lines) / max(n, 1), len(re.findall(rb"[.,]", data)) / max(n, 1),
+        math.log(1 + n_chars) / 8 if n_chars is not None else 0, n_chars is None,
     ]
     x.update({quality_classifier.N_WORDS + k: v for k, v in enumerate(structure)})
     index, value = np.array(list(x)), np.array(list(x.values()))
@@ -59,9 +60,14 @@ def test_quality_scores_are_the_sum_over_all_pairs(tables):
     docs, labels = tables
     model = quality_classifier.train(*quality_classifier.labelled_rows(docs, labels))
     assert np.abs(model.v).max() > 0.05
-    texts = texts_of(docs)
+    rows = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
     for r in quality_classifier.score_quality(docs, labels).collect():
-        assert abs(r.score - plain_quality(model, texts[r.doc_id])) < 1e-6
+        assert abs(r.score - plain_quality(model, *rows[r.doc_id])) < 1e-6
+    bare = docs.withColumn("n_chars", F.when(F.col("doc_id") % 2 == 0, F.lit(-1.0)).otherwise(F.lit(float("nan"))))
+    gone = {r.doc_id: r.score for r in quality_classifier.score_quality(docs.drop("n_chars"), labels).collect()}
+    named = docs.withColumn("n_chars", F.lit("long"))
+    for other in (bare, named):
+        assert {r.doc_id: r.score for r in quality_classifier.score_quality(other, labels).collect()} == gone
 
 
 def test_nothing_is_learnt_from_held_out_rows(tables):
