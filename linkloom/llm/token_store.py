@@ -195,12 +195,14 @@ def _writer(vocabulary: str, end_id: int, segment_ids: int):
 def write_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, segment_ids: int = 1 << 21) -> DataFrame:
     """The token store of ``docs``, in ascending doc_id order over parts, segments and documents.
 
-    Texts are range-partitioned by id before they are encoded: a part is a contiguous id range.
+    Texts are range-partitioned by id, and within an id by a hash of the text, before they are encoded: a
+    part is a contiguous id range, and rows without an id or of one repeated id spread over parts.
     A segment holds whole documents and closes at ``segment_ids`` ids, so a task holds one segment.
     """
     bounded_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = ordered.repartitionByRange(parts_for(ordered), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(parts_for(ordered), *order).sortWithinPartitions(*order, "text")
     return written(ordered.mapInArrow(_writer(vocabulary, end_id, segment_ids), SEGMENT), "token-store")
 
 

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from linkloom.llm import exact_dedup, induced_sort, language_id, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, token_store, wfst
 from linkloom.llm.subwords import CachedEncoder, library_tokenizer, vocabulary
@@ -198,7 +199,6 @@ def test_keep_first_moves_only_rows_that_may_go(spark, docs, rows, limit):
         groups.setdefault(norm(t), []).append(i)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(map(min, groups.values()))
     # an exchange that carries whole rows comes after the probe's filter, and texts of others stay
-    from pyspark.sql import functions as F
 
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") % 100 == 0, 0).otherwise(F.col("id")).cast("string")).alias("text"))
     out = exact_dedup.keep_first(df, max_broadcast_bytes=limit)
@@ -322,6 +322,16 @@ def test_cached_ids_are_the_library_s(rows, name, lower):
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_rows_without_an_id_spread_over_parts(spark):
+    df = spark.range(400).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    store = token_store.write_tokens(df)
+    parts = store.select("part", F.explode("doc_ids").alias("doc_id")).filter("doc_id is null").select("part").distinct().count()
+    got = sorted(token_store.read_tokens(store).collect(), key=lambda r: r.start)
+    assert parts > 1 and len(got) == 400 and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i))
+
+
 def test_token_store(docs, rows):
     store = token_store.write_tokens(docs, segment_ids=900)
     got = sorted(tuple(r) for r in token_store.read_tokens(store).collect())
@@ -585,7 +595,6 @@ def test_rules_without_labels_only_base_rules(docs, spark):
 
 def test_rules_catch_junk_and_keep_clean_rows(spark):
     """On labelled rows of the held-out third, from which neither forests nor thresholds learn."""
-    from pyspark.sql import functions as F
 
     from linkloom.llm.common import held_out
 
