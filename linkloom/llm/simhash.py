@@ -192,7 +192,8 @@ def roots(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(fp, root): distinct fingerprints and a common root for those that links connect."""
     division = plan(fps, max_distance)
     buckets = fps.select("fp", _exact(division, F.col("fp"), every=True).alias("k")).select("fp", "k.part", "k.key")
-    ends = buckets.groupBy("part", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
+    # written, so that the join has no aggregate on its keys and a dense bucket can be split
+    ends = written(buckets.groupBy("part", "key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high"), "simhash-ends")
     led = buckets.join(ends, ["part", "key"])
     stars = led.select(F.col("fp").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter((F.col("a") != F.col("b")) & _near("a", "b", max_distance))
     local = components(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
