@@ -199,7 +199,6 @@ def test_keep_first_moves_only_rows_that_may_go(spark, docs, rows, limit):
         groups.setdefault(norm(t), []).append(i)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(map(min, groups.values()))
     # an exchange that carries whole rows comes after the probe's filter, and texts of others stay
-
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") % 100 == 0, 0).otherwise(F.col("id")).cast("string")).alias("text"))
     out = exact_dedup.keep_first(df, max_broadcast_bytes=limit)
     assert out.count() == 20_000 - 199
@@ -595,7 +594,6 @@ def test_rules_without_labels_only_base_rules(docs, spark):
 
 def test_rules_catch_junk_and_keep_clean_rows(spark):
     """On labelled rows of the held-out third, from which neither forests nor thresholds learn."""
-
     from linkloom.llm.common import held_out
 
     sf = "/root/testdata/sf0.1"
