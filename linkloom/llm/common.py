@@ -54,11 +54,16 @@ def spare_name(columns: list[str], name: str) -> str:
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """``df`` written once to the shared folder in hash buckets of ``key``: groups and joins on it don't shuffle it again."""
+    """``df`` written once to the shared folder in hash buckets of ``key``: groups and joins on it don't shuffle it again.
+
+    Only the catalogue can name buckets; the name is dropped once the result refers to the files.
+    """
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.bucketBy(min(buckets, 100_000), key).option("path", path).option("compression", "none").saveAsTable(name)
-    return df.sparkSession.table(name)
+    table = df.sparkSession.table(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")
+    return table
 
 
 def held_out(doc_id: Column) -> Column:

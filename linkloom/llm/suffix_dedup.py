@@ -10,6 +10,8 @@ A byte goes if a window of `WINDOW` bytes over it also starts in a document with
    filter of the whole corpus, and none fills up.
 2. A key that more than `HOT_TEXTS` texts hold is hot: its windows go one by one to the shards of
    their own hashes. What surrounds a common passage is spread so, and the passage is sent once a chunk.
+   Chunks form parts of about `FAN_IN`. With more than one part, the smallest id of a hot window is taken
+   within each part, then over the parts, and goes back the same way: no task meets a row of every chunk.
 3. Runs of windows with one shared key go to the shard of that key as short regions, once for each
    content and chunk, with the smallest id there. Places stay in the chunk, so a common passage
    costs a region for each chunk and not for each document.
@@ -57,6 +59,8 @@ CHUNK_BYTES = 8 << 20
 RANGE_BYTES = 48 << 20
 SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
+#: Chunks whose hot windows are merged in one step.
+FAN_IN = 1000
 BLOCK_BYTES = 1 << 18
 SEPARATOR = b"\xff"  # never a byte of UTF-8
 
@@ -262,13 +266,13 @@ class Chunk:
         runs = np.flatnonzero(flag == 1)
         run, start, hashes = self.windows_of(np.flatnonzero(flag == 2))
         join = lambda x, y: np.concatenate([x, y])
-        return Regions(self, join(self.text[runs], self.text[run]), join(self.start[runs], start), join(self.windows[runs], np.ones(len(run), np.int64)), join(self.keys[runs], hashes))
+        return Regions(self, join(self.text[runs], self.text[run]), join(self.start[runs], start), join(self.windows[runs], np.ones(len(run), np.int64)), join(self.keys[runs], hashes), len(runs))
 
 
 class Regions:
     """Distinct region contents of a chunk, the smallest id of each, and all places they have there."""
 
-    def __init__(self, chunk: Chunk, text: np.ndarray, start: np.ndarray, windows: np.ndarray, keys: np.ndarray):
+    def __init__(self, chunk: Chunk, text: np.ndarray, start: np.ndarray, windows: np.ndarray, keys: np.ndarray, hot_from: int):
         texts = chunk.texts
         self.text, self.start, self.size = text, start, windows + WINDOW - 1
         number: dict[bytes, int] = {}
@@ -277,25 +281,26 @@ class Regions:
         self.contents, self.region = list(number), np.array(of, np.int64)
         self.keys = np.zeros(len(self.contents), np.uint64)
         self.keys[self.region] = keys
+        self.hot = np.zeros(len(self.contents), bool)  # equal windows have one key, so all places of a content agree
+        self.hot[self.region[hot_from:]] = True
         self.low = np.full(len(self.contents), NO_ID, np.int64)
         np.minimum.at(self.low, self.region, chunk.low[text])
 
-    def by_shard(self, shards: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Numbers of the regions of each shard, ascending."""
-        shard = _shards_of(self.keys, shards)
+    def by_shard(self, shards: int, hot_at: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Numbers of the regions of each shard, ascending; shards of hot windows count from ``hot_at``."""
+        shard = _shards_of(self.keys, shards) + hot_at * self.hot
         order = np.argsort(shard, kind="stable")
         heads = _heads(shard[order])
         for a, e in zip(heads, np.append(heads[1:], len(order))):
             yield int(shard[order[a]]), order[a:e]
 
-
-    def places(self, chunk: Chunk, shards: int) -> np.ndarray:
+    def places(self, chunk: Chunk, shards: int, hot_at: int) -> np.ndarray:
         """(text, start, size, shard, number in the shard's regions, later) of each place, as columns.
 
         A place is later if its text has a larger id than the region's first one in the chunk.
         """
         shard, number = np.zeros(len(self.contents), np.int64), np.zeros(len(self.contents), np.int64)
-        for s, own in self.by_shard(shards):
+        for s, own in self.by_shard(shards, hot_at):
             shard[own], number[own] = s, np.arange(len(own))
         order = np.lexsort((self.start, self.text))
         later = chunk.low[self.text] > self.low[self.region]
@@ -529,6 +534,60 @@ def _sorter(budget: int):
     return sort
 
 
+# hot windows of many chunks
+
+_MERGED = "shard long, part long, regions binary, ids binary"
+_LEAST = "shard long, part long, least binary"
+
+
+def _merged(rows: list[dict], by: str) -> tuple[list[dict], list[np.ndarray], list[np.ndarray], list[bytes], np.ndarray]:
+    """Rows in order of ``by``, the ids and window numbers of each, the distinct windows and their smallest ids."""
+    rows = sorted(rows, key=lambda r: r[by])
+    ids = [_spread(r["ids"], "<i8") for r in rows]
+    number, distinct = same_regions(b"".join([zstandard.decompress(r["regions"]) for r in rows]), np.full(sum(map(len, ids)), WINDOW))
+    low = np.full(len(distinct), NO_ID, np.int64)
+    np.minimum.at(low, number, np.concatenate(ids))
+    return rows, ids, np.split(number, np.cumsum([len(x) for x in ids])[:-1]), distinct, low
+
+
+def _merge_part(table: pa.Table) -> pa.Table:
+    """The distinct hot windows of one shard and part, with the smallest id of each."""
+    rows, _, _, distinct, low = _merged(table.to_pylist(), "chunk")
+    columns = [rows[0]["shard"]], [rows[0]["part"]], [zstandard.compress(b"".join(distinct), 1)], [_squeeze(low.astype("<i8"))]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "part", "regions", "ids"])
+
+
+def _merge_parts(table: pa.Table) -> pa.Table:
+    """For the windows of each part of one shard, in the part's order, the smallest id in any part."""
+    rows, _, numbers, _, low = _merged(table.to_pylist(), "part")
+    columns = [r["shard"] for r in rows], [r["part"] for r in rows], [_squeeze(low[n].astype("<i8")) for n in numbers]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["shard", "part", "least"])
+
+
+def _part_spans(table: pa.Table, answers: pa.Table) -> pa.Table:
+    """For each chunk of one shard and part, its windows that a smaller id holds."""
+    rows, ids, numbers, _, _ = _merged(table.to_pylist(), "chunk")
+    least = _spread(answers.column("least")[0].as_py(), "<i8")
+    out = []
+    for r, own, number in zip(rows, ids, numbers):
+        hit = np.flatnonzero(least[number] < own)
+        if len(hit):
+            out.append((r["chunk"], r["shard"], _squeeze(np.stack([hit, np.zeros(len(hit), np.int64), np.full(len(hit), WINDOW)]).astype("<u4"))))
+    columns = list(zip(*out)) if out else [[]] * 3
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["chunk", "shard", "spans"])
+
+
+def hot_spans(hot: DataFrame, parts: int) -> DataFrame:
+    """Spans of the hot windows of ``hot``: up to parts of chunks, over the parts, and back to the chunks."""
+    hot = hot.withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts)))
+    up = written(hot.groupBy("shard", "part").applyInArrow(_merge_part, _MERGED), "passage-parts")
+    least = up.groupBy("shard").applyInArrow(_merge_parts, _LEAST)
+    return hot.groupBy("shard", "part").cogroup(least.groupBy("shard", "part")).applyInArrow(_part_spans, _SPANS)
+
+
+# cuts
+
+
 def removed_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by intervals; touching ones are one run."""
     order = np.argsort(starts, kind="stable")
@@ -592,6 +651,8 @@ def _run(docs: DataFrame, finish, result, budget: int) -> DataFrame:
     text_at, id_at = docs.columns.index("text"), len(docs.columns)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges, shards = max(1, total // RANGE_BYTES), max(1, total // SHARD_BYTES)
+    parts = max(1, total // (CHUNK_BYTES * FAN_IN))
+    hot_at = shards if parts > 1 else 0
     rows = docs.withColumn(spare_name(docs.columns, "id"), F.col("doc_id").cast("long"))
     chunks = bucketed(rows.mapInArrow(_chunker(text_at, CHUNK_BYTES), CHUNK), "chunks", "chunk", max(shuffle_partitions(spark), total // BUCKET_BYTES))
 
@@ -614,8 +675,8 @@ def _run(docs: DataFrame, finish, result, budget: int) -> DataFrame:
     def regions(rows: pa.Table, answers: pa.Table) -> pa.Table:
         c, found = _read_chunk(rows, id_at, text_at).find_runs(), _Answers(answers)
         r = c.regions(found.by_kind[0], ranges)
-        out = [(_PLACES, c.chunk, None, None, None, None, _squeeze(r.places(c, shards)))] if len(r.text) else []
-        for shard, own in r.by_shard(shards):
+        out = [(_PLACES, c.chunk, None, None, None, None, _squeeze(r.places(c, shards, hot_at)))] if len(r.text) else []
+        for shard, own in r.by_shard(shards, hot_at):
             contents = [r.contents[i] for i in own.tolist()]
             out.append((shard, c.chunk, zstandard.compress(b"".join(contents), 1), _squeeze(np.array([len(x) for x in contents], "<u2")), r.keys[own].astype("<u4").tobytes(), _squeeze(r.low[own].astype("<i8")), None))
         columns = list(zip(*out)) if out else [[]] * 7
@@ -624,7 +685,12 @@ def _run(docs: DataFrame, finish, result, budget: int) -> DataFrame:
         return pa.table([pa.array(x, pa.int64() if i < 2 else pa.binary()) for i, x in enumerate(columns)], names=_SHARD_NAMES)
 
     shipped = written(cogrouped(_answers(flags, 0, "hash_range", "flags"), regions, _SHARD), "passage-regions")
-    spans = shipped.filter(F.col("shard") >= 0).drop("places").groupBy("shard").applyInArrow(_sorter(budget), _SPANS)
+    sent = shipped.filter(F.col("shard") >= 0).drop("places")
+    if parts > 1:
+        sorted_, hot = sent.filter(F.col("shard") < hot_at), sent.filter(F.col("shard") >= hot_at)
+        spans = sorted_.groupBy("shard").applyInArrow(_sorter(budget), _SPANS).unionByName(hot_spans(hot, parts))
+    else:
+        spans = sent.groupBy("shard").applyInArrow(_sorter(budget), _SPANS)
     places = shipped.filter(F.col("shard") == _PLACES)
 
     def cut(rows: pa.Table, answers: pa.Table) -> pa.Table:

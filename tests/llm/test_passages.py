@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from linkloom.llm import suffix_dedup
@@ -39,6 +40,49 @@ def test_repeated_and_null_ids_in_small_chunks(spark, small_parts):
     assert sorted((tuple(r) for r in suffix_dedup.repeated_passages(frame(spark, rows)).collect()), key=str) == plain_cuts(rows)
 
 
+def test_hot_windows_are_merged_over_parts_of_chunks(spark, small_parts, monkeypatch):
+    rows = common_passage(11, 50)
+    rows += [(None if i % 9 == 0 else i + 1000, t) for i, t in rows[:20]]
+    most, merge = [], suffix_dedup.hot_spans
+
+    def spread(hot, parts):
+        most.append((parts, hot.groupBy("shard").count().agg({"count": "max"}).first()[0]))
+        return merge(hot, parts)
+
+    monkeypatch.setattr(suffix_dedup, "FAN_IN", 2)
+    monkeypatch.setattr(suffix_dedup, "hot_spans", spread)
+    got = sorted((tuple(r) for r in suffix_dedup.repeated_passages(frame(spark, rows).repartition(6)).collect()), key=str)
+    assert got == plain_cuts(rows)
+    parts, rows_of_a_shard = most[0]
+    assert parts > 2 and rows_of_a_shard > 2
+
+
+def test_merge_of_parts_is_the_merge_of_all():
+    rng = random.Random(2)
+    windows = [bytes(rng.choices(b"ab\x00", k=suffix_dedup.WINDOW)) for _ in range(40)]
+    rows = []
+    for chunk in range(12):
+        own = rng.sample(range(40), 15)
+        ids = np.array([rng.choice([rng.randrange(90), suffix_dedup.NO_ID]) for _ in own], "<i8")
+        rows.append({"shard": 7, "chunk": chunk, "part": chunk % 3, "own": own, "ids": suffix_dedup._squeeze(ids), "regions": suffix_dedup.zstandard.compress(b"".join(windows[w] for w in own))})
+    low = {}
+    for r in rows:
+        for w, i in zip(r["own"], suffix_dedup._spread(r["ids"], "<i8").tolist()):
+            low[w] = min(low.get(w, suffix_dedup.NO_ID), i)
+    table = lambda part: pa.Table.from_pylist([{k: v for k, v in r.items() if k != "own"} for r in rows if r["part"] == part])
+    least = suffix_dedup._merge_parts(pa.concat_tables([suffix_dedup._merge_part(table(p)) for p in range(3)]))
+    for part in range(3):
+        got = suffix_dedup._part_spans(table(part), least.filter(pa.compute.equal(least.column("part"), part))).to_pylist()
+        hits = {(g["chunk"], n) for g in got for n in suffix_dedup._spread(g["spans"], "<u4").reshape(3, -1)[0].tolist()}
+        want = {(r["chunk"], n) for r in rows if r["part"] == part for n, (w, i) in enumerate(zip(r["own"], suffix_dedup._spread(r["ids"], "<i8").tolist())) if low[w] < i}
+        assert hits == want and want
+
+
+def test_the_catalogue_keeps_no_table(spark):
+    out = suffix_dedup.repeated_passages(frame(spark, common_passage(13, 8)))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("chunks")] and out.count() == 25
+
+
 def test_a_hot_key_is_spread():
     rng = random.Random(1)
     passage = f"{rng.getrandbits(1200):x}"
