@@ -1,4 +1,4 @@
-"""Graph kernels (K3-K6, K8, K11, K13, K17), generated negatives (N2) and pooling (M5) on atom and bond tables.
+"""Graph kernels (K3-K8, K11, K13, K17), generated negatives (N2) and pooling (M5) on atom and bond tables.
 
 The graphs are orders: their lines are atoms, labelled by part, with bonds between lines that follow
 each other and between parts whose keys fit.
@@ -14,6 +14,7 @@ from ..operators import fingerprints as Fp
 from ..operators import negatives as N
 from ..operators import pooling as A
 from ..operators import rings as R
+from ..operators import standardise as Z
 from ..operators import templates as T
 from ..operators.canonical import canonical
 from ..registry import query, table
@@ -444,3 +445,59 @@ def m5_layers(spark, sf):
     h = F.col("state")
     pooled = A.attention_pooled(last, "g", "state", 0.5 * h[0] - 0.25 * h[1] + h[2])
     return pooled.select("g", *[r6(F.col("pooled")[i]).alias(c) for i, c in enumerate("xyz")])
+
+
+#: Orders as molecules: elements, charges and hydrogens follow from part keys, and some bonds are missing, so that many fall into pieces.
+MOLECULES = f"""{ATOMS}, {BONDS}, mol AS MATERIALIZED (SELECT g, node, CASE p % 5 WHEN 0 THEN 'N' WHEN 1 THEN 'O' WHEN 2 THEN 'H' ELSE 'C' END AS element,
+        CASE WHEN p % 5 = 2 THEN 0 WHEN p % 7 = 6 THEN NULL WHEN p % 7 < 4 THEN [1, -1, 1, -2][p % 7 + 1] ELSE 0 END AS charge, CASE WHEN p % 5 = 2 THEN 0 ELSE p % 3 END AS hydrogens FROM atoms),
+    mb AS MATERIALIZED (SELECT g, u, v, bond FROM bonds WHERE (g + u + v) % 4 <> 0), me AS MATERIALIZED (SELECT g, u, v, bond FROM mb UNION SELECT g, v, u, bond FROM mb)"""
+
+
+def molecules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    atoms, bonds = graphs(spark, sf)
+    p, hydrogen = F.col("p"), F.col("p") % 5 == 2
+    element = F.when(p % 5 == 0, "N").when(p % 5 == 1, "O").when(hydrogen, "H").otherwise("C")
+    charge = F.when(hydrogen, 0).when(p % 7 == 6, F.lit(None)).when((p % 7 == 0) | (p % 7 == 2), 1).when(p % 7 == 1, -1).when(p % 7 == 3, -2).otherwise(0)
+    described = atoms.select("g", "node", element.alias("element"), charge.alias("charge"), F.when(hydrogen, 0).otherwise((p % 3).cast("int")).alias("hydrogens"))
+    return described, bonds.filter((F.col("g") + F.col("u") + F.col("v")) % 4 != 0)
+
+
+STANDARD = f"""{MOLECULES}, one AS (SELECT me.g, me.u, min(me.v) AS v FROM me JOIN mol h ON h.g = me.g AND h.node = me.u WHERE h.element = 'H' AND coalesce(h.charge, 0) = 0 AND h.hydrogens = 0 GROUP BY me.g, me.u HAVING count(*) = 1 AND max(me.bond) = 1),
+    gone AS MATERIALIZED (SELECT one.g, one.u, one.v FROM one JOIN mol m ON m.g = one.g AND m.node = one.v WHERE m.element <> 'H'),
+    fa AS MATERIALIZED (SELECT g, node, element, coalesce(charge, 0) AS charge, hydrogens + (SELECT count(*) FROM gone WHERE gone.g = mol.g AND gone.v = mol.node) AS hydrogens FROM mol WHERE (g, node) NOT IN (SELECT (g, u) FROM gone)),
+    fe AS MATERIALIZED (SELECT me.* FROM me JOIN fa a ON a.g = me.g AND a.node = me.u JOIN fa b ON b.g = me.g AND b.node = me.v),
+    met AS (WITH RECURSIVE r(g, node, spot) AS (SELECT g, node, node FROM fa UNION SELECT r.g, r.node, fe.v FROM r JOIN fe ON fe.g = r.g AND fe.u = r.spot) SELECT * FROM r),
+    root AS MATERIALIZED (SELECT g, node, min(spot) AS root FROM met GROUP BY g, node),
+    best AS (SELECT g, root FROM (SELECT g, root, row_number() OVER (PARTITION BY g ORDER BY sum(1 + hydrogens) DESC, root) AS k FROM root JOIN fa USING (g, node) GROUP BY g, root) WHERE k = 1),
+    kept AS MATERIALIZED (SELECT fa.* FROM fa JOIN root USING (g, node) JOIN best ON best.g = root.g AND best.root = root.root)"""
+
+
+@query("k7_parent_fragment", f"WITH {STANDARD} SELECT g, node::BIGINT AS node, element, charge::INTEGER AS charge, hydrogens::INTEGER AS hydrogens FROM kept")
+def k7_parent(spark, sf):
+    """The largest piece of each molecule, plain hydrogen atoms counted on the atoms that hold them."""
+    return Z.standardised(*molecules(spark, sf), "g", neutral=False)[0]
+
+
+@query(
+    "k7_standardised",
+    f"""WITH {STANDARD}, bound AS (SELECT DISTINCT a.g, a.node FROM kept a JOIN fe ON fe.g = a.g AND fe.u = a.node JOIN kept b ON b.g = fe.g AND b.node = fe.v WHERE abs(a.charge) = 1 AND a.charge * b.charge < 0),
+    j AS (SELECT *, (charge = -1 OR (charge = 1 AND hydrogens > 0)) AND (g, node) NOT IN (SELECT (g, node) FROM bound) AS goes FROM kept)
+    SELECT g, node::BIGINT AS node, element, (CASE WHEN goes THEN 0 ELSE charge END)::INTEGER AS charge, (CASE WHEN goes THEN hydrogens - charge ELSE hydrogens END)::INTEGER AS hydrogens FROM j""",
+)
+def k7_standardised(spark, sf):
+    return Z.standardised(*molecules(spark, sf), "g")[0]
+
+
+@query(
+    "k7_tautomers",
+    f"""WITH {ATOMS}, {BONDS}, ta AS MATERIALIZED (SELECT g, node, CASE WHEN label = 0 THEN 'C' ELSE 'N' END AS element, ((p % 4) // 2)::INTEGER AS hydrogens FROM atoms),
+    te AS MATERIALIZED (SELECT g, u, v, bond FROM bonds UNION SELECT g, v, u, bond FROM bonds), d AS (SELECT g, u AS node FROM te GROUP BY g, u HAVING count(*) = 2),
+    n AS MATERIALIZED (SELECT te.g, te.u, te.v, x.hydrogens FROM te JOIN ta x ON x.g = te.g AND x.node = te.u JOIN d ON d.g = x.g AND d.node = x.node JOIN ta c ON c.g = te.g AND c.node = te.v WHERE bond = 1 AND x.element = 'N' AND c.element = 'C'),
+    s AS (SELECT g, donor, acceptor, row_number() OVER (PARTITION BY g ORDER BY donor, acceptor)::INTEGER AS tautomer FROM (SELECT DISTINCT a.g, a.u AS donor, b.u AS acceptor FROM n a JOIN n b ON b.g = a.g AND b.v = a.v WHERE a.hydrogens = 1 AND b.hydrogens = 0))
+    SELECT s.g, tautomer, node::BIGINT AS node, element, (hydrogens - (node = donor)::INTEGER + (node = acceptor)::INTEGER)::INTEGER AS hydrogens FROM s JOIN ta ON ta.g = s.g
+    UNION ALL SELECT g, 0, node::BIGINT, element, hydrogens FROM ta""",
+)
+def k7_tautomers(spark, sf):
+    atoms, bonds = graphs(spark, sf)
+    described = atoms.select("g", "node", F.when(F.col("label") == 0, "C").otherwise("N").alias("element"), F.lit(0).alias("charge"), F.expr("(p % 4) div 2").cast("int").alias("hydrogens"))
+    return Z.tautomers(described, bonds, "g", aromatic=1).drop("charge")
