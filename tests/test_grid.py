@@ -75,3 +75,31 @@ def test_no_pairs_are_joined_or_sorted(spark, sf):
     for name in ("w1_top_neighbours", "j12_max_similarity", "j13_nearest", "j14_known_partner", "j15_combined_similarity", "j19_metric_alignment", "v11_best_direction"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().sparkPlan().toString()
         assert "FlatMapCoGroupsInArrow" not in plan and plan.count("FlatMapGroupsInArrow") == 1, name
+
+
+def test_first_fit_lists_no_pairs(spark):
+    """Of rows that are all near each other the first is the anchor, with no table of pairs: a round writes rows once."""
+    from unittest import mock
+
+    df = spark.range(500).selectExpr("id AS k", "array(id / 10000.0D, IF(id = 7, double('NaN'), 0.0D)) AS v")
+    with mock.patch.object(grid, "pairs", side_effect=AssertionError("pairs are listed")):
+        got = {r.k: r.anchor for r in clusters.first_fit(df, "k", "v", 1.0, 64).collect()}
+    assert got == {k: 7 if k == 7 else 0 for k in range(500)}
+
+
+def test_sibling_pairs_without_a_distinct_of_all(spark):
+    from linkloom.operators import pairwise
+
+    links = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (2, 3), (3, 4), (None, 1)], "p long, e long")
+    assert sorted(tuple(r) for r in pairwise.sibling_pairs(links, "p", "e").collect()) == [(1, 2), (1, 3), (2, 3)]
+    single = spark.range(40).selectExpr("id % 2 AS p", "id AS e")
+    plan = pairwise.sibling_pairs(single, "p", "e")
+    assert plan.count() == 2 * 20 * 19 // 2 and "HashAggregate" not in plan._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_folder_of_part_files_is_one_entry(spark, tmp_path):
+    from linkloom.catalogue import QUERIES
+
+    spark.range(9).repartition(3).write.parquet(str(tmp_path / "orders.parquet"))
+    (tmp_path / "nation.parquet").write_bytes(b"x")
+    assert sorted(r.id for r in QUERIES["s16_directory_listing"](spark, str(tmp_path)).collect()) == ["nation", "orders"]
