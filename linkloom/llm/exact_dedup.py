@@ -75,6 +75,13 @@ def filter_bits(n_rows: int, bits_per_row: int) -> int:
     return bits
 
 
+def id_filter(ids: DataFrame, bits_per_row: int, probes: int, max_broadcast_bytes: int) -> tuple[DataFrame, int]:
+    """Bitmaps, small enough for a broadcast, of the positions of ``ids`` (one column, id), and the filter's bits."""
+    n_bits = max(_ROW_BITS, min(filter_bits(ids.count(), bits_per_row), 8 * max_broadcast_bytes // _ROW_BITS * _ROW_BITS))
+    hits = ids.select(F.explode(F.array(*[_position(F.col("id"), j, n_bits) for j in range(probes)])).alias("p"))
+    return written(_bitmaps(hits), "id-filter"), n_bits
+
+
 def _hash(text: Column) -> Column:
     return F.sha2(normalised(text).cast("binary"), 256)
 
@@ -138,9 +145,7 @@ def keep_first(docs: DataFrame, bits_per_row: int = 16, probes: int = 2, max_bro
     each = maybe.groupBy("sha", "doc_id").agg(F.count(F.lit(1)).alias("copies")).join(_groups(maybe), "sha")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     touched = written(each.filter(~stays | (F.col("copies") > 1)).select(F.col("doc_id").alias("id"), F.col("sha").alias("of"), stays.alias("stays")), "exact-touched")
-    n_bits = max(_ROW_BITS, min(filter_bits(touched.count(), bits_per_row), 8 * max_broadcast_bytes // _ROW_BITS * _ROW_BITS))
-    hits = touched.select(F.explode(F.array(*[_position(F.col("id"), j, n_bits) for j in range(probes)])).alias("p"))
-    bitmaps = written(_bitmaps(hits), "exact-touched-filter")
+    bitmaps, n_bits = id_filter(touched.select("id"), bits_per_row, probes, max_broadcast_bytes)
     body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"))
     marked = probe(body, "doc_id", bitmaps, n_bits, probes, True)
     passed = marked.filter(~F.col("maybe")).select("row")

@@ -32,6 +32,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.clusters import components
 from .common import bounded_batches, spare_name, written
+from .exact_dedup import id_filter, probe
 
 WIDTH = 64
 SHINGLE = 4
@@ -236,18 +237,24 @@ def _with_fingerprint(docs: DataFrame) -> DataFrame:
     return told.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col(spare).alias("fp"))
 
 
-def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, max_distance: int = MAX_DISTANCE, bits_per_row: int = 16, probes: int = 2, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Rows of ``docs``, all columns: of each component the smallest id (rows with a null id stay).
 
     An id can have texts in several components; only rows of such ids are told apart by fingerprint.
+    Ids that go set a bitmap, which is broadcast (`id_filter`); rows whose id is not in it pass straight through.
     """
     judged = written(_judged(docs.select("doc_id", "text"), max_distance), "simhash-judged")
     gone = written(judged.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"), F.col("fp").alias("gone_fp")).distinct(), "simhash-gone")
     of_gone = F.col("id") == F.col("gone")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    kept = rows.join(gone, of_gone, "left_anti").select("row")
+    bitmaps, n_bits = id_filter(gone.select(F.col("gone").alias("id")), bits_per_row, probes, max_broadcast_bytes)
+    marked = probe(rows, "id", bitmaps, n_bits, probes, True)
+    met = marked.filter("maybe").select("row", "id")
+    # outer and inner joins: an anti or semi join would be moved below the bitmaps' joins, to all rows
+    stays = met.join(gone, of_gone, "left").filter(F.col("gone").isNull()).select("row")
+    kept = marked.filter(~F.col("maybe")).select("row").unionByName(stays)
     mixed = written(gone.select("gone").distinct().join(judged.filter("doc_id = component_id").select(F.col("doc_id").alias("id")), of_gone, "left_semi"), "simhash-mixed")
     if mixed.isEmpty():
         return kept.select("row.*")
-    told = _with_fingerprint(rows.join(mixed, of_gone, "left_semi").select("row.*"))
+    told = _with_fingerprint(met.join(mixed, of_gone).select("row.*"))
     return kept.unionByName(told.join(gone, of_gone & (F.col("fp") == F.col("gone_fp")), "left_anti").select("row")).select("row.*")

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from linkloom import storage
 from linkloom.llm import exact_dedup, induced_sort, language_id, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, token_store, wfst
 from linkloom.llm.subwords import CachedEncoder, library_tokenizer, vocabulary
 
@@ -158,6 +159,28 @@ def test_keep_one_tells_rows_of_a_repeated_id_apart(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, a), (5, b), (7, c), (7, c), (None, a)], key=repr)
 
 
+def shuffled_rows(node):
+    """Rows that the exchanges of an executed plan wrote."""
+    inner = [getattr(node, m)() for m, kind in (("executedPlan", "AdaptiveSparkPlan"), ("plan", "QueryStage")) if kind in node.nodeName()]
+    inner += [node.children().apply(k) for k in range(node.children().size())]
+    own = node.metrics().apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" else 0
+    return own + sum(map(shuffled_rows, inner))
+
+
+def test_keep_one_moves_only_rows_that_may_go(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rng = random.Random(5)
+    texts = [prose(rng, 40) for _ in range(400)]
+    df = storage.written(frame(spark, [*enumerate(texts), (400, texts[3]), (401, texts[5])]), "few-repeats")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = simhash.keep_one(df)
+        assert sorted(r.doc_id for r in out.collect()) == list(range(400))
+        assert 2 <= shuffled_rows(out._jdf.queryExecution().executedPlan()) < 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_simhash_with_null_ids(spark):
     df = frame(spark, [(None, "one two three four five"), (None, "quite other words are here"), (3, "one two three four five"), (3, "one two three four five")])
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
