@@ -291,7 +291,10 @@ def p20(spark, sf):
 
 @query("a5_dedup_subset", "SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem) WHERE n = 1")
 def a5(spark, sf):
-    return first_rows(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber"), ["l_orderkey"], "l_linenumber")
+    """Of each order the first line; lines of one number, which the SQL leaves open, go by their place in the files."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", *place)
+    return first_rows(lines, ["l_orderkey"], "l_linenumber", "file", "row").drop("file", "row")
 
 
 @query("x12_code_prefix", f"WITH {HIER} SELECT c_custkey, array_to_string(string_split(code, '.')[1:2], '.') AS prefix FROM hier")
