@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import linear
-from ..storage import written
+from ..storage import in_buckets, written
 
 
 def attention_weights(nodes: DataFrame, graph: str, score: Column) -> DataFrame:
@@ -18,8 +19,16 @@ def attention_weights(nodes: DataFrame, graph: str, score: Column) -> DataFrame:
     return shifted.join(total, graph).withColumn("weight", F.col("__e") / F.col("__t")).drop("__s", "__m", "__e", "__t")
 
 
-def weighted_mean(nodes: DataFrame, graph: str, vector: str, weight: str | None = None) -> DataFrame:
-    """(graph, pooled): weighted mean of the nodes' vectors; tasks add up before the exchange."""
+def weighted_mean(nodes: DataFrame, graph: str, vector: str, weight: str | None = None, size: int | None = None) -> DataFrame:
+    """(graph, pooled): weighted mean of the nodes' vectors; tasks add up before the exchange.
+
+    With the ``size`` of the vectors each component is a plain sum, which is far cheaper for many
+    small graphs than a summary object a graph.
+    """
+    if size is not None:
+        w = F.lit(1.0) if weight is None else F.col(weight)
+        sums = nodes.groupBy(graph).agg(F.sum(w).alias("__t"), *[F.sum(w * F.get(vector, F.lit(i)).cast("double")).alias(f"__v{i}") for i in range(size)])
+        return sums.select(graph, F.array(*[F.col(f"__v{i}") / F.col("__t") for i in range(size)]).alias("pooled"))
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
@@ -28,9 +37,15 @@ def weighted_mean(nodes: DataFrame, graph: str, vector: str, weight: str | None
     return nodes.groupBy(graph).agg(mean.alias("m")).select(graph, vector_to_array("m").alias("pooled"))
 
 
-def attention_pooled(nodes: DataFrame, graph: str, vector: str, score: Column) -> DataFrame:
-    """(graph, pooled): mean of the vectors by attention weight."""
-    return weighted_mean(attention_weights(nodes, graph, score), graph, vector, "weight")
+def attention_pooled(nodes: DataFrame, graph: str, vector: str, score: Column, size: int | None = None) -> DataFrame:
+    """(graph, pooled): mean of the vectors by attention weight, the softmax of ``score`` within each graph.
+
+    Nodes that are dealt by graph (`dealt`, `in_buckets`) cross the network no more.
+    """
+    scored = in_buckets(nodes.select(graph, vector, score.alias("__s")), "scored", graph)
+    most = scored.groupBy(graph).agg(F.max("__s").alias("__m"))
+    shifted = scored.join(most, graph).withColumn("__e", F.exp(F.col("__s") - F.col("__m")))
+    return weighted_mean(shifted, graph, vector, "__e", size)
 
 
 def last_node(nodes: DataFrame, graph: str, order: str, vector: str) -> DataFrame:
@@ -39,27 +54,33 @@ def last_node(nodes: DataFrame, graph: str, order: str, vector: str) -> DataFram
     return last.select(graph, F.col(f"m.{vector}").alias("pooled"))
 
 
-def message_passing(nodes: DataFrame, ends: DataFrame, graph: str, vector: str, layers: list[tuple[list[list[float]], list[list[float]], list[float]]]) -> DataFrame:
-    """(graph, node, layer, state): hidden states of all nodes, layer 0 as given.
+Layers = list[tuple[list[list[float]], list[list[float]], list[float]]]
+
+
+def message_passing(nodes: DataFrame, ends: DataFrame, graph: str, vector: str, layers: Layers) -> DataFrame:
+    """(graph, node, layer, state): hidden states of all nodes (`layer_states`), layer 0 as given."""
+    parts = [h.select(graph, "node", F.lit(k).alias("layer"), F.col("h").alias("state")) for k, h in enumerate(layer_states(nodes, ends, graph, vector, layers))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def layer_states(nodes: DataFrame, ends: DataFrame, graph: str, vector: str, layers: Layers) -> list[DataFrame]:
+    """(graph, node, h) of each layer, as given for layer 0; each is in buckets of the graph.
 
     A layer is relu(A h + B sum of the neighbours' h + b) with fixed weights (A, B, b), which a model
     of known size has. ``ends`` has (graph, u, v) from each end; neighbours are added up by tasks
-    before the exchange, so a node of many is no hot group.
+    before any exchange, so a node of many is no hot group. Nodes and ends in buckets of the graph
+    (`in_buckets`) cross the network no more.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    h = written(nodes.select(graph, "node", F.col(vector).cast("array<double>").alias("h")), "states")
-    out = [h.select(graph, "node", F.lit(0).alias("layer"), F.col("h").alias("state"))]
-    for k, (own, others, bias) in enumerate(layers, 1):
+    h = in_buckets(nodes.select(graph, "node", F.col(vector).cast("array<double>").alias("h")), "states", graph)
+    out = [h]
+    for own, others, bias in layers:
+        size = len(others[0])
         theirs = ends.select(graph, "u", "v").join(h.select(graph, F.col("node").alias("v"), "h"), [graph, "v"])
-        sums = theirs.groupBy(graph, F.col("u").alias("node")).agg(Summarizer.sum(array_to_vector("h")).alias("s")).select(graph, "node", vector_to_array("s").alias("s"))
-        none = F.array(*[F.lit(0.0)] * len(others[0]))
-        met = h.join(sums, [graph, "node"], "left").withColumn("s", F.coalesce("s", none))
-        mixed = F.zip_with(linear(own, bias, F.col("h")), linear(others, [0.0] * len(bias), F.col("s")), lambda a, b: F.greatest(a + b, F.lit(0.0)))
-        h = written(met.select(graph, "node", mixed.alias("h")), "states")
-        out.append(h.select(graph, "node", F.lit(k).alias("layer"), F.col("h").alias("state")))
-    all_ = out[0]
-    for more in out[1:]:
-        all_ = all_.unionByName(more)
-    return all_
+        sums = theirs.groupBy(graph, F.col("u").alias("node")).agg(*[F.sum(F.get("h", F.lit(i))).alias(f"s{i}") for i in range(size)])
+        met = h.join(sums, [graph, "node"], "left")
+        mine, near = [F.get("h", F.lit(i)) for i in range(len(own[0]))], [F.coalesce(f"s{i}", F.lit(0.0)) for i in range(size)]
+        total = lambda row, x: sum((float(w) * c for w, c in zip(row, x)), F.lit(0.0))
+        mixed = F.array(*[F.greatest(total(a, mine) + float(c) + total(b, near), F.lit(0.0)) for a, b, c in zip(own, others, bias)])
+        h = in_buckets(met.select(graph, "node", mixed.alias("h")), "states", graph)
+        out.append(h)
+    return out
