@@ -166,6 +166,45 @@ def test_a_search_that_is_cut_off_says_so(spark):
     assert common_subgraph.common_subgraphs(pairs, *tables(spark, {0: ring, 1: ring}), "g").first().whole
 
 
+def packed_rows(many):
+    import pyarrow as pa
+
+    atoms = pa.array([[{"node": k, "label": str(y), "inside": False} for k, y in a.items()] for a, _ in many], pa.list_(pa.struct({"node": pa.int64(), "label": pa.string(), "inside": pa.bool_()})))
+    bonds = pa.array([[{"u": u, "v": v, "kind": str(b)} for (u, v), b in e.items()] for _, e in many], pa.list_(pa.struct({"u": pa.int64(), "v": pa.int64(), "kind": pa.string()})))
+    return common_subgraph.Graphs(atoms, bonds)
+
+
+def test_as_many_bonds_with_more_atoms_are_better():
+    """Both the search and the table; the search used to stop at as many bonds as it had."""
+    rng = random.Random(1)
+    many = [random_graph(rng, rng.randint(3, 7), labels=3, share=0.5) for _ in range(60)]
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(400)]
+    expected = [exhaustive_common(many[i], many[j]) for i, j in pairs]
+    packed = packed_rows(many)
+    bonds, atoms, whole = common_subgraph.matched(packed, *np.array(pairs).T, False, 20_000)
+    assert list(zip(bonds.tolist(), atoms.tolist())) == expected and whole.all()
+    assert [common_subgraph.searched(*packed.plain(i), *packed.plain(j), False, 20_000)[:2] for i, j in pairs] == expected
+
+
+@pytest.mark.parametrize("block_rows", [2, 1024])
+def test_common_subgraphs_of_buckets_send_no_pairs(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(common_subgraph, "PAIRS", 7)
+    rng = random.Random(5)
+    many = {g: random_graph(rng, rng.randint(1, 9), labels=2) for g in range(40)}
+    packed = common_subgraph.packed_graphs(*tables(spark, many), "g").cache()
+    parts = [("x" if r < 12 else "y", r, slot, 2 * r + slot) for r in range(20) for slot in range(2)]
+    args = (spark.createDataFrame(parts, "bucket string, r long, slot int, g long"), "bucket", "r", "slot", packed, "g")
+    found = common_subgraph.bucket_subgraphs(*args, block_rows=block_rows)
+    expected = {}
+    for i, j in itertools.combinations(range(20), 2):
+        if (i < 12) == (j < 12):
+            each = [(*exhaustive_common(many[2 * i + s], many[2 * j + s]), max(len(many[2 * i + s][0]), len(many[2 * j + s][0]))) for s in range(2)]
+            expected[i, j] = tuple(map(sum, zip(*each)))
+    assert {(r.i, r.j): (r.bonds, r.atoms, r.weight) for r in found.collect() if r.whole} == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange")
+
+
 RULES = [
     templates.Rule("cut", (0, 1), ((0, 1, 1),), ()),
     templates.Rule("turn", (None, 1, None), ((0, 1, 1), (1, 2, 2)), ((0, 1, 2), (1, 2, 1))),
