@@ -186,6 +186,17 @@ def test_as_many_bonds_with_more_atoms_are_better():
     assert [common_subgraph.searched(*packed.plain(i), *packed.plain(j), False, 20_000)[:2] for i, j in pairs] == expected
 
 
+def test_null_labels_match_nothing_and_graphs_may_be_missing(spark):
+    atoms = spark.createDataFrame([(0, 0, None), (0, 1, None), (1, 0, None), (1, 1, None), (2, 0, "a"), (3, 5, "a")], "g long, node long, label string")
+    bonds = spark.createDataFrame([(0, 0, 1, 1), (1, 0, 1, 1), (2, 0, 9, 1), (3, 5, 5, 1)], "g long, u long, v long, bond int")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (2, 3), (2, 8), (8, 9)], "i long, j long")
+    got = {(r.i, r.j): (r.bonds, r.atoms, r.whole) for r in common_subgraph.common_subgraphs(pairs, atoms, bonds, "g").collect()}
+    assert got == {(0, 1): (0, 0, True), (0, 2): (0, 0, True), (2, 3): (0, 1, True), (2, 8): (0, 0, True), (8, 9): (0, 0, True)}
+    packed = common_subgraph.packed_graphs(atoms, bonds, "g")
+    none = spark.createDataFrame([], "bucket string, r long, slot int, g long")
+    assert common_subgraph.bucket_subgraphs(none, "bucket", "r", "slot", packed, "g").count() == 0
+
+
 @pytest.mark.parametrize("block_rows", [2, 1024])
 def test_common_subgraphs_of_buckets_send_no_pairs(spark, monkeypatch, block_rows):
     monkeypatch.setattr(common_subgraph, "PAIRS", 7)
