@@ -273,9 +273,14 @@ def test_matches_and_products_equal_plain_ones(spark):
     body = products.select("product", "g").join(atoms, "g")
     kept = spark.createDataFrame(list(pieces), "product long, node long").join(body.select("product", "node", "label"), ["product", "node"])
     assert graphs.balance(side(body), side(kept), "product").filter("NOT balanced").count() == 0
+    graph_rows = canonical.packed(atoms, bonds, "g")
+    assert {(r.g, r.node): r.molecule for r in templates.molecules(graph_rows, "g").collect()} == {(r.g, r.node): r.molecule for r in of.collect()}
+    after_of = lambda limit=None: {(r.g, r.rule, tuple(r.nodes)): {(b.u, b.v): b.bond for b in r.bonds} for r in templates.packed_products(graph_rows, found, RULES, "g", limit).collect()}
+    assert after_of() == {got[p]: made[p] for p in got}
     limited, _ = templates.applied(bonds, found, RULES, "g", 3)
     full = {p for p, (g, _, nodes) in got.items() if any(sum(b for k, b in made[p].items() if n in k) > 3 for n in nodes)}
     assert {(r.g, r.rule, tuple(r.nodes)) for r in limited.collect()} == {v for p, v in got.items() if p not in full}
+    assert set(after_of(3)) == {v for p, v in got.items() if p not in full}
 
 
 def shuffled(rng, graph):
@@ -319,6 +324,31 @@ def test_isomorphic_graphs_and_only_those_share_an_id(spark):
         assert sorted(a.values()) == list(range(len(a))) and written(g - g % 2, a) == written(g - g % 2 + 1, b)
 
 
+def test_graphs_of_eight_atoms_and_more_share_ids_with_their_copies_only(spark):
+    rng = random.Random(9)
+    ring = lambda *sizes: {(s + min(k, (k + 1) % n), s + max(k, (k + 1) % n)): 1 for s, n in zip(itertools.accumulate((0, *sizes)), sizes) for k in range(n)}
+    cube = {(a, a | b): 1 for a in range(8) for b in (1, 2, 4) if not a & b}
+    pairs = {(k, k + 1): 1 for k in range(0, 8, 2)}
+    base = [({k: 0 for k in range(n)}, e) for n, e in ((8, ring(8)), (8, ring(4, 4)), (8, ring(3, 5)), (8, cube), (8, pairs), (9, ring(9)), (9, ring(3, 3, 3)), (9, ring(4, 5)))]
+    many = {3 * g + s: shuffled(rng, b) for g, b in enumerate(base) for s in range(3)}
+    ids, order = canonical.canonical(*tables(spark, many), "g")
+    got = {r.g: r.canonical_id for r in ids.collect()}
+    assert len(got) == len(many) and len(set(got.values())) == len(base)
+    assert all(got[3 * g] == got[3 * g + 1] == got[3 * g + 2] for g in range(len(base)))
+    places = {}
+    for r in order.collect():
+        places.setdefault(r.g, []).append((r.place, r.node))
+    assert all(sorted(p for p, _ in places[g]) == list(range(len(a))) and {k for _, k in places[g]} == set(a) for g, (a, _) in many.items())
+
+
+def test_small_graphs_are_put_in_order_without_rounds_of_jobs(spark):
+    rng = random.Random(10)
+    atoms, bonds = tables(spark, {g: random_graph(rng, rng.randint(1, 7), labels=2) for g in range(40)})
+    spark.sparkContext.setJobGroup("canonical", "")
+    canonical.canonical(atoms, bonds, "g")[0].collect()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("canonical")) < 15
+
+
 def test_rings_and_atom_features(spark):
     rng = random.Random(17)
     many = {g: random_graph(rng, rng.randint(1, 9), share=0.25) for g in range(25)}
