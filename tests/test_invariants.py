@@ -362,3 +362,32 @@ def test_only_cells_of_the_result_are_made_and_named(spark, monkeypatch):
     assert made == [200] and got.count() == 200 == got.distinct().count() and got.join(known, ["a", "b"]).count() == 0
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" not in plan and n > 0
+
+
+def test_generated_negatives_are_counted_as_they_are_listed(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from linkloom.operators import negatives
+
+    rng = random.Random(12)
+    sides = "abcd"
+    made = {(r, f"{l}>>{rng.choice(sides)}") for r, l in ((r, rng.choice(sides)) for r in range(120)) for _ in range(rng.randint(1, 3))}
+    known = [(r, rng.choice(sorted(g for x, g in made if x == r) + [f"{rng.choice(sides)}>>x"])) for r in range(120)]
+    link = [(rng.choice([None, *range(15)]), rng.randint(0, 130)) for _ in range(200)]
+    made, known, link = (spark.createDataFrame(sorted(rows, key=str), kind) for rows, kind in ((made, "r long, generated string"), (known, "r long, s string"), (link, "p long, r long")))
+    turned = lambda s: F.concat_ws(">>", F.split(s, ">>")[1], F.split(s, ">>")[0])
+    got = {x.p: (x.crossed, x.fresh) for x in negatives.generated_counts(link, known, made, "p", "r", "s", turned).collect()}
+    own, texts, others = {}, {r.r: r.s for r in known.collect()}, {}
+    for r in made.collect():
+        others.setdefault(r.r, set()).add(r.generated)
+    others = {r: g - {texts[r]} for r, g in others.items() if texts[r] in g}
+    back = lambda g: ">>".join(g.split(">>")[::-1])
+    met = {(a, b) for a, gs in others.items() for g in gs for b, s in texts.items() if a != b and s in (g, back(g))}
+    met |= {(b, a) for a, b in met}
+    for x in link.collect():
+        own.setdefault(x.p, set()).add(x.r)
+    new = {r: {g for g in gs if not {g, back(g)} & set(texts.values())} for r, gs in others.items()}
+    listed = {p: (len({b for a, b in met if a in rs} - rs), len(set().union(*[new.get(r, set()) for r in rs]))) for p, rs in own.items()}
+    assert got == {p: n for p, n in listed.items() if any(n)}
