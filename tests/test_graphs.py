@@ -106,6 +106,19 @@ def test_aligned_similarity_of_reactions(spark, block_rows):
     assert near == {k for k, v in expected.items() if v >= 0.5}
 
 
+def test_a_reaction_is_sent_once_to_a_cell(spark):
+    def sent():
+        double, store = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, double, None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    df = spark.createDataFrame([(r, "x", 0, [r, -r], 1) for r in range(1000)], "r long, gate string, slot int, words array<long>, size int")
+    before = sent()
+    assert fingerprints.aligned_tanimoto(df, "r", "gate", "slot", "words", "size").count() == 499_500
+    # once for the slots of a reaction, once for its cell, and a few for counts
+    assert sum(n for k, n in sent().items() if k not in before) < 2_500
+
+
 def exhaustive_common(one, two, centre=None, other=None):
     """(bonds, atoms) of the largest connected common subgraph, by growing every one there is."""
     (la, ba), (lb, bb) = one, two
